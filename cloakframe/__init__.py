@@ -16,7 +16,7 @@ from .plans.anonymize import (  # noqa: E402
     class_plan,
     threshold_sweep,
 )
-from .roles import Roles, check_microdata  # noqa: E402
+from .roles import Roles  # noqa: E402
 
 __all__ = [
     "Roles",
@@ -24,7 +24,6 @@ __all__ = [
     "anonymize_mondrian",
     "assign_classes",
     "bucket_plan",
-    "check_microdata",
     "class_plan",
     "threshold_sweep",
 ]

@@ -162,4 +162,4 @@ def emd_per_class(counts: DataFrame, normalize: bool = False) -> DataFrame:
     if normalize:
         distance = distance / F.greatest(F.size("__table") - 1, F.lit(1))
     # One row on the right: the overall distribution.
-    return classes.crossJoin(F.broadcast(overall)).select("ec", distance.alias("emd"))
+    return classes.crossJoin(overall).select("ec", distance.alias("emd"))

@@ -194,7 +194,8 @@ def expand_nodes(states: DataFrame, leaves_only: bool = True) -> DataFrame:
             F.inline(F.when(split, shown).otherwise(F.array(itself))),
         )
         if (level + 1) % EXPAND_LEVELS == 0 and level + 1 < deepest:
-            nodes = materialize(nodes.repartition("threshold", "path", "level"), "frontier")
+            spread = 4 * nodes.sparkSession.sparkContext.defaultParallelism
+            nodes = materialize(nodes.repartition(spread, "threshold", "path"), "frontier")
     if leaves_only:
         return nodes
     flags = small_side(states.select("threshold", "level", "state", "splits"), rows)

@@ -30,8 +30,8 @@ from .ranking import CELL_ROWS, rank_within
 from .stats import Scaling, fit_scaling
 
 #: Bounds of the group size that one task finishes alone.
-MIN_LOCAL_ROWS = 100_000
-MAX_LOCAL_ROWS = 1_000_000
+MIN_LOCAL_ROWS = 200_000
+MAX_LOCAL_ROWS = 500_000
 #: Bins of one zoom step, and rows that are finally ordered exactly.
 BINS = 1024
 EXACT_ROWS = 100_000
@@ -230,27 +230,31 @@ def _split_large(
 
 
 def _finish_locally(dims: Sequence[str], k: int):
-    """Split one group down to at most 2k rows per leaf."""
+    """Split one group down to at most 2k rows per leaf, level by level."""
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["__t1", "__t2"], kind="stable", ignore_index=True)
         values = pdf[list(dims)].to_numpy(np.float64)
-        leaf = np.empty(len(pdf), np.int64)
-        # Positions stay in tie order, so a stable sort by value is the order
-        # by (value, tie).
-        open_ = [(int(pdf["ec"].iloc[0]), np.arange(len(pdf)))]
-        while open_:
-            group, at = open_.pop()
-            half = len(at) // 2
-            if len(at) <= 2 * k:
-                leaf[at] = group
-                continue
-            part = values[at]
-            widest = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
-            order = np.argsort(part[:, widest], kind="stable")
-            open_.append((2 * group, at[np.sort(order[:half])]))
-            open_.append((2 * group + 1, at[np.sort(order[half:])]))
-        return pdf.drop(columns=["__t1", "__t2", *dims]).assign(ec=leaf)
+        group = pdf["ec"].to_numpy(np.int64).copy()
+        # Rows of the open groups, group by group, and the size of each group.
+        # A row's position in the frame is its place in tie order.
+        rows, sizes = np.arange(len(pdf)), np.array([len(pdf)])
+        while True:
+            open_ = sizes > 2 * k
+            rows, sizes = rows[np.repeat(open_, sizes)], sizes[open_]
+            if not len(rows):
+                break
+            first = np.cumsum(sizes) - sizes
+            part = values[rows]
+            width = np.maximum.reduceat(part, first) - np.minimum.reduceat(part, first)
+            number = np.repeat(np.arange(len(sizes)), sizes)
+            value = part[np.arange(len(rows)), width.argmax(axis=1)[number]]
+            rows = rows[np.lexsort((rows, value, number))]
+            half = sizes // 2
+            upper = np.arange(len(rows)) - first[number] >= half[number]
+            group[rows] = 2 * group[rows] + upper
+            sizes = np.column_stack((half, sizes - half)).ravel()
+        return pdf.drop(columns=["__t1", "__t2", *dims]).assign(ec=group)
 
     return split
 
@@ -271,7 +275,7 @@ def mondrian_partition(
     if k < 2:
         raise ValueError("k must be at least 2")
     base = project_roles(df, roles)
-    scaling = fit_scaling(base, roles.numeric_qis, sample=True)
+    scaling = fit_scaling(base, roles.numeric_qis, sample=True, required=roles.columns)
     if local_rows is None:
         cores = df.sparkSession.sparkContext.defaultParallelism
         local_rows = min(max(scaling.rows // (4 * cores), MIN_LOCAL_ROWS), MAX_LOCAL_ROWS)

@@ -43,31 +43,31 @@ def rank_within(
         return df.withColumn(name, F.row_number().over(w).cast("bigint"))
 
     splits, shared = _ranges(df, key, rows, cell_rows)
-    as_double = df.withColumn("__key", F.col(key).cast("double"))
-    cut = Bucketizer(splits=splits, inputCol="__key", outputCol="__range")
+    as_double = df.withColumn("__cell_key", F.col(key).cast("double"))
+    cut = Bucketizer(splits=splits, inputCol="__cell_key", outputCol="__cell_range")
     tie_cell = F.lit("")
     for digits, ranges in shared.items():
-        tie_cell = F.when(F.col("__range").isin(ranges), F.substring(tie, 1, digits)).otherwise(
+        tie_cell = F.when(F.col("__cell_range").isin(ranges), F.substring(tie, 1, digits)).otherwise(
             tie_cell
         )
-    cells = cut.transform(as_double).withColumn("__tie", tie_cell).drop("__key")
+    cells = cut.transform(as_double).withColumn("__cell_tie", tie_cell).drop("__cell_key")
 
-    cell = [*groups, "__range", "__tie"]
+    cell = [*groups, "__cell_range", "__cell_tie"]
     # One row per cell; a group has at most as many as there are ranges.
-    before = Window.partitionBy(*groups).orderBy("__range", "__tie").rowsBetween(
+    before = Window.partitionBy(*groups).orderBy("__cell_range", "__cell_tie").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = (
         cells.groupBy(*cell)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .select(*cell, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+        .agg(F.count(F.lit(1)).alias("__cell_rows"))
+        .select(*cell, F.coalesce(F.sum("__cell_rows").over(before), F.lit(0)).alias("__cell_before"))
     )
     inside = F.row_number().over(Window.partitionBy(*cell).orderBy(key, tie))
     return (
-        cells.withColumn("__inside", inside)
+        cells.withColumn("__cell_rank", inside)
         .join(offsets, cell)
-        .withColumn(name, (F.col("__before") + F.col("__inside")).cast("bigint"))
-        .drop("__range", "__tie", "__inside", "__before")
+        .withColumn(name, (F.col("__cell_before") + F.col("__cell_rank")).cast("bigint"))
+        .drop("__cell_range", "__cell_tie", "__cell_rank", "__cell_before")
     )
 
 

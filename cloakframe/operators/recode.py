@@ -15,13 +15,26 @@ def _released(roles: Roles, keep_pid: bool) -> list[str]:
     return [*head, *roles.numeric_qis, *roles.categorical_qis, roles.sa]
 
 
+#: Classes of the tree levels 0 to 16. A class number is 2^level + sequence, so
+#: there are fewer than this many, and any class beyond has at most a
+#: 2^17-th of the rows.
+TOP_CLASSES = 1 << 17
+
+
 def _join_classes(assigned: DataFrame, look: DataFrame, classes: int | None) -> DataFrame:
-    """Rows joined with one row per class; broadcast only if known to be small.
+    """Rows joined with one row per class.
 
-    Otherwise a shuffled join on the class. A class that holds a large part of
-    the table is then divided by the adaptive skew-join rule.
+    Known to be few, the classes are broadcast. Otherwise only those of the
+    top levels are, of which there is a fixed number and which alone can hold
+    a large part of the table; the many small ones are joined by a shuffle
+    that no single class can skew.
     """
-    return assigned.join(look if classes is None else small_side(look, classes), "ec")
+    if classes is not None and classes <= TOP_CLASSES:
+        return assigned.join(small_side(look, classes), "ec")
+    top = F.col("ec") < TOP_CLASSES
+    few = assigned.where(top).join(small_side(look.where(top), TOP_CLASSES), "ec")
+    many = assigned.where(~top).join(look.where(~top), "ec")
+    return few.unionByName(many)
 
 
 def recode_mean(

@@ -8,6 +8,8 @@ equally large classes, and its class follows by a division.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +48,20 @@ def join_bucket(df: DataFrame, roles: Roles, plan: DataFrame, plan_rows: int) ->
     return df.join(small_side(look, plan_rows), roles.sa)
 
 
+@dataclass(frozen=True)
+class PlanSize:
+    """Rows of a bucket plan and number of its values."""
+
+    rows: int
+    values: int
+
+    @staticmethod
+    def of(plan: DataFrame) -> PlanSize:
+        return PlanSize(*plan.agg(F.count(F.lit(1)), F.countDistinct("sa")).first())
+
+
 def dedup_overlap(
-    df: DataFrame, roles: Roles, plan: DataFrame, plan_rows: int, rows: int, cell_rows: int
+    df: DataFrame, roles: Roles, plan: DataFrame, size: PlanSize, rows: int, cell_rows: int
 ) -> DataFrame:
     """Give every row exactly one bucket.
 
@@ -55,17 +69,17 @@ def dedup_overlap(
     several buckets are ranked, and each bucket takes the interval of ranks
     that its quota gives it. ``df`` carries ``__key`` and ``__tie``.
     """
+    if size.rows == size.values:
+        return join_bucket(df, roles, plan, size.rows).drop("quota")
     quotas = bucket_quotas(plan).withColumnRenamed("sa", roles.sa)
     single = quotas.where(F.col("shares") == 1).select(roles.sa, "bucket")
-    alone = df.join(small_side(single, plan_rows), roles.sa)
+    alone = df.join(small_side(single, size.rows), roles.sa)
     split = quotas.where(F.col("shares") > 1).select(roles.sa, "bucket", "lo", "hi")
     values = split.select(roles.sa).distinct()
-    if values.isEmpty():
-        return alone
-    contested = df.join(small_side(values, plan_rows), roles.sa, "left_semi")
+    contested = df.join(small_side(values, size.rows), roles.sa, "left_semi")
     ranked = rank_within(contested, [roles.sa], "__key", "__tie", rows, "__rank", cell_rows)
     placed = (
-        ranked.join(small_side(split, plan_rows), roles.sa)
+        ranked.join(small_side(split, size.rows), roles.sa)
         .where((F.col("__rank") > F.col("lo")) & (F.col("__rank") <= F.col("hi")))
         .drop("__rank", "lo", "hi")
     )
@@ -78,13 +92,13 @@ def rank_rows(
     plan: DataFrame,
     scaling: Scaling | None = None,
     cell_rows: int = CELL_ROWS,
-    plan_rows: int | None = None,
+    size: PlanSize | None = None,
 ) -> DataFrame:
     """Rows with their ``bucket`` and 1-based rank ``rn`` in it, by norm."""
     scaling = scaling or fit_scaling(df, roles.numeric_qis)
-    plan_rows = plan.count() if plan_rows is None else plan_rows
+    size = size or PlanSize.of(plan)
     keyed = with_norm_key(df, roles, scaling)
-    placed = dedup_overlap(keyed, roles, plan, plan_rows, scaling.rows, cell_rows)
+    placed = dedup_overlap(keyed, roles, plan, size, scaling.rows, cell_rows)
     return rank_within(placed, ["bucket"], "__key", "__tie", scaling.rows, "rn", cell_rows)
 
 
@@ -125,7 +139,7 @@ def redistribute_by_norm(
     """Rows with their class ``ec`` (and ``bucket``); columns are carried
     through, so no join back to the table is needed. ``levels`` is the number
     of tree levels with classes; a bucket has at most two runs in each."""
-    plan_rows = plan.count()
-    ranked = rank_rows(df, roles, plan, scaling, cell_rows, plan_rows)
-    seated = join_seat(ranked, runs, 2 * levels * plan_rows)
+    size = PlanSize.of(plan)
+    ranked = rank_rows(df, roles, plan, scaling, cell_rows, size)
+    seated = join_seat(ranked, runs, 2 * levels * size.rows)
     return seated.drop("__key", "__tie", "rn", "ec_level", "ec_seq")

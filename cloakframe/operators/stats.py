@@ -85,14 +85,18 @@ class Scaling:
         return (value - F.lit(self.mean[column])) / F.lit(self.spread[column])
 
 
-def fit_scaling(df: DataFrame, columns: Sequence[str], sample: bool = False) -> Scaling:
+def fit_scaling(
+    df: DataFrame, columns: Sequence[str], sample: bool = False, required: Sequence[str] = ()
+) -> Scaling:
     """One aggregate over the table; one row comes back to the driver.
 
     The numbers then enter later plans as literals, which keeps the row path
-    free of joins. ``sample`` chooses the sample standard deviation.
+    free of joins. ``sample`` chooses the sample standard deviation. A null in
+    a ``required`` column is an error, found in the same pass.
     """
     deviation = F.stddev_samp if sample else F.stddev_pop
     aggs = [F.count(F.lit(1)).alias("__rows")]
+    aggs += [F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in required]
     for c in columns:
         v = F.col(c).cast("double")
         aggs += [
@@ -101,6 +105,9 @@ def fit_scaling(df: DataFrame, columns: Sequence[str], sample: bool = False) ->
             (F.min(v) == F.max(v)).alias(f"k_{c}"),
         ]
     row = df.agg(*aggs).first()
+    missing = [c for c in required if row[f"n_{c}"]]
+    if missing:
+        raise ValueError(f"null values in {missing}")
     spread = {c: 0.0 if row[f"k_{c}"] else (row[f"s_{c}"] or 0.0) for c in columns}
     return Scaling(row["__rows"], {c: row[f"m_{c}"] for c in columns}, spread)
 

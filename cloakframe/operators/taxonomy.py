@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..runtime import materialize
 
 ROOT = "*"
+#: Levels after which a walk without a given height is taken for a cycle.
+MAX_HEIGHT = 64
 
 
 def taxonomy_from_columns(df: DataFrame, columns: Sequence[str], top: str = "ALL") -> DataFrame:
@@ -25,39 +27,38 @@ def taxonomy_from_columns(df: DataFrame, columns: Sequence[str], top: str = "ALL
     steps = F.array(
         *[F.struct(a.alias("child"), b.alias("parent")) for a, b in zip(chain, chain[1:])]
     )
-    return df.select(*columns).distinct().select(F.inline(steps)).distinct()
+    listed = df.select(*columns).distinct().select(F.inline(steps)).distinct()
+    return materialize(listed, "edges")
 
 
 def ancestor_paths(edges: DataFrame, height: int | None = None) -> DataFrame:
     """``(node, path)``: the node, its parent, ... up to the root.
 
     ``height`` is the number of steps from a leaf to the node below the root;
-    without it the walk goes on until every path ends in the root.
+    without it the walk goes on until every path has ended. A path whose next
+    parent is missing ends in null. The result is written, so that later
+    joins know its true size.
     """
     parents = edges.select(F.col("child").alias("__child"), F.col("parent").alias("__parent"))
     paths = edges.select(F.col("child").alias("node"), F.array("child").alias("path"))
+    ended = F.col("__tail").isNull() | (F.col("__tail") == ROOT)
     steps = 0
-    while True:
-        if height is not None:
-            if steps > height:
+    while height is None or steps <= height:
+        paths = paths.withColumn("__tail", F.element_at("path", -1))
+        if height is None:
+            if paths.where(~ended).isEmpty():
+                paths = paths.drop("__tail")
                 break
-        elif paths.where(F.element_at("path", -1) != ROOT).isEmpty():
-            break
-        elif steps > 64:
-            raise ValueError("the taxonomy has a cycle or is deeper than 64 levels")
-        tail = F.element_at("path", -1)
-        paths = (
-            paths.withColumn("__tail", tail)
-            .join(parents, F.col("__tail") == F.col("__child"))
-            .select(
-                "node",
-                F.when(F.col("__tail") == ROOT, F.col("path"))
-                .otherwise(F.concat("path", F.array("__parent")))
-                .alias("path"),
-            )
+            if steps > MAX_HEIGHT:
+                raise ValueError(f"the taxonomy has a cycle or more than {MAX_HEIGHT} levels")
+        paths = paths.join(parents, (F.col("__tail") == F.col("__child")) & ~ended, "left").select(
+            "node",
+            F.when(ended, F.col("path"))
+            .otherwise(F.concat("path", F.array("__parent")))
+            .alias("path"),
         )
         steps += 1
-    return paths
+    return materialize(paths, "taxonomy")
 
 
 def taxonomy_closure(paths: DataFrame) -> DataFrame:
@@ -74,36 +75,33 @@ def validate_taxonomy(
 
     One root, one parent per child, every leaf ``height`` steps below the node
     under the root, and (with ``values``, a one-column frame) every sensitive
-    value a leaf. All checks are one aggregate over the tree.
+    value a leaf. The structure is checked by one aggregate over the paths: a
+    node nearer to the root than the leaves must be the parent of another.
     """
-    roots = F.count_if((F.col("child") == ROOT) & (F.col("parent") == ROOT))
-    row = edges.distinct().agg(
-        roots.alias("roots"),
-        F.count(F.lit(1)).alias("edges"),
-        F.countDistinct("child").alias("children"),
+    paths = ancestor_paths(edges, height)
+    steps = F.size("path")
+    parent = F.when(F.col("node") != ROOT, F.get("path", F.lit(1)))
+    row = paths.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.countDistinct("node").alias("nodes"),
+        F.count_if(F.col("node") == ROOT).alias("roots"),
+        F.count_if(F.element_at("path", -1).isNull()).alias("orphans"),
+        F.count_if((F.element_at("path", -1) != ROOT) | (steps > height + 2)).alias("deep"),
+        F.count_if(steps < height + 2).alias("inner"),
+        F.countDistinct(parent).alias("parents"),
     ).first()
+    if row["rows"] != row["nodes"]:
+        raise ValueError("a node of the taxonomy has two parents")
     if row["roots"] != 1:
         raise ValueError("the taxonomy needs exactly one root edge (*, *)")
-    if row["edges"] != row["children"]:
-        raise ValueError("a node of the taxonomy has two parents")
-    paths = materialize(ancestor_paths(edges.distinct(), height), "taxonomy")
-    if paths.count() != row["edges"]:
+    if row["orphans"]:
         raise ValueError("a parent of the taxonomy is missing")
-    inner = edges.where(F.col("child") != F.col("parent")).select(F.col("parent").alias("node"))
-    leaves = paths.join(inner.distinct(), "node", "left_anti")
-    depth = leaves.agg(
-        F.count_if(
-            (F.size("path") != height + 2) | (F.element_at("path", -1) != ROOT)
-        ).alias("bad")
-    ).first()
-    if depth["bad"]:
-        raise ValueError(f"{depth['bad']} leaves are not {height} steps below the top node")
+    if row["deep"] or row["inner"] != row["parents"]:
+        raise ValueError(f"not every leaf is {height} steps below the top node")
     if values is not None:
         name = values.columns[0]
-        missing = values.distinct().join(
-            leaves.select(F.col("node").alias(name)), name, "left_anti"
-        )
-        lost = missing.limit(1).collect()
+        leaves = paths.where(steps == height + 2).select(F.col("node").alias(name))
+        lost = values.distinct().join(leaves, name, "left_anti").limit(1).collect()
         if lost:
             raise ValueError(f"value {lost[0][0]!r} is not a leaf of the taxonomy")
     return paths

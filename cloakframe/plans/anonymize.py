@@ -23,7 +23,7 @@ from ..operators.ranking import CELL_ROWS
 from ..operators.recode import recode_mean
 from ..operators.redistribute import redistribute_by_norm
 from ..operators.stats import Scaling, fit_scaling, sa_histogram
-from ..roles import Roles, check_microdata, project_roles
+from ..roles import Roles, check_unique, project_roles
 from ..runtime import materialize
 
 METHODS = ("beta", "overlap", "tclose")
@@ -119,10 +119,17 @@ def anonymize(
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Release table of ``beta``, ``overlap`` or ``tclose`` anonymization."""
+    scaling = fit_scaling(
+        df, roles.numeric_qis, required=roles.columns if check else ()
+    )
     if check:
-        check_microdata(df, roles)
+        check_unique(df, roles)
     made = class_plan(df, roles.sa, method, threshold, paths, height, min_class_size)
-    assigned = assign_classes(df, roles, made, cell_rows=cell_rows)
+    assigned = assign_classes(df, roles, made, scaling, cell_rows)
+    if scaling.rows > cell_rows:
+        # The release reads the classes twice (means and rows); written once,
+        # the rows are shuffled once.
+        assigned = materialize(assigned, "assigned")
     return recode_mean(assigned, roles, keep_pid, made.classes)
 
 
@@ -131,7 +138,7 @@ def anonymize_mondrian(
 ) -> DataFrame:
     """Release table of Mondrian k-anonymity."""
     if check:
-        check_microdata(df, roles)
+        check_unique(df, roles)
     return mondrian_release(mondrian_partition(df, roles, k, **options), roles, keep_pid)
 
 

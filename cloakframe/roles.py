@@ -72,20 +72,13 @@ def drop_sensitive(df: DataFrame, roles: Roles) -> DataFrame:
     )
 
 
-def check_microdata(df: DataFrame, roles: Roles) -> int:
-    """Fail early on null roles or repeated identifiers; return the row count.
+def check_unique(df: DataFrame, roles: Roles) -> None:
+    """Fail early on repeated identifiers.
 
-    One aggregate over the role columns, plus one over the identifier alone
-    (partial counts first, so only distinct identifiers are shuffled).
+    Reads the identifier column alone; counts are combined before the shuffle.
     """
-    nulls = [F.count_if(F.col(c).isNull()).alias(c) for c in roles.columns]
-    row = df.agg(F.count(F.lit(1)).alias("__rows"), *nulls).first()
-    bad = [c for c in roles.columns if row[c]]
-    if bad:
-        raise ValueError(f"null values in {bad}")
     repeated = (
         df.groupBy(roles.pid).count().where(F.col("count") > 1).limit(1).collect()
     )
     if repeated:
         raise ValueError(f"identifier {roles.pid} is not unique, e.g. {repeated[0][0]!r}")
-    return row["__rows"]

@@ -588,7 +588,7 @@ def dedup_overlap(spark, d):
     scaling = stats.fit_scaling(rows, ORD.numeric_qis)
     keyed = redist.with_norm_key(rows, ORD, scaling)
     return redist.dedup_overlap(
-        keyed, ORD, plan, plan.count(), scaling.rows, redist.CELL_ROWS
+        keyed, ORD, plan, redist.PlanSize.of(plan), scaling.rows, redist.CELL_ROWS
     ).select("o_orderkey", "bucket")
 
 
