@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,19 +30,24 @@ def nearest_center(
     name: str = "center",
     distance: str = "distance",
     max_bytes: int = BROADCAST_BYTES,
+    mismatch: Mapping[str, float] | None = None,
 ) -> DataFrame:
     """Add the nearest centre of every row and its squared Euclidean distance.
 
     ``centers`` has the number ``center`` and ``columns``; with ``group`` a row
-    sees only the centres of its own group. Ties go to the smaller number. The
+    sees only the centres of its own group. A column of ``mismatch`` adds its
+    weight where row and centre differ. Ties go to the smaller number. The
     distances of a block of rows are computed as arrays inside the task, so no
     (row, centre) pair is ever a row. Centres beyond ``max_bytes`` are taken in
     parts, one pass over the rows each, keeping the best so far.
     """
     columns = list(columns)
     keys = [group] if group else []
-    wanted = centers.select(*keys, F.col(center).cast("bigint").alias("__id"), *columns)
-    parts = max(1, math.ceil(wanted.count() * 8 * (len(columns) + 2) / max_bytes))
+    weights = dict(mismatch or {})
+    coordinates = [F.col(c).cast("double").alias(c) for c in columns]
+    coordinates += [F.xxhash64(c).alias(c) for c in weights]
+    wanted = centers.select(*keys, F.col(center).cast("bigint").alias("__id"), *coordinates)
+    parts = max(1, math.ceil(wanted.count() * 8 * (len(coordinates) + 2) / max_bytes))
     kept = [c for c in df.columns if c not in (name, distance)]
     out = df.select(
         *kept,
@@ -54,11 +59,12 @@ def nearest_center(
         chunk = chunk.sort_values("__id")
         by_group = chunk.groupby(group) if group else [(None, chunk)]
         tables = {
-            g: (t["__id"].to_numpy(np.int64), t[columns].to_numpy(np.float64))
+            g: (t["__id"].to_numpy(np.int64), [t[c].to_numpy() for c in (*columns, *weights)])
             for g, t in by_group
         }
-        best = _best_of(df.sparkSession.sparkContext.broadcast(tables), group is not None)
-        found = best(*[F.col(c).cast("double") for c in columns], *[F.col(g) for g in keys])
+        shared = df.sparkSession.sparkContext.broadcast(tables)
+        best = _best_of(shared, group is not None, len(columns), list(weights.values()))
+        found = best(*coordinates, *[F.col(g) for g in keys])
         better = F.col(distance).isNull() | (
             F.struct(F.col("__found.distance"), F.col("__found.center"))
             < F.struct(F.col(distance).alias("distance"), F.col(name).alias("center"))
@@ -74,26 +80,28 @@ def nearest_center(
     return out
 
 
-def _best_of(shared, grouped: bool):
+def _best_of(shared, grouped: bool, numeric: int, weights: list[float]):
     @F.pandas_udf("center bigint, distance double")
     def best(*series: pd.Series) -> pd.DataFrame:
-        values = series[:-1] if grouped else series
-        rows = np.column_stack([s.to_numpy(np.float64) for s in values])
-        ids = np.full(len(rows), -1, np.int64)
-        dist = np.full(len(rows), np.nan)
+        rows = [s.to_numpy() for s in (series[:-1] if grouped else series)]
+        count = len(series[0])
+        ids = np.zeros(count, np.int64)
+        dist = np.full(count, np.nan)
         groups = series[-1].to_numpy() if grouped else None
         for g, (numbers, table) in shared.value.items():
-            at = np.flatnonzero(groups == g) if grouped else np.arange(len(rows))
+            at = np.flatnonzero(groups == g) if grouped else np.arange(count)
             for lo in range(0, len(at), BLOCK):
                 block = at[lo : lo + BLOCK]
                 squares = np.zeros((len(block), len(numbers)))
-                for j in range(rows.shape[1]):
-                    squares += (rows[block, j][:, None] - table[:, j][None, :]) ** 2
+                for mine, theirs in zip(rows[:numeric], table[:numeric]):
+                    squares += (mine[block][:, None] - theirs[None, :]) ** 2
+                for mine, theirs, weight in zip(rows[numeric:], table[numeric:], weights):
+                    squares += weight * (mine[block][:, None] != theirs[None, :])
                 low = squares.argmin(axis=1)
                 ids[block] = numbers[low]
                 dist[block] = squares[np.arange(len(block)), low]
         center = pd.array(ids, dtype="Int64")
-        center[ids < 0] = pd.NA
+        center[np.isnan(dist)] = pd.NA
         return pd.DataFrame({"center": center, "distance": dist})
 
     return best
@@ -212,3 +220,78 @@ def redistribute_by_center(
     for part in placed[1:]:
         out = out.unionByName(part)
     return out
+
+
+def seed_centers_mixed(
+    df: DataFrame,
+    columns: Sequence[str],
+    categories: Mapping[str, tuple[DataFrame, int]],
+    pid: str,
+    k: int,
+    steps: int = 5,
+    seed: int = 123456789,
+) -> DataFrame:
+    """Seed centres by squared numeric plus taxonomy distance.
+
+    ``columns`` are standardized; ``categories`` gives the ancestor paths and
+    the height of every categorical column. From one row on, each step adds
+    rows with probability 2 k cost / (sum of costs), the cost being the
+    distance to the nearest centre so far, drawn by a hash of the identifier.
+    Returned are the k candidates that most rows are nearest to, with that
+    ``weight``. Two values of a tree at uniform depth are as far apart as the
+    share of their ancestors that differ, so the levels are compared one by one.
+    """
+    columns = list(columns)
+    levels: dict[str, float] = {}
+    rows = df
+    for i, (c, (paths, height)) in enumerate(categories.items()):
+        look = paths.select(F.col("node").alias(c), F.col("path").alias("__path"))
+        rows = rows.join(look, c)
+        for step in range(height):
+            rows = rows.withColumn(f"__l{i}_{step}", F.get("__path", F.lit(step)))
+            levels[f"__l{i}_{step}"] = 1.0 / height
+        rows = rows.drop("__path")
+    rows = rows.withColumn("__id", F.xxhash64(pid)).withColumns(
+        {"__near": F.lit(None).cast("bigint"), "__cost": F.lit(float("inf"))}
+    )
+    kept = [c for c in rows.columns if c not in ("__near", "__cost")]
+    fresh = materialize(
+        rows.orderBy(F.xxhash64(F.col(pid), F.lit(seed)), pid).limit(1).select(kept), "seeds"
+    )
+    chosen = [fresh]
+    for step in range(steps + 1):
+        seen = nearest_center(
+            rows, columns, fresh, "__id", name="__new", distance="__far", mismatch=levels
+        )
+        closer = F.col("__far") < F.col("__cost")
+        rows = materialize(
+            seen.select(
+                *kept,
+                F.when(closer, F.col("__new")).otherwise(F.col("__near")).alias("__near"),
+                F.least("__far", "__cost").alias("__cost"),
+            ),
+            "costs",
+        )
+        if step == steps:
+            break
+        total = rows.agg(F.sum("__cost")).first()[0]
+        draw = F.pmod(F.xxhash64(F.col(pid), F.lit(seed), F.lit(step)), F.lit(1 << 52)) / float(
+            1 << 52
+        )
+        fresh = materialize(
+            rows.where(draw * F.lit(total) < F.lit(2.0 * k) * F.col("__cost")).select(kept),
+            "seeds",
+        )
+        if fresh.isEmpty():
+            break
+        chosen.append(fresh)
+    candidates = chosen[0]
+    for part in chosen[1:]:
+        candidates = candidates.unionByName(part)
+    weights = rows.groupBy(F.col("__near").alias("__id")).agg(F.count(F.lit(1)).alias("weight"))
+    return (
+        candidates.join(weights, "__id")
+        .orderBy(F.desc("weight"), pid)
+        .limit(k)
+        .select(pid, *columns, *categories, "weight")
+    )

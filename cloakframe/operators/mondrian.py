@@ -288,6 +288,9 @@ def mondrian_partition(
     schema = T.StructType(
         [f for f in rows.schema.fields if f.name not in dims]
     )
+    width = 2 * scaling.rows // local_rows
+    if width > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(width, "ec")
     return (
         rows.withColumns(_ties(roles.pid))
         .groupBy("ec")

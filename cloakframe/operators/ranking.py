@@ -53,6 +53,10 @@ def rank_within(
     cells = cut.transform(as_double).withColumn("__cell_tie", tie_cell).drop("__cell_key")
 
     cell = [*groups, "__cell_range", "__cell_tie"]
+    width = math.ceil(rows / cell_rows)
+    if width > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        # More partitions than the session's setting, so that one stays small.
+        cells = cells.repartition(width, *cell)
     # One row per cell; a group has at most as many as there are ranges.
     before = Window.partitionBy(*groups).orderBy("__cell_range", "__cell_tie").rowsBetween(
         Window.unboundedPreceding, -1

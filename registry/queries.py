@@ -63,6 +63,11 @@ def cust_assigned(spark, d, beta=BETA_CUST):
     return plans.assign_classes(cust(spark, d), CUST, cust_classes(spark, d, beta))
 
 
+def evt_assigned(spark, d, beta):
+    made = plans.class_plan(evt(spark, d), "event_type", "beta", beta)
+    return plans.assign_classes(evt(spark, d), EVT, made)
+
+
 def ord_assigned(spark, d, method="beta", threshold=BETA_ORD):
     tree = paths(spark, d) if method != "beta" else None
     made = plans.class_plan(ord_(spark, d), "n_name", method, threshold, tree, HEIGHT)
@@ -72,6 +77,9 @@ def ord_assigned(spark, d, method="beta", threshold=BETA_ORD):
 CUST_PLAN = sql.beta_plan("cust", sql.CUST, [BETA_CUST])
 CUST_SEATS = [*CUST_PLAN, sql.tree("likeness"), sql.SEATS]
 CUST_ASSIGNED = sql.assigned(CUST_PLAN, "likeness", "cust", 1)
+EVT_ASSIGNED = sql.assigned(
+    sql.beta_plan("evt", sql.EVT, [BETA_CUST]), "likeness", "evt", 3
+)
 ORD_PLAN = sql.beta_plan("ord", sql.ORD, [BETA_ORD])
 ORD_ASSIGNED = sql.assigned(ORD_PLAN, "likeness", "ord", 3)
 OVER_PLAN = sql.overlap_plan("ord", sql.ORD, [OVERLAP])
@@ -747,10 +755,11 @@ def worst_class(spark, d):
     return audit.worst_class(skew).select("ec", "value", "change")
 
 
-@query(sql.with_(*CUST_ASSIGNED) + "SELECT ec, count(*) AS size FROM assigned GROUP BY ec "
+@query(sql.with_(*EVT_ASSIGNED) + "SELECT ec, count(*) AS size FROM assigned GROUP BY ec "
        "ORDER BY size DESC, ec")
 def classes_by_size(spark, d):
-    return audit.classes_by_size(cust_assigned(spark, d))
+    """Classes of the events: a sensitive value without a tree."""
+    return audit.classes_by_size(evt_assigned(spark, d, BETA_CUST))
 
 
 # ----------------------------------------------------------- set operations
@@ -908,6 +917,15 @@ def nearest_center(spark, d):
     return near.select("vec_id", "center", r6("distance").alias("distance"))
 
 
+@query()
+def seed_centers_mixed(spark, d):
+    rows = stats.zscore(project_roles(cust(spark, d), CUST), CUST.numeric_qis)
+    tree = taxonomy.ancestor_paths(segment_edges(spark, d), 1)
+    return centers.seed_centers_mixed(
+        rows, CUST.numeric_qis, {"c_mktsegment": (tree, 1)}, "c_custkey", 8
+    )
+
+
 # ---------------------------------------------------------------- pipelines
 
 

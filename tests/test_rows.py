@@ -265,3 +265,26 @@ def test_rows_keep_role_types(spark):
     scaling = stats.fit_scaling(df, ["c_acctbal"])
     keyed = redistribute.with_norm_key(df, CUST, scaling)
     assert dict(keyed.dtypes)["__key"] == "bigint"
+
+
+def test_mixed_seeds(spark):
+    from cloakframe.operators import taxonomy
+
+    rng = random.Random(8)
+    rows = [(i, rng.gauss(10 * (i % 3), 0.1), "ab"[i % 2]) for i in range(300)]
+    df = spark.createDataFrame(rows, "pid int, x double, c string")
+    tree = taxonomy.ancestor_paths(
+        spark.createDataFrame([("a", "t"), ("b", "t"), ("t", "*"), ("*", "*")],
+                              "child string, parent string"), 1
+    )
+    seeds = centers.seed_centers_mixed(df, ["x"], {"c": (tree, 1)}, "pid", 6).collect()
+    assert len(seeds) == 6 and {round(s.x / 10) for s in seeds} == {0, 1, 2}
+    again = centers.seed_centers_mixed(df.repartition(5), ["x"], {"c": (tree, 1)}, "pid", 6)
+    assert {s.pid for s in again.collect()} == {s.pid for s in seeds}
+
+
+def test_mismatch_counts(spark):
+    df = spark.createDataFrame([(1, 0.0, "a"), (2, 0.9, "b")], "pid int, x double, c string")
+    middle = spark.createDataFrame([(1, 0.0, "b"), (2, 1.0, "a")], "center int, x double, c string")
+    near = centers.nearest_center(df, ["x"], middle, mismatch={"c": 0.7}).collect()
+    assert {r.pid: (r.center, round(r.distance, 6)) for r in near} == {1: (1, 0.7), 2: (2, 0.71)}
