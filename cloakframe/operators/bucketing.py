@@ -1,8 +1,8 @@
 """Bucketization: from the histogram of the sensitive attribute to buckets.
 
-All three methods take ``thresholds`` as a one-column frame and keep the
-threshold as a grouping column, so a sweep over many thresholds is one job on
-one histogram. Every plan has the long form
+All three methods take a list of thresholds and keep the threshold as a
+grouping column, so a sweep over many thresholds is one job on one histogram.
+Every plan has the long form
 
     threshold, bucket, sa, quota, freq, cap
 
@@ -16,7 +16,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import likeness_cap
@@ -24,18 +24,17 @@ from ..functions import likeness_cap
 PLAN_COLUMNS = ["threshold", "bucket", "sa", "quota", "freq", "cap"]
 
 
-def thresholds(spark: SparkSession, values: Sequence[float]) -> DataFrame:
-    """One-column frame of thresholds."""
-    if not values or min(values) <= 0:
+def _per_threshold(df: DataFrame, limits: Sequence[float]) -> DataFrame:
+    """One copy of the rows per threshold."""
+    if not limits or min(limits) <= 0:
         raise ValueError("thresholds must be positive")
-    listed = F.array(*[F.lit(float(v)) for v in values])
-    return spark.range(1).select(F.explode(listed).alias("threshold"))
+    listed = F.array(*[F.lit(float(v)) for v in limits])
+    return df.select("*", F.explode(listed).alias("threshold"))
 
 
-def _with_caps(histogram: DataFrame, limits: DataFrame) -> DataFrame:
-    """Histogram times thresholds, with the likeness cap of every value."""
-    # The right side is the caller's list of thresholds.
-    return histogram.crossJoin(F.broadcast(limits)).withColumn(
+def _with_caps(histogram: DataFrame, limits: Sequence[float]) -> DataFrame:
+    """Histogram per threshold, with the likeness cap of every value."""
+    return _per_threshold(histogram, limits).withColumn(
         "cap", likeness_cap(F.col("p"), F.col("threshold"))
     )
 
@@ -92,7 +91,7 @@ def sort_by_cap(histogram: DataFrame, beta: float) -> DataFrame:
 # beta-likeness
 
 
-def beta_buckets(histogram: DataFrame, limits: DataFrame) -> DataFrame:
+def beta_buckets(histogram: DataFrame, limits: Sequence[float]) -> DataFrame:
     """Greedy fill in cap order; a value that does not fit opens a new bucket.
 
     The fold keeps only the positions where buckets start; the buckets are
@@ -191,7 +190,7 @@ def frontier_at(histogram: DataFrame, paths: DataFrame, height: int, level: int,
 
 
 def tclose_buckets(
-    histogram: DataFrame, limits: DataFrame, paths: DataFrame, height: int
+    histogram: DataFrame, limits: Sequence[float], paths: DataFrame, height: int
 ) -> DataFrame:
     """Highest taxonomy nodes whose cost stays below the threshold.
 
@@ -200,7 +199,7 @@ def tclose_buckets(
     """
     cost = hierarchy_cost(histogram, paths, height)
     chosen = (
-        cost.crossJoin(F.broadcast(limits))
+        _per_threshold(cost, limits)
         .where(F.col("cost") < F.col("threshold"))
         .groupBy("threshold", "sa")
         .agg(F.max(F.struct("level", "node", "cost")).alias("at"))
@@ -312,7 +311,7 @@ def _cut(
 
 
 def overlap_buckets(
-    histogram: DataFrame, limits: DataFrame, paths: DataFrame, height: int
+    histogram: DataFrame, limits: Sequence[float], paths: DataFrame, height: int
 ) -> DataFrame:
     """Bottom-up fill along the taxonomy; values may be split over buckets.
 

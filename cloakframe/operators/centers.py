@@ -129,8 +129,10 @@ def class_centers_kmeans(
     columns = list(columns)
     ranked = _rank_by_size(class_sizes)
     k = ranked.count()
-    if k < 2:
-        raise ValueError("clustering needs at least two classes")
+    if k == 1:
+        mean = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
+        # One class, one row: its centre is the mean of the table.
+        return ranked.crossJoin(mean)
     vectors = VectorAssembler(inputCols=columns, outputCol="__features").transform(
         df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     )
@@ -225,7 +227,8 @@ def redistribute_by_center(
 def seed_centers_mixed(
     df: DataFrame,
     columns: Sequence[str],
-    categories: Mapping[str, tuple[DataFrame, int]],
+    categories: Sequence[tuple[str, int]],
+    paths: DataFrame,
     pid: str,
     k: int,
     steps: int = 5,
@@ -233,24 +236,16 @@ def seed_centers_mixed(
 ) -> DataFrame:
     """Seed centres by squared numeric plus taxonomy distance.
 
-    ``columns`` are standardized; ``categories`` gives the ancestor paths and
-    the height of every categorical column. From one row on, each step adds
-    rows with probability 2 k cost / (sum of costs), the cost being the
-    distance to the nearest centre so far, drawn by a hash of the identifier.
-    Returned are the k candidates that most rows are nearest to, with that
-    ``weight``. Two values of a tree at uniform depth are as far apart as the
-    share of their ancestors that differ, so the levels are compared one by one.
+    ``columns`` are standardized; ``categories`` gives the height of every
+    categorical column. From one row on, each step adds rows with probability
+    2 k cost / (sum of costs), the cost being the distance to the nearest
+    centre so far, drawn by a hash of the identifier. Returned are the k
+    candidates that most rows are nearest to, with that ``weight``.
     """
+    from .taxonomy import with_ancestors
+
     columns = list(columns)
-    levels: dict[str, float] = {}
-    rows = df
-    for i, (c, (paths, height)) in enumerate(categories.items()):
-        look = paths.select(F.col("node").alias(c), F.col("path").alias("__path"))
-        rows = rows.join(look, c)
-        for step in range(height):
-            rows = rows.withColumn(f"__l{i}_{step}", F.get("__path", F.lit(step)))
-            levels[f"__l{i}_{step}"] = 1.0 / height
-        rows = rows.drop("__path")
+    rows, levels = with_ancestors(df, categories, paths)
     rows = rows.withColumn("__id", F.xxhash64(pid)).withColumns(
         {"__near": F.lit(None).cast("bigint"), "__cost": F.lit(float("inf"))}
     )
@@ -293,5 +288,5 @@ def seed_centers_mixed(
         candidates.join(weights, "__id")
         .orderBy(F.desc("weight"), pid)
         .limit(k)
-        .select(pid, *columns, *categories, "weight")
+        .select(pid, *columns, *[c for c, _ in categories], "weight")
     )

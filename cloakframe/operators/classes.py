@@ -212,7 +212,7 @@ def collect_leaves(plan: DataFrame, states: DataFrame) -> DataFrame:
     """Classes in long form: ``threshold, level, path, bucket, size``."""
     leaves = expand_nodes(states).select("threshold", "level", "path")
     size = F.expr("shiftright(freq + path, level)")
-    return leaves.join(bucket_sizes(plan), "threshold").select(
+    return leaves.join(small_side(bucket_sizes(plan), plan.count()), "threshold").select(
         "threshold", "level", "path", "bucket", size.alias("size")
     )
 

@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 
 #: Rows that one window partition may hold.
 CELL_ROWS = 1_000_000
-#: Ranges of the order key.
+#: Ranges of the order key, and sampled rows per range that place them.
 MAX_RANGES = 65_536
+SAMPLE_ROWS = 50
+#: Most partitions that a ranking asks for by itself.
+MAX_WIDTH = 32_768
 
 
 def rank_within(
@@ -53,7 +56,7 @@ def rank_within(
     cells = cut.transform(as_double).withColumn("__cell_tie", tie_cell).drop("__cell_key")
 
     cell = [*groups, "__cell_range", "__cell_tie"]
-    width = math.ceil(rows / cell_rows)
+    width = min(math.ceil(rows / cell_rows), MAX_WIDTH)
     if width > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         # More partitions than the session's setting, so that one stays small.
         cells = cells.repartition(width, *cell)
@@ -85,9 +88,12 @@ def _ranges(
     """
     parts = min(max(2 * math.ceil(rows / cell_rows), 2), MAX_RANGES)
     probabilities = [i / parts for i in range(1, parts)]
-    found = df.select(F.col(key).cast("double").alias("k")).approxQuantile(
-        "k", probabilities, 1.0 / (4 * parts)
-    )
+    keys = df.select(F.col(key).cast("double").alias("k"))
+    fraction = parts * SAMPLE_ROWS / rows
+    if fraction < 1:
+        # The bounds decide only how even the ranges are, not the ranks.
+        keys = keys.sample(fraction=fraction, seed=1)
+    found = keys.approxQuantile("k", probabilities, 1.0 / (4 * parts))
     # A value that fills a whole range shows up at two quantiles or more; it
     # gets a range of its own, [value, next number).
     times = Counter(found)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
+from .centers import nearest_center
 
 ROOT = "*"
 #: Levels after which a walk without a given height is taken for a cycle.
@@ -172,6 +173,25 @@ def taxonomy_distance(
     return out.select(*pairs.columns, total.alias(name))
 
 
+def with_ancestors(
+    df: DataFrame, columns: Sequence[tuple[str, int]], paths: DataFrame
+) -> tuple[DataFrame, dict[str, float]]:
+    """Add one column per tree level of every value, and give their weights.
+
+    At uniform depth, (steps to the common ancestor) / height is the share of
+    the levels on which two values have different ancestors.
+    """
+    weights: dict[str, float] = {}
+    out = df
+    for i, (c, height) in enumerate(columns):
+        out = _with_path(out, c, paths, "__path")
+        for level in range(height):
+            out = out.withColumn(f"__l{i}_{level}", F.get("__path", F.lit(level)))
+            weights[f"__l{i}_{level}"] = 1.0 / height
+        out = out.drop("__path")
+    return out, weights
+
+
 def taxonomy_distance_nearest(
     df: DataFrame,
     columns: Sequence[tuple[str, int]],
@@ -181,31 +201,13 @@ def taxonomy_distance_nearest(
 ) -> DataFrame:
     """Smallest taxonomy distance of a row to a set of centres.
 
-    The distance of a row depends only on its categorical values, so it is
-    computed once per distinct combination and joined back: the combinations
-    are bounded by the trees, not by the rows. The centres are reduced to
-    their distinct combinations in the same way and held as one array.
+    The distance depends only on the categorical values, so it is computed
+    once per distinct combination and joined back. A row is null in ``name``
+    if there is no centre.
     """
     names = [c for c, _ in columns]
-    combos = df.select(*names).distinct()
-    wanted = centers.select(*names).distinct()
-    for i, c in enumerate(names):
-        combos = _with_path(combos, c, paths, f"__p{i}")
-        wanted = _with_path(wanted, c, paths, f"__c{i}")
-    packed = wanted.agg(
-        F.collect_list(F.struct(*[F.col(f"__c{i}") for i in range(len(names))])).alias("__centers")
-    )
-
-    def to_center(center: Column) -> Column:
-        total = F.lit(0.0)
-        for i, (_, height) in enumerate(columns):
-            total = total + _steps_to_common(F.col(f"__p{i}"), center[f"__c{i}"]) / F.lit(
-                float(height)
-            )
-        return total
-
-    # One row on the right: the array of distinct centre combinations.
-    measured = combos.crossJoin(packed).select(
-        *names, F.array_min(F.transform("__centers", to_center)).alias(name)
-    )
-    return df.join(measured, names)
+    combos, weights = with_ancestors(df.select(*names).distinct(), columns, paths)
+    wanted, _ = with_ancestors(centers.select(*names).distinct(), columns, paths)
+    wanted = wanted.withColumn("center", F.xxhash64(*names))
+    measured = nearest_center(combos, [], wanted, distance=name, mismatch=weights)
+    return df.join(measured.select(*names, name), names)

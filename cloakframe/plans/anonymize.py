@@ -15,7 +15,6 @@ from ..operators.bucketing import (
     beta_buckets,
     overlap_buckets,
     tclose_buckets,
-    thresholds,
 )
 from ..operators.classes import bucket_sizes, class_states, count_classes, seat_runs
 from ..operators.mondrian import mondrian_partition, mondrian_release
@@ -39,15 +38,14 @@ def bucket_plan(
 ) -> DataFrame:
     """Bucket plan of every threshold, from one histogram."""
     histogram = sa_histogram(df, sa)
-    values = thresholds(df.sparkSession, limits)
     if method == "beta":
-        return beta_buckets(histogram, values)
+        return beta_buckets(histogram, limits)
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     if paths is None or height is None:
         raise ValueError(f"{method} needs the taxonomy of the sensitive attribute")
     build = overlap_buckets if method == "overlap" else tclose_buckets
-    return build(histogram, values, paths, height)
+    return build(histogram, limits, paths, height)
 
 
 @dataclass(frozen=True)

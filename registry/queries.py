@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakframe.functions import likeness_cap, round_half_up
@@ -283,7 +283,7 @@ def taxonomy_distance(spark, d):
        + """SELECT pid AS c_custkey,
   min(CASE WHEN sa = n_name THEN 0.0::DOUBLE WHEN region = r_name THEN 0.5::DOUBLE
            ELSE 1.0::DOUBLE END) AS distance
-  FROM cust, near GROUP BY pid""")
+  FROM cust LEFT JOIN near ON true GROUP BY pid""")
 def taxonomy_distance_nearest(spark, d):
     supplier, nation = table(spark, d, "supplier"), table(spark, d, "nation")
     near = supplier.where("s_acctbal > 8000").join(
@@ -376,17 +376,19 @@ def hierarchy_cost(spark, d):
 
 
 @query(sql.with_(*CUST_SEATS) + """
-SELECT (SELECT count(*) FROM cust) AS rows, (SELECT CAST(sum(freq) AS BIGINT) FROM buckets)
-  AS bucket_rows, (SELECT CAST(sum(size) AS BIGINT) FROM seats) AS class_rows""")
+SELECT 'table' AS counted, count(*) AS rows FROM cust
+UNION ALL SELECT 'buckets', CAST(sum(freq) AS BIGINT) FROM buckets
+UNION ALL SELECT 'classes', CAST(sum(size) AS BIGINT) FROM seats""")
 def row_count(spark, d):
     """Rows of the table, of all buckets and of all classes."""
     made = cust_classes(spark, d)
-    in_buckets = classes.bucket_sizes(made.plan).agg(F.sum("freq").alias("bucket_rows"))
-    in_classes = made.runs.agg(
-        F.sum(F.col("size") * F.col("classes")).cast("bigint").alias("class_rows")
-    )
-    # Three one-row frames.
-    return stats.row_count(cust(spark, d)).crossJoin(in_buckets).crossJoin(in_classes)
+    in_buckets = classes.bucket_sizes(made.plan).agg(F.sum("freq").alias("rows"))
+    in_classes = made.runs.agg(F.sum(F.col("size") * F.col("classes")).alias("rows"))
+    parts = {"table": stats.row_count(cust(spark, d)), "buckets": in_buckets,
+             "classes": in_classes}
+    listed = [p.select(F.lit(n).alias("counted"), lng("rows").alias("rows"))
+              for n, p in parts.items()]
+    return listed[0].unionByName(listed[1]).unionByName(listed[2])
 
 
 _LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -458,40 +460,42 @@ def qi_norm(spark, d):
     return rows.select("o_orderkey", r6("norm").alias("norm"))
 
 
-_GRID = """grid AS (
-  SELECT g.cat, h.sa, coalesce(c.n, 0) / g.n AS p, h.p AS q
-  FROM (SELECT cat, count(*) AS n FROM {src} GROUP BY cat) g CROSS JOIN hist h
-  LEFT JOIN (SELECT cat, sa, count(*) AS n FROM {src} GROUP BY cat, sa) c
-    ON c.cat = g.cat AND c.sa = h.sa)"""
+_SHARES = """held AS (
+  SELECT l.level, l.path, b.bucket, s.share AS q,
+         ((b.freq + l.path) >> l.level) / sum((b.freq + l.path) >> l.level)
+           OVER (PARTITION BY l.level, l.path) AS p
+  FROM leaves l, buckets b JOIN shares s ON s.bucket = b.bucket)"""
 
 
-def _grid(df: DataFrame, by: str, sa: str) -> DataFrame:
-    """Shares of every value in every group of ``by`` and in the table."""
-    counts = df.groupBy(by, sa).agg(F.count(F.lit(1)).alias("n"))
-    groups = df.groupBy(by).agg(F.count(F.lit(1)).alias("size"))
-    overall = stats.sa_histogram(df, sa).select(F.col("sa").alias(sa), F.col("p").alias("q"))
-    # Groups times values: the categories the two distributions are compared on.
-    return (
-        groups.crossJoin(overall)
-        .join(counts, [by, sa], "left")
-        .select(by, sa, (F.coalesce("n", F.lit(0)) / F.col("size")).alias("p"), "q")
+def _bucket_shares(spark, d) -> DataFrame:
+    """Share of every bucket in every class (p) and in the table (q)."""
+    made = plans.class_plan(
+        ord_(spark, d), "n_name", "tclose", CLOSE, paths(spark, d), HEIGHT
     )
+    leaves = classes.collect_leaves(made.plan, made.states)
+    sizes = classes.bucket_sizes(made.plan)
+    total = F.sum("freq").over(Window.partitionBy("threshold"))
+    overall = sizes.select("bucket", (F.col("freq") / total).alias("q"))
+    here = F.sum("size").over(Window.partitionBy("level", "path"))
+    return leaves.withColumn("p", F.col("size") / here).join(overall, "bucket")
 
 
-@query(sql.with_(sql.ORD, sql.hist("ord"), _GRID.format(src="ord")) + f"""
-SELECT cat AS o_orderpriority, {sql.r6("sum(abs(run))")} AS emd FROM (
-  SELECT cat, sum(p - q) OVER (PARTITION BY cat ORDER BY sa) AS run FROM grid) GROUP BY cat""")
+@query(sql.with_(*CLOSE_PLAN, sql.tree("emd"), _SHARES) + f"""
+SELECT CAST(level AS BIGINT) AS level, path, {sql.r6("sum(abs(run))")} AS emd FROM (
+  SELECT level, path, sum(p - q) OVER (PARTITION BY level, path ORDER BY bucket) AS run FROM held)
+GROUP BY level, path""")
 def emd(spark, d):
-    grid = _grid(ord_(spark, d), "o_orderpriority", "n_name")
-    return stats.emd(grid, ["o_orderpriority"], "n_name", "p", "q").withColumn("emd", r6("emd"))
+    far = stats.emd(_bucket_shares(spark, d), ["level", "path"], "bucket", "p", "q")
+    return far.select(lng("level").alias("level"), "path", r6("emd").alias("emd"))
 
 
-@query(sql.with_(sql.ORD, sql.hist("ord"), _GRID.format(src="ord")) + f"""
-SELECT cat AS o_orderpriority,
-  {sql.r6("sum(CASE WHEN p > 0 THEN p * ln(p / q) ELSE 0 END)")} AS kl FROM grid GROUP BY cat""")
+@query(sql.with_(*CLOSE_PLAN, sql.tree("emd"), _SHARES) + f"""
+SELECT CAST(level AS BIGINT) AS level, path,
+  {sql.r6("sum(CASE WHEN p > 0 THEN p * ln(p / q) ELSE 0 END)")} AS kl
+FROM held GROUP BY level, path""")
 def kl_divergence(spark, d):
-    grid = _grid(ord_(spark, d), "o_orderpriority", "n_name")
-    return stats.kl_divergence(grid, ["o_orderpriority"], "p", "q").withColumn("kl", r6("kl"))
+    far = stats.kl_divergence(_bucket_shares(spark, d), ["level", "path"], "p", "q")
+    return far.select(lng("level").alias("level"), "path", r6("kl").alias("kl"))
 
 
 _MEDIAN = """SELECT ec, cat FROM (
@@ -922,7 +926,7 @@ def seed_centers_mixed(spark, d):
     rows = stats.zscore(project_roles(cust(spark, d), CUST), CUST.numeric_qis)
     tree = taxonomy.ancestor_paths(segment_edges(spark, d), 1)
     return centers.seed_centers_mixed(
-        rows, CUST.numeric_qis, {"c_mktsegment": (tree, 1)}, "c_custkey", 8
+        rows, CUST.numeric_qis, [("c_mktsegment", 1)], tree, "c_custkey", 8
     )
 
 

@@ -42,7 +42,7 @@ def leaves_of(plan, states):
 
 
 def test_golden_beta(spark):
-    plan = bucketing.beta_buckets(histogram(spark, GOLDEN), bucketing.thresholds(spark, [1.0]))
+    plan = bucketing.beta_buckets(histogram(spark, GOLDEN), [1.0])
     found = [b for b in as_buckets(plan).values()]
     assert [(sorted(c), f) for c, f, _ in found] == [(["a1"], 2), (["a2"], 6), (["b1", "b2"], 16)]
     assert [c for _, _, c in found] == pytest.approx([1 / 6, 1 / 2, 2 / 3])
@@ -53,7 +53,7 @@ def test_golden_beta(spark):
 def test_golden_overlap(spark):
     paths = tree(spark, EDGES, 2)
     plan = bucketing.overlap_buckets(
-        histogram(spark, GOLDEN), bucketing.thresholds(spark, [1.0]), paths, 2
+        histogram(spark, GOLDEN), [1.0], paths, 2
     )
     found = list(as_buckets(plan).values())
     assert [c for c, _, _ in found] == [{"a1": 2, "a2": 2}, {"a2": 4}, {"b1": 8, "b2": 8}]
@@ -65,7 +65,7 @@ def test_golden_overlap(spark):
 def test_golden_tclose(spark):
     paths = tree(spark, EDGES, 2)
     plan = bucketing.tclose_buckets(
-        histogram(spark, GOLDEN), bucketing.thresholds(spark, [0.1, 0.3, 0.6]), paths, 2
+        histogram(spark, GOLDEN), [0.1, 0.3, 0.6], paths, 2
     )
     found = as_buckets(plan)
     caps = {k: round(c, 6) for k, (_, _, c) in found.items()}
@@ -102,7 +102,7 @@ def random_case(seed):
 def test_random_plans(spark, seed):
     hist, parent, height = random_case(seed)
     limits = [0.3, 1.0, 2.5]
-    frame, values = histogram(spark, hist), bucketing.thresholds(spark, limits)
+    frame, values = histogram(spark, hist), limits
     paths = tree(spark, list(parent.items()), height)
 
     plan = materialize(bucketing.beta_buckets(frame, values), "t")
@@ -166,7 +166,7 @@ def test_many_classes(spark):
     """Enough levels that the frontier is written and spread on the way."""
     hist = {f"v{i}": 3000 + i for i in range(3)}
     frame = histogram(spark, hist)
-    plan = materialize(bucketing.beta_buckets(frame, bucketing.thresholds(spark, [0.5])), "t")
+    plan = materialize(bucketing.beta_buckets(frame, [0.5]), "t")
     states = materialize(classes.class_states(plan, "likeness"), "t")
     leaves = classes.expand_nodes(states)
     counted = classes.count_classes(states).first().classes
@@ -178,7 +178,7 @@ def test_many_classes(spark):
 
 def test_min_class_size(spark):
     hist = {"a": 100, "b": 100}
-    plan = bucketing.beta_buckets(histogram(spark, hist), bucketing.thresholds(spark, [1.0]))
+    plan = bucketing.beta_buckets(histogram(spark, hist), [1.0])
     states = classes.class_states(plan, "likeness", min_size=20)
     sizes = classes.collect_leaves(plan, materialize(states, "t"))
     per = sizes.groupBy("level", "path").sum("size").collect()
@@ -211,7 +211,7 @@ def test_taxonomy_validation(spark):
 
 def test_thresholds_positive(spark):
     with pytest.raises(ValueError):
-        bucketing.thresholds(spark, [0.0])
+        bucketing.beta_buckets(histogram(spark, GOLDEN), [0.0])
 
 
 def test_emd_value(spark):

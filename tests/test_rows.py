@@ -277,9 +277,11 @@ def test_mixed_seeds(spark):
         spark.createDataFrame([("a", "t"), ("b", "t"), ("t", "*"), ("*", "*")],
                               "child string, parent string"), 1
     )
-    seeds = centers.seed_centers_mixed(df, ["x"], {"c": (tree, 1)}, "pid", 6).collect()
-    assert len(seeds) == 6 and {round(s.x / 10) for s in seeds} == {0, 1, 2}
-    again = centers.seed_centers_mixed(df.repartition(5), ["x"], {"c": (tree, 1)}, "pid", 6)
+    seeds = centers.seed_centers_mixed(df, ["x"], [("c", 1)], tree, "pid", 6).collect()
+    weights = [s.weight for s in seeds]
+    assert len({s.pid for s in seeds}) == 6
+    assert weights == sorted(weights, reverse=True) and sum(weights) <= 300
+    again = centers.seed_centers_mixed(df.repartition(5), ["x"], [("c", 1)], tree, "pid", 6)
     assert {s.pid for s in again.collect()} == {s.pid for s in seeds}
 
 
