@@ -61,6 +61,7 @@ def nearest_center(
         tables = {
             g: (t["__id"].to_numpy(np.int64), [t[c].to_numpy() for c in (*columns, *weights)])
             for g, t in by_group
+            if len(t)
         }
         shared = df.sparkSession.sparkContext.broadcast(tables)
         best = _best_of(shared, group is not None, len(columns), list(weights.values()))

@@ -106,12 +106,18 @@ def rank_in_partition(
 
 
 def _median_cuts(
-    rows: DataFrame, dims: Sequence[str], groups: DataFrame, pid: str, exact_rows: int
+    rows: DataFrame,
+    dims: Sequence[str],
+    groups: DataFrame,
+    count: int,
+    largest: int,
+    exact_rows: int,
 ) -> DataFrame:
     """``(ec, dim, cut, cut_t1, cut_t2)``: the last row of the lower half.
 
-    ``groups`` lists ``ec, n, dim, lo, hi`` and is written already. A search
-    range is a range of the chosen value or, within one value, of the tie key.
+    ``groups`` lists ``ec, n, dim, lo, hi`` of ``count`` groups, the largest of
+    which has ``largest`` rows. A search range is a range of the chosen value
+    or, within one value, of the tie key.
     """
     search = groups.select(
         "ec",
@@ -127,8 +133,7 @@ def _median_cuts(
     def valued(table: DataFrame) -> DataFrame:
         value = _pick(F.col("dim"), [F.col(d) for d in dims])
         return (
-            rows.withColumns(_ties(pid))
-            .join(small_side(table, count), "ec")
+            rows.join(small_side(table, count), "ec")
             .withColumn("__v", value)
             .where(
                 F.col("__v").between(F.col("lo"), F.col("hi"))
@@ -140,13 +145,7 @@ def _median_cuts(
         place = (x - low).cast("double") / (high - low).cast("double") * F.lit(float(BINS))
         return F.least(F.floor(place), F.lit(BINS - 1))
 
-    while True:
-        divisible = (F.col("hi") > F.col("lo")) | (F.col("thi") > F.col("tlo"))
-        count, largest = search.agg(
-            F.count(F.lit(1)), F.max(F.when(divisible, F.col("n")))
-        ).first()
-        if (largest or 0) <= exact_rows:
-            break
+    while largest > exact_rows:
         spot = F.when(
             F.col("hi") > F.col("lo"), bin_of(F.col("__v"), F.col("lo"), F.col("hi"))
         ).otherwise(
@@ -185,6 +184,8 @@ def _median_cuts(
             ),
             "median",
         )
+        divisible = (F.col("hi") > F.col("lo")) | (F.col("thi") > F.col("tlo"))
+        largest = search.agg(F.max(F.when(divisible, F.col("n")))).first()[0] or 0
     order = Window.partitionBy("ec").orderBy("__v", "__t1", "__t2")
     return (
         valued(search)
@@ -201,24 +202,30 @@ def _median_cuts(
 
 
 def _split_large(
-    rows: DataFrame, dims: Sequence[str], pid: str, stop: int, exact_rows: int
+    rows: DataFrame, dims: Sequence[str], stop: int, exact_rows: int
 ) -> DataFrame:
-    """Split level by level until no group has more than ``stop`` rows."""
+    """Split level by level until no group has more than ``stop`` rows.
+
+    The table is written with its standardized values and tie keys first, so
+    that the scans of a level read them instead of computing them again.
+    """
+    rows = materialize(rows, "standardized")
     while True:
         groups = _group_ranges(rows, dims, "ec").where(F.col("n") > stop)
         groups = materialize(groups, "groups")
-        count = groups.count()
+        count, largest = groups.agg(F.count(F.lit(1)), F.max("n")).first()
         if not count:
             return rows
-        cuts = materialize(_median_cuts(rows, dims, groups, pid, exact_rows), "cuts")
+        cuts = materialize(
+            _median_cuts(rows, dims, groups, count, largest, exact_rows), "cuts"
+        )
         value = _pick(F.col("dim"), [F.col(d) for d in dims])
         tie = (F.col("__t1") > F.col("cut_t1")) | (
             (F.col("__t1") == F.col("cut_t1")) & (F.col("__t2") > F.col("cut_t2"))
         )
         above = (value > F.col("cut")) | ((value == F.col("cut")) & tie)
         moved = (
-            rows.withColumns(_ties(pid))
-            .join(small_side(cuts, count), "ec", "left")
+            rows.join(small_side(cuts, count), "ec", "left")
             .withColumn(
                 "ec",
                 F.when(F.col("cut").isNull(), F.col("ec")).otherwise(
@@ -236,9 +243,14 @@ def _finish_locally(dims: Sequence[str], k: int):
         pdf = pdf.sort_values(["__t1", "__t2"], kind="stable", ignore_index=True)
         values = pdf[list(dims)].to_numpy(np.float64)
         group = pdf["ec"].to_numpy(np.int64).copy()
+        # A row's position in the frame is its place in tie order, so a stable
+        # sort ranks a dimension by (value, tie).
+        count = len(pdf)
+        rank = np.empty(values.shape, np.int64)
+        for d in range(values.shape[1]):
+            rank[np.argsort(values[:, d], kind="stable"), d] = np.arange(count)
         # Rows of the open groups, group by group, and the size of each group.
-        # A row's position in the frame is its place in tie order.
-        rows, sizes = np.arange(len(pdf)), np.array([len(pdf)])
+        rows, sizes = np.arange(count), np.array([count])
         while True:
             open_ = sizes > 2 * k
             rows, sizes = rows[np.repeat(open_, sizes)], sizes[open_]
@@ -248,8 +260,8 @@ def _finish_locally(dims: Sequence[str], k: int):
             part = values[rows]
             width = np.maximum.reduceat(part, first) - np.minimum.reduceat(part, first)
             number = np.repeat(np.arange(len(sizes)), sizes)
-            value = part[np.arange(len(rows)), width.argmax(axis=1)[number]]
-            rows = rows[np.lexsort((rows, value, number))]
+            place = rank[rows, width.argmax(axis=1)[number]]
+            rows = rows[np.argsort(number * count + place)]
             half = sizes // 2
             upper = np.arange(len(rows)) - first[number] >= half[number]
             group[rows] = 2 * group[rows] + upper
@@ -282,20 +294,15 @@ def mondrian_partition(
     dims = [_zname(i) for i in range(len(roles.numeric_qis))]
     rows = base.withColumns(
         {d: scaling.zscore(c) for d, c in zip(dims, roles.numeric_qis)}
-    ).withColumn("ec", F.lit(1).cast("bigint"))
+    ).withColumns({"ec": F.lit(1).cast("bigint"), **_ties(roles.pid)})
     if scaling.rows > max(local_rows, 2 * k):
-        rows = _split_large(rows, dims, roles.pid, max(local_rows, 2 * k), exact_rows)
-    schema = T.StructType(
-        [f for f in rows.schema.fields if f.name not in dims]
-    )
+        rows = _split_large(rows, dims, max(local_rows, 2 * k), exact_rows)
+    hidden = {*dims, "__t1", "__t2"}
+    schema = T.StructType([f for f in rows.schema.fields if f.name not in hidden])
     width = 2 * scaling.rows // local_rows
     if width > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         rows = rows.repartition(width, "ec")
-    return (
-        rows.withColumns(_ties(roles.pid))
-        .groupBy("ec")
-        .applyInPandas(_finish_locally(dims, k), schema)
-    )
+    return rows.groupBy("ec").applyInPandas(_finish_locally(dims, k), schema)
 
 
 def mondrian_release(partitioned: DataFrame, roles: Roles, keep_pid: bool = False) -> DataFrame:

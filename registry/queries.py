@@ -279,16 +279,14 @@ def taxonomy_distance(spark, d):
 
 @query(sql.with_(sql.CUST, """near AS (
   SELECT DISTINCT n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
-  JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal > 8000)""")
+  JOIN region ON n_regionkey = r_regionkey)""")
        + """SELECT pid AS c_custkey,
   min(CASE WHEN sa = n_name THEN 0.0::DOUBLE WHEN region = r_name THEN 0.5::DOUBLE
            ELSE 1.0::DOUBLE END) AS distance
-  FROM cust LEFT JOIN near ON true GROUP BY pid""")
+  FROM cust, near GROUP BY pid""")
 def taxonomy_distance_nearest(spark, d):
     supplier, nation = table(spark, d, "supplier"), table(spark, d, "nation")
-    near = supplier.where("s_acctbal > 8000").join(
-        nation, supplier.s_nationkey == nation.n_nationkey
-    ).select("n_name")
+    near = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select("n_name")
     return taxonomy.taxonomy_distance_nearest(
         cust(spark, d).select("c_custkey", "n_name"), [("n_name", HEIGHT)], near, paths(spark, d)
     ).select("c_custkey", "distance")

@@ -38,7 +38,7 @@ def leaves_of(plan, states):
     out = {}
     for r in classes.collect_leaves(plan, states).collect():
         out.setdefault(r.threshold, {}).setdefault((r.level, r.path), {})[r.bucket] = r["size"]
-    return out
+    return {t: {k: dict(sorted(v.items())) for k, v in c.items()} for t, c in out.items()}
 
 
 def test_golden_beta(spark):
