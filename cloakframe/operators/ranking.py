@@ -99,7 +99,7 @@ def _ranges(
     times = Counter(found)
     repeated = {v: n for v, n in times.items() if n > 1}
     edges = sorted(set(found) | {math.nextafter(v, math.inf) for v in repeated})
-    splits = [-math.inf, *edges, math.inf]
+    splits = [-math.inf, *(edges or [0.0]), math.inf]
     shared: dict[int, list[float]] = {}
     for i, v in enumerate(splits):
         if v in repeated:

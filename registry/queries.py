@@ -115,9 +115,7 @@ def load_descriptor(spark, d):
         F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v"), F.lit(h).alias("h"))
         for i, (c, h) in enumerate(zip(names, heights))
     ]))
-    numeric = F.bool_and(F.try_cast("v", "double").isNotNull()) if hasattr(F, "try_cast") else (
-        F.bool_and(F.col("v").try_cast("double").isNotNull())
-    )
+    numeric = F.bool_and(F.col("v").try_cast("double").isNotNull())
     described = cust(spark, d).select(cells).groupBy("i").agg(
         numeric.alias("numeric"), F.max("h").alias("h")
     )

@@ -39,6 +39,16 @@ def test_rank_in_cells(spark):
     assert {r.pid: r.rn for r in cut.collect()} == whole
 
 
+def test_rank_of_an_empty_part(spark):
+    """The known row count may be that of the whole table."""
+    df = spark.range(10).select(
+        F.col("id").alias("pid"), F.lit(1).alias("g"), F.lit(2.0).alias("k")
+    ).withColumn("tie", tie_key(F.col("pid")))
+    none = df.where("pid < 0")
+    assert rank_within(none, ["g"], "k", "tie", 5000, cell_rows=100).count() == 0
+    assert rank_within(df, ["g"], "k", "tie", 5000, cell_rows=100).agg(F.max("rn")).first()[0] == 10
+
+
 def test_cells_are_small(spark):
     """No window partition of the cut ranking holds a large part of the table."""
     df = spark.range(20000).select(
