@@ -97,11 +97,16 @@ def assign_classes(
     scaling: Scaling | None = None,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
-    """The role columns of ``df`` with ``bucket`` and ``ec``."""
+    """The role columns of ``df`` with ``bucket`` and ``ec``.
+
+    The table is written: recoding and audits read it more than once, and the
+    rows are ranked and shuffled once.
+    """
     rows = project_roles(df, roles)
-    return redistribute_by_norm(
+    assigned = redistribute_by_norm(
         rows, roles, made.plan, made.runs, made.levels, scaling, cell_rows
     )
+    return materialize(assigned, "assigned")
 
 
 def anonymize(
@@ -124,10 +129,6 @@ def anonymize(
         check_unique(df, roles)
     made = class_plan(df, roles.sa, method, threshold, paths, height, min_class_size)
     assigned = assign_classes(df, roles, made, scaling, cell_rows)
-    if scaling.rows > cell_rows:
-        # The release reads the classes twice (means and rows); written once,
-        # the rows are shuffled once.
-        assigned = materialize(assigned, "assigned")
     return recode_mean(assigned, roles, keep_pid, made.classes)
 
 
