@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import quality, simhash
+from cloakframe.llm import quality, repeats, simhash
+from cloakframe.llm.common import text_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +36,15 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
+@query()
+def op2_suffix_array_dedup(spark, d):
+    docs = table(spark, d, "documents")
+    found = repeats.remove_repeats(docs, length=400, with_kept=False).select(
+        "key", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+    )
+    return docs.select("doc_id", text_key("text").alias("key")).join(found, "key").drop("key")
+
+
 @query()
 def op3_quality_classifier(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
