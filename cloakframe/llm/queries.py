@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import quality, repeats, simhash
+from cloakframe.llm import packing, quality, repeats, simhash
 from cloakframe.llm.common import text_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,9 @@ def op4_simhash_near_dedup(spark, d):
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+@query()
+def op10_best_fit_packing(spark, d):
+    docs = table(spark, d, "documents")
+    return packing.pack_documents(docs, keep=["doc_id"], capacity=1024)
