@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.runtime import materialize
 
-__all__ = ["drop_path", "materialize", "pieces", "slices", "text_key", "whole", "workers"]
+__all__ = ["distinct_texts", "drop_path", "materialize", "pieces", "slices", "text_key", "whole", "workers"]
 
 
 def whole(text: str | Column) -> Column:
@@ -23,6 +23,13 @@ def text_key(text: str | Column) -> Column:
     return F.unhex(F.md5(whole(text).cast("binary")))
 
 
+def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(key, text, copies) per distinct text, written once."""
+    rows = docs.select(text_key(text_col).alias("key"), whole(text_col).alias("text"))
+    made = rows.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    return materialize(made, "distinct-texts")
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few rows, so that Python holds few texts at a time."""
     for batch in batches:

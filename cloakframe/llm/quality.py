@@ -30,7 +30,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,8 @@ from cloakframe.llm.common import drop_path, materialize, slices
 BITS = 18
 #: Pieces of words that a worker remembers; beyond it starts afresh.
 CACHE_WORDS = 400_000
+#: A text with a score below this is rejected.
+KEEP_SCORE = 0.3
 _PIECE = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\s]+")
 _SPREAD, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _REPEAT = np.uint64(0x165667B19E3779F9)
@@ -158,6 +160,11 @@ def fit(
     return _weights(state[0], state[1], rate, smooth, l1, l2)
 
 
+def held_out(id_col: str) -> Column:
+    """Rows to test on: crc32 of the identifier's text leaves no rest by 5."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+
+
 def training_rows(
     docs: DataFrame,
     labels: DataFrame,

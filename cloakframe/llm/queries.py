@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import packing, quality, repeats, simhash
+from cloakframe.llm import decontaminate, packing, quality, repeats, simhash
 from cloakframe.llm.common import text_key
+from cloakframe.llm.quality import KEEP_SCORE, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: A text with a score below this is rejected.
-KEEP_SCORE = 0.3
-
-
 def query(oracle: str | None = None):
     def add(fn):
         QUERIES[fn.__name__] = fn
@@ -31,11 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def held_out() -> F.Column:
-    """Rows whose crc32 of the identifier's text leaves no rest by 5."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-
-
 @query()
 def op2_suffix_array_dedup(spark, d):
     docs = table(spark, d, "documents")
@@ -48,11 +41,11 @@ def op2_suffix_array_dedup(spark, d):
 @query()
 def op3_quality_classifier(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    weights = quality.fit(quality.training_rows(docs, labels.where(~held_out())), "text", "y", "at")
+    weights = quality.fit(quality.training_rows(docs, labels.where(~held_out("doc_id"))), "text", "y", "at")
     scored = quality.score(docs.select("doc_id", "text"), weights)
     return scored.select(
         "doc_id",
-        F.coalesce(held_out(), F.lit(False)).alias("held_out"),
+        F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"),
     )
@@ -68,7 +61,19 @@ def op4_simhash_near_dedup(spark, d):
     )
 
 
+@query()
+def op8_benchmark_decontamination(spark, d):
+    """A row per document and test item that it holds."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    return decontaminate.contaminated(docs, items, keep=["doc_id"])
+
+
 @query()
 def op10_best_fit_packing(spark, d):
     docs = table(spark, d, "documents")
     return packing.pack_documents(docs, keep=["doc_id"], capacity=1024)
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, d):
+    return corpus_pipeline.run(spark, d)

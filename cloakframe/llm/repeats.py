@@ -1,26 +1,28 @@
 """Removal of repeated passages: depth-limited radix sort of the suffixes.
 
-A window is the first ``length`` bytes of a suffix; only suffixes with that many
-bytes count. Windows are told apart digit by digit, most significant first, and a
+Texts are strings of units: bytes, or words (runs without ASCII white space, which
+keep characters whole). A window is the first ``length`` units of a suffix; only
+suffixes with that many count. Windows are told apart digit by digit, most significant first, and a
 group is left as soon as its answer is known, so the equal groups at the end are
-exactly the repeated windows. No suffix is ever compared beyond ``length`` bytes.
+exactly the repeated windows. No suffix is ever compared beyond ``length`` units.
 
-The order in which a window's bytes are taken as digits is free, as long as equal
-windows take them in the same order. Here a window's first digit is the ``GRAM``
-bytes, anywhere in the window, that hash lowest. Neighbouring windows share them,
+The order in which a window's units are taken as digits is free, as long as equal
+windows take them in the same order. Here a window's first digit is the gram (a few
+neighbouring units), anywhere in the window, that hashes lowest. Neighbouring windows share them,
 so one row stands for a *run* of suffixes (some 180 on prose), and all further
 digits are taken outwards from there:
 
 1. runs by their gram. A gram that occurs once ends all its windows: unique.
-2. runs by all bytes that their windows cover. Equal runs end as repeated. They
+2. runs by all that their windows cover. Equal runs end as repeated. They
    stay in the game as one row, as partners of the runs that are still open.
-3. the windows of the open runs and their partners, one by one, by all bytes.
+3. the windows of the open runs and their partners, one by one, as a whole.
 
 Only runs at the edges of a repeated passage reach the third pass. All windows of
-a run contain its gram, so the bytes that its repeated windows cover are one span,
+a run contain its gram, so what its repeated windows cover is one span,
 given by the first and the last of them.
 
-Byte strings are compared by 128-bit hashes (XXH3) of all their bytes. Passes are
+Strings are compared by 128-bit hashes (XXH3) of all their bytes (of words, by
+those of the words' 64-bit hashes). Passes are
 aggregates with partial sums on those hashes, joined back to the runs; no group
 is gathered in a task, however many documents share a passage. Equal texts are
 taken once, with their number.
@@ -32,6 +34,7 @@ any equal texts; null identifiers are kept.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -41,12 +44,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import drop_path, materialize, slices, text_key, whole
+from cloakframe.llm.common import distinct_texts, materialize, slices
 
-#: Bytes of a window's first digit.
-GRAM = 32
+#: Units of a window's first digit.
+GRAMS = {"bytes": 32, "words": 6}
 #: Windows of a text that are hashed at a time.
 BLOCK = 1 << 20
+_WORD = re.compile(rb"\S+")
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _RUN = pa.schema(
     [("key", pa.binary()), ("gram", pa.int64()), ("run", pa.binary()), ("at", pa.int32()),
@@ -54,15 +58,29 @@ _RUN = pa.schema(
 )
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each position on (uint64)."""
-    word = data.astype(np.uint64)
-    for step in (1, 2, 4):  # eight bytes from each position as one number
-        word = word[:-step] | (word[step:] << np.uint64(8 * step))
-    n = len(data) - GRAM + 1
+def unit_codes(text: str | None, units: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The text's bytes, a code per unit, and where units start and end in the bytes."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    if units == "bytes":
+        places = np.arange(len(data) + 1)
+        return data, np.frombuffer(data, np.uint8), places[:-1], places[1:]
+    found = [m.span() for m in _WORD.finditer(data)]
+    places = np.array(found, np.int64).reshape(-1, 2)
+    codes = (xxhash.xxh64_intdigest(data[a:b]) for a, b in found)
+    return data, np.fromiter(codes, np.uint64, len(found)), places[:, 0], places[:, 1]
+
+
+def _gram_hashes(codes: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the ``gram`` units from each position on (uint64)."""
+    n = len(codes) - gram + 1
+    word, width = codes.astype(np.uint64), 1
+    if codes.dtype == np.uint8:
+        width = 8
+        for step in (1, 2, 4):  # eight bytes from each position as one number
+            word = word[:-step] | (word[step:] << np.uint64(8 * step))
     out = np.zeros(n, np.uint64)
-    for k in range(GRAM // 8):
-        out ^= word[8 * k : 8 * k + n]
+    for k in range(gram // width):
+        out ^= word[width * k : width * k + n]
         out *= _MIX[k % 3]
         out ^= out >> np.uint64(29)
     return out * _MIX[0]
@@ -80,21 +98,21 @@ def _sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs(data: bytes, length: int) -> Iterator[tuple[int, int, int, int]]:
+def runs(codes: np.ndarray, length: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
     """(gram hash, gram place, first window, last window), windows in order.
 
     Windows that share a gram at one place are one run; of equal grams in a window
     the first counts. A very long text is taken in blocks of windows; a run that a
     block's end cuts is two runs, which the third pass compares like any others.
     """
-    for start in range(0, len(data) - length + 1, BLOCK):
-        for gram, at, first, last in _block_runs(data[start : start + BLOCK + length - 1], length):
-            yield gram, start + at, start + first, start + last
+    for start in range(0, len(codes) - length + 1, BLOCK):
+        for mark, at, first, last in _block_runs(codes[start : start + BLOCK + length - 1], length, gram):
+            yield mark, start + at, start + first, start + last
 
 
-def _block_runs(data: bytes, length: int) -> Iterator[tuple[int, int, int, int]]:
-    hashes = _gram_hashes(np.frombuffer(data, np.uint8))
-    width = length - GRAM + 1
+def _block_runs(codes: np.ndarray, length: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
+    hashes = _gram_hashes(codes, gram)
+    width = length - gram + 1
     least = _sliding_minimum(hashes, width)
     n = len(least)
     # the first place from each window's start on that holds the window's minimum
@@ -112,14 +130,15 @@ def _block_runs(data: bytes, length: int) -> Iterator[tuple[int, int, int, int]]
                 break
 
 
-def _run_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _run_rows(batches: Iterator[pa.RecordBatch], length: int, units: str) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_128_digest
     for part in slices(batches, 64):
         cols: list[list] = [[] for _ in _RUN]
         for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-            data = text.encode("utf-8", "surrogatepass")
-            for gram, at, first, last in runs(data, length):
-                cover = (at - first).to_bytes(4, "little") + data[first : last + length]
+            _, codes, _, _ = unit_codes(text, units)
+            raw, size = codes.tobytes(), codes.itemsize
+            for gram, at, first, last in runs(codes, length, GRAMS[units]):
+                cover = (at - first).to_bytes(4, "little") + raw[first * size : (last + length) * size]
                 for col, value in zip(cols, (key, gram, digest(cover), at, first, last)):
                     col.append(value)
         yield pa.RecordBatch.from_arrays(
@@ -127,32 +146,33 @@ def _run_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         )
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _window_rows(batches: Iterator[pa.RecordBatch], length: int, units: str) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_128_digest
     names = ["run", "copies", "window", "start"]
     for part in slices(batches, 32):
         cols: list[list] = [[], [], [], []]
         for text, open_runs in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-            data = text.encode("utf-8", "surrogatepass")
+            _, codes, _, _ = unit_codes(text, units)
+            raw, size = codes.tobytes(), codes.itemsize
             for r in open_runs:
                 first, last = r["first"], r["last"]
                 cols[0] += [r["run"]] * (last - first + 1)
                 cols[1] += [r["copies"]] * (last - first + 1)
-                cols[2] += [digest(data[p : p + length]) for p in range(first, last + 1)]
+                cols[2] += [digest(raw[p * size : (p + length) * size]) for p in range(first, last + 1)]
                 cols[3] += range(first - r["at"], last - r["at"] + 1)
         kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
 
-def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
-    """(key, spans): per text with repeats, the (start, end) that repeated windows cover.
+def repeated_spans(texts: DataFrame, length: int, units: str) -> DataFrame:
+    """(key, spans): per text with repeats, the units (start, end) that repeated windows cover.
 
     ``texts(key, text, copies)`` has one row per distinct text. Spans may touch or
     overlap; there is one per run.
     """
     own = texts.select("key", "text", "copies")
     made = own.select("key", "text").mapInArrow(
-        lambda batches: _run_rows(batches, length),
+        lambda batches: _run_rows(batches, length, units),
         "key binary, gram long, run binary, at int, first int, last int",
     )
     table = materialize(made, "runs")
@@ -177,7 +197,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
         .join(by_text, "key")
         .select("text", "runs")
         .mapInArrow(
-            lambda batches: _window_rows(batches, length),
+            lambda batches: _window_rows(batches, length, units),
             "run binary, copies long, window binary, start int",
         )
     )
@@ -230,38 +250,35 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 _RESULT = "key binary, kept binary, spans array<struct<start:int,end:int>>, n_bytes long, n_removed long, kept_sha256 string"
 
 
-def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, text, copies) per distinct text, written once."""
-    rows = docs.select(text_key(text_col).alias("key"), whole(text_col).alias("text"))
-    made = rows.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    return materialize(made, "distinct-texts")
-
-
 def remove_repeats(
-    docs: DataFrame, text_col: str = "text", length: int = 400, with_kept: bool = True
+    docs: DataFrame,
+    text_col: str = "text",
+    length: int = 400,
+    units: str = "bytes",
+    with_kept: bool = True,
 ) -> DataFrame:
-    """Per distinct text: ``key``, the remaining bytes, the removed spans and their counts.
+    """Per distinct text: ``key``, the remaining text, the removed spans (bytes) and counts.
 
-    Every byte that is covered by a ``length``-byte string which also starts
+    Every unit that is covered by a string of ``length`` units which also starts
     somewhere else (the same text included) is removed; strings are judged on the
-    input. Join to the documents on ``common.text_key``.
+    input. ``kept`` is binary. Join to the documents on ``common.text_key``.
     """
-    if length < GRAM + 1:
-        raise ValueError(f"length must be over {GRAM} bytes")
+    if length <= GRAMS[units]:
+        raise ValueError(f"length must be over {GRAMS[units]} {units}")
     texts = distinct_texts(docs, text_col)
     # A text with copies is repeated as a whole, if long enough for one window.
-    found = repeated_spans(texts, length)
+    found = repeated_spans(texts, length, units)
     joined = texts.join(found, "key", "left").select("key", "text", "copies", "spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 64):
             rows = []
             for key, text, copies, spans in zip(*(c.to_pylist() for c in part.columns)):
-                data = text.encode("utf-8", "surrogatepass")
-                if copies > 1 and len(data) >= length:
-                    gone = [(0, len(data))]
-                else:
-                    gone = merge([(s["start"], s["end"]) for s in spans or ()])
+                data, codes, starts, ends = unit_codes(text, units)
+                if copies > 1 and len(codes) >= length:
+                    spans = [{"start": 0, "end": len(codes)}]
+                gone = merge([(s["start"], s["end"]) for s in spans or ()])
+                gone = [(int(starts[a]), int(ends[b - 1])) for a, b in gone]
                 kept = cut(data, gone)
                 rows.append(
                     {

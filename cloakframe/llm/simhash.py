@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.llm.common import materialize, slices
+from cloakframe.llm.common import distinct_texts, materialize, slices, text_key
 from cloakframe.llm.components import components
 
 SEED = 42
@@ -100,3 +100,134 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = named.join(heads, "root").select("fingerprint", "component_id")
     return prints.join(classes, "fingerprint").select(id_col, "fingerprint", "component_id")
+
+
+# ------------------------------------------------- near copies by similarity
+
+#: Word pairs carry the prints of near copies: an edit changes few of them.
+PRINT_WORDS = 2
+
+
+def wide_prints(text: str, prints: int, bits: int, words_each: int = PRINT_WORDS) -> list[int]:
+    """``prints`` independent fingerprints of ``bits`` bits (prints * bits <= 256)."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    shingles = {b" ".join(words[i : i + words_each]) for i in range(max(1, len(words) - words_each + 1))}
+    raw = b"".join([xxhash.xxh3_128_digest(s, 1) + xxhash.xxh3_128_digest(s, 2) for s in shingles])
+    hashes = np.frombuffer(raw, np.uint8).reshape(-1, 32)
+    counts = np.zeros(256, np.int64)
+    for at in range(0, len(hashes), 65536):
+        counts += np.unpackbits(hashes[at : at + 65536], axis=1).sum(axis=0, dtype=np.int64)
+    number = int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+    return [(number >> (t * bits)) & ((1 << bits) - 1) for t in range(prints)]
+
+
+def shingle_set(text: str, width: int) -> frozenset[int]:
+    """Hashes of the text's distinct shingles (all words, if fewer than ``width``)."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return frozenset(
+        xxhash.xxh3_64_intdigest(b" ".join(words[i : i + width]))
+        for i in range(max(1, len(words) - width + 1))
+    )
+
+
+def _print_rows(batches: Iterator[pa.RecordBatch], prints: int, bits: int) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches):
+        keys, marks = [], []
+        for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            keys += [key] * prints
+            marks += [t << bits | p for t, p in enumerate(wide_prints(text, prints, bits))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.binary()), pa.array(marks, pa.int64())], ["key", "mark"]
+        )
+
+
+def _verify(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Iterator[pa.RecordBatch]:
+    held: dict[bytes, frozenset[int]] = {}
+    for part in slices(batches, 64):
+        us, vs = [], []
+        for u, v, left, right in zip(*(c.to_pylist() for c in part.columns)):
+            a = shingle_set(left, width)
+            if v not in held:
+                held.clear()  # pairs come sorted by v: its set is used again and again
+                held[v] = shingle_set(right, width)
+            b = held[v]
+            if len(a & b) >= least * len(a | b):
+                us.append(u)
+                vs.append(v)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"]
+        )
+
+
+def near_copy_classes(
+    texts: DataFrame,
+    width: int = 5,
+    min_similarity: float = 0.8,
+    prints: int = 5,
+    bits: int = 36,
+) -> DataFrame:
+    """(key, root) for the texts that have near copies; root: one key of the class.
+
+    ``texts(key, text)`` has one row per distinct text. Two texts are near copies
+    if the Jaccard similarity of their sets of ``width``-word shingles is
+    ``min_similarity`` or more; a class holds what such links connect.
+
+    One 64-bit fingerprint within two bits finds next to no pair of that
+    similarity, so candidates come from several independent shorter fingerprints:
+    each emits its ball of one bit, as above, and texts that meet are held against
+    each other word for word. Within a ball the links tried are to the smallest
+    fingerprint and to the next smaller one; of the texts with one fingerprint, to
+    the first. A ball has at most ``bits`` + 1 members. ``bits`` should exceed the
+    binary logarithm of the number of texts by about 10, or chance meetings make
+    work (never wrong links: every link is verified on the whole texts).
+    """
+    if prints * bits > 256 or bits > 56:
+        raise ValueError("at most 256 bits in all, 56 in a fingerprint")
+    marked = texts.select("key", "text").mapInArrow(
+        lambda batches: _print_rows(batches, prints, bits), "key binary, mark long"
+    )
+    marked = materialize(marked, "prints")
+    firsts = materialize(marked.groupBy("mark").agg(F.min("key").alias("first")), "print-firsts")
+    same = marked.join(firsts, "mark").where("key <> first").select(F.col("key").alias("u"), F.col("first").alias("v"))
+
+    own = F.col("mark")
+    near = [own] + [own.bitwiseXOR(F.lit(1 << i)) for i in range(bits)]
+    met = firsts.select(own, F.explode(F.array(*near)).alias("variant"))
+    ball = Window.partitionBy("variant").orderBy("mark")
+    met = met.withColumn("least", F.first("mark").over(ball)).withColumn("below", F.lag("mark").over(ball))
+    pairs = met.where(F.col("below").isNotNull()).select(
+        own.alias("m"), F.explode(F.array_distinct(F.array("least", "below"))).alias("n")
+    ).distinct()
+    pairs = pairs.join(firsts.select(own.alias("m"), F.col("first").alias("u")), "m").join(
+        firsts.select(own.alias("n"), F.col("first").alias("v")), "n"
+    )
+    tried = same.union(pairs.select("u", "v")).where("u <> v")
+    tried = tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    tried = materialize(tried, "candidate-pairs")
+
+    left = texts.select(F.col("key").alias("u"), F.col("text").alias("left"))
+    right = texts.select(F.col("key").alias("v"), F.col("text").alias("right"))
+    both = tried.join(left, "u").join(right, "v").select("u", "v", "left", "right").sortWithinPartitions("v")
+    links = both.mapInArrow(lambda batches: _verify(batches, width, min_similarity), "u binary, v binary")
+    return components(links).select(F.col("node").alias("key"), "root")
+
+
+def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **near) -> DataFrame:
+    """``docs`` with one row of each class of near copies: the one with the smallest id.
+
+    Null texts are empty; all empty texts are one class. A null identifier comes
+    last; among equal ones any one row stays. All columns are kept.
+    """
+    rows = materialize(
+        docs.withColumn("_key", text_key(text_col)).withColumn("_row", F.monotonically_increasing_id()), "keyed"
+    )
+    texts = distinct_texts(rows, text_col)
+    classes = materialize(near_copy_classes(texts, **near), "copy-classes")
+    placed = rows.select("_key", "_row", F.col(id_col).alias("_id")).join(
+        classes.withColumnRenamed("key", "_key"), "_key", "left"
+    )
+    # nulls last: a struct with the null flag first
+    order = F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("_row").alias("c"))
+    heads = placed.groupBy(F.coalesce("root", "_key").alias("root")).agg(F.min(order).alias("head"))
+    kept = heads.select(F.col("head.c").alias("_row"))
+    return rows.join(kept, "_row").select(*docs.columns)
