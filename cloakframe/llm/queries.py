@@ -8,8 +8,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import decontaminate, packing, quality, repeats, simhash
-from cloakframe.llm.common import text_key
+from cloakframe.llm import chat, decontaminate, packing, quality, repeats, revisits, sharding, simhash
+from cloakframe.llm.common import text_key, whole
 from cloakframe.llm.quality import KEEP_SCORE, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,107 @@ def op4_simhash_near_dedup(spark, d):
     )
 
 
+@query()
+def op5_sharding_histogram_sort(spark, d):
+    text = whole("text")
+    rows = table(spark, d, "documents").select(
+        "doc_id",
+        (F.octet_length(text).cast("long") + 8).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("content"),
+    )
+    placed = sharding.shard_by_bytes(rows, "size", ["content"], shards=24)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def capture_log(pages: DataFrame) -> DataFrame:
+    """WARC records that the pages give: a response each, and revisits around it.
+
+    A revisit with the response's tag follows every page; some pages also have one
+    with another tag, one before the response, and one that only has a date. Their
+    URLs name the page in another spelling.
+    """
+    tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
+    when = F.concat(F.lit("day "), F.col("page_id") % 1000)
+    other = F.concat(F.regexp_replace("url", "^http://", "https://"), F.lit("#r"))
+    page = F.col("page_id")
+
+    def record(k, after, kind, etag, date, url):
+        at = page * 10 + after
+        lines = [
+            F.concat(F.lit("Date: "), at),
+            F.concat(F.lit("Cache-Control: max-age="), F.lit(k)),
+            F.when(etag.isNotNull(), F.concat(F.lit("ETag: "), etag)),
+            F.lit("Content-Type: text/html") if kind == "response" else F.lit("Server: cache"),
+        ]
+        if kind == "response":
+            lines.append(F.concat(F.lit("Content-Length: "), F.octet_length(F.col("html"))))
+        return F.struct(
+            (page * 10 + k).alias("record_id"),
+            url.alias("url"),
+            at.alias("ts"),
+            F.lit(kind).alias("kind"),
+            etag.alias("etag"),
+            date.alias("last_modified"),
+            (F.md5("html") if kind == "response" else F.lit(None).cast("string")).alias("digest"),
+            F.array(*lines).alias("headers"),
+        )
+
+    none = F.lit(None).cast("string")
+    records = F.array(
+        record(0, 0, "response", tag, when, F.col("url")),
+        record(1, 3, "revisit", F.concat(F.lit("W/"), tag), none, other),
+        F.when(page % 3 == 0, record(2, 5, "revisit", F.lit('"old"'), none, F.col("url"))),
+        F.when(page % 5 == 0, record(3, -1, "revisit", tag, none, other)),
+        F.when(page % 7 == 0, record(4, 7, "revisit", none, when, other)),
+    )
+    return pages.select(F.inline(F.filter(records, lambda r: r.isNotNull())))
+
+
+_WARC_SQL = r"""
+WITH p AS (SELECT page_id, url, regexp_replace(url, '^http://', 'https://') || '#r' AS other, md5(html) AS digest,
+    '"' || md5(html)[1:16] || '"' AS tag, 'day ' || (page_id % 1000) AS day, strlen(html) AS n FROM pages),
+log AS (
+  SELECT page_id * 10 AS record_id, url, page_id * 10 AS ts, 'response' AS kind, tag AS etag, day AS last_modified, 0 AS k, n FROM p
+  UNION ALL SELECT page_id * 10 + 1, other, page_id * 10 + 3, 'revisit', 'W/' || tag, NULL, 1, n FROM p
+  UNION ALL SELECT page_id * 10 + 2, url, page_id * 10 + 5, 'revisit', '"old"', NULL, 2, n FROM p WHERE page_id % 3 = 0
+  UNION ALL SELECT page_id * 10 + 3, other, page_id * 10 - 1, 'revisit', tag, NULL, 3, n FROM p WHERE page_id % 5 = 0
+  UNION ALL SELECT page_id * 10 + 4, other, page_id * 10 + 7, 'revisit', NULL, day, 4, n FROM p WHERE page_id % 7 = 0),
+parts AS (SELECT *,
+    regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), ':(80|443)$', ''), '^www\.', '')
+    || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS place,
+    list_sort(list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[^?#]*\?([^#]*)', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS args FROM log),
+rec AS (SELECT *, place || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS url_key FROM parts),
+res AS (SELECT * FROM rec WHERE kind = 'response'),
+near AS (SELECT v.*, r.record_id AS rid, r.etag AS retag, r.last_modified AS rday, r.ts AS rts, r.n AS rn
+  FROM (SELECT * FROM rec WHERE kind = 'revisit') v ASOF LEFT JOIN res r ON v.url_key = r.url_key AND v.ts > r.ts),
+told AS (SELECT *, CASE WHEN rid IS NULL THEN 'orphan'
+    WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = retag THEN 'resolved' ELSE 'mismatch' END
+    WHEN last_modified = rday THEN 'resolved' ELSE 'mismatch' END AS status FROM near)
+SELECT record_id, url_key, ts, kind, 'response' AS status, record_id AS response_id,
+  array_to_string(list_sort(['Date: ' || ts, 'Cache-Control: max-age=0', 'ETag: ' || etag, 'Content-Type: text/html', 'Content-Length: ' || n]), chr(10)) AS headers
+FROM res UNION ALL
+SELECT record_id, url_key, ts, kind, status, CASE WHEN status = 'resolved' THEN rid END,
+  CASE WHEN status = 'resolved' THEN array_to_string(list_sort(['Date: ' || ts, 'Cache-Control: max-age=' || k,
+    'ETag: ' || coalesce(etag, retag), 'Content-Type: text/html', 'Content-Length: ' || rn]), chr(10)) END FROM told"""
+
+
+@query(_WARC_SQL)
+def op6_warc_revisit_resolution(spark, d):
+    """The pages' capture log with its revisits resolved."""
+    found = revisits.resolve_revisits(capture_log(table(spark, d, "pages")))
+    return found.withColumn("headers", F.array_join("headers", "\n"))
+
+
 @query()
 def op8_benchmark_decontamination(spark, d):
     """A row per document and test item that it holds."""
@@ -68,6 +169,24 @@ def op8_benchmark_decontamination(spark, d):
     return decontaminate.contaminated(docs, items, keep=["doc_id"])
 
 
+_CHAT_SQL = """
+WITH t AS (SELECT conv_id, role, text, row_number() OVER w AS position,
+    string_agg(coalesce(role, chr(1)) || chr(2) || coalesce(text, chr(1)), chr(3)) OVER w AS prefix
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
+n AS (SELECT conv_id, max(position) AS n FROM t GROUP BY conv_id),
+whole AS (SELECT t.prefix, min(conv_id) AS conv_id FROM t JOIN n USING (conv_id) WHERE position = n GROUP BY t.prefix),
+inner_ AS (SELECT DISTINCT t.prefix FROM t JOIN n USING (conv_id) WHERE position < n),
+kept AS (SELECT conv_id FROM whole ANTI JOIN inner_ USING (prefix))
+SELECT conv_id, CAST(position AS INTEGER) AS position, '<|im_start|>' || coalesce(role, '') || chr(10)
+  || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered FROM t SEMI JOIN kept USING (conv_id)"""
+
+
+@query(_CHAT_SQL)
+def op9_chat_snapshot_collapse(spark, d):
+    """The turns of every maximal conversation, rendered."""
+    return chat.format_chats(table(spark, d, "conversations"))
+
+
 @query()
 def op10_best_fit_packing(spark, d):
     docs = table(spark, d, "documents")
