@@ -8,9 +8,10 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import chat, decontaminate, packing, quality, repeats, revisits, sharding, simhash
+from cloakframe.llm import chat, decontaminate, lm, packing, quality, repeats, revisits, sharding, simhash, topk
 from cloakframe.llm.common import text_key, whole
 from cloakframe.llm.quality import KEEP_SCORE, held_out
+from cloakframe.runtime import small_side
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_lm_cross_entropy_difference(spark, d):
+    """Target: documents that are labelled good; background: all documents."""
+    good = table(spark, d, "labels").where("quality = 1 AND doc_id IS NOT NULL")
+    good = good.select(F.col("doc_id").alias("good")).distinct()
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    side = small_side(good, good.count())
+    marked = docs.join(side, docs["doc_id"] == side["good"], "left")
+    marked = marked.select("doc_id", "text", F.col("good").isNotNull().alias("is_target"))
+    return lm.cross_entropy_difference(marked, "is_target", keep=["doc_id"])
+
+
 @query()
 def op2_suffix_array_dedup(spark, d):
     docs = table(spark, d, "documents")
@@ -162,6 +175,23 @@ def op6_warc_revisit_resolution(spark, d):
     return found.withColumn("headers", F.array_join("headers", "\n"))
 
 
+_TOPK_SQL = """
+WITH v AS (SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (
+  PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+
+@query(_TOPK_SQL)
+def op7_exact_topk_search(spark, d):
+    vectors = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("id"), topk.quantise("embedding").alias("vector")
+    )
+    return topk.top_k(vectors, vectors.where("id % 20 = 0"), k=20)
+
+
 @query()
 def op8_benchmark_decontamination(spark, d):
     """A row per document and test item that it holds."""
