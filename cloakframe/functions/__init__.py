@@ -5,7 +5,6 @@ from .numeric import (
     likeness_cap,
     order_key,
     round_half_up,
-    squared_distance,
     tie_key,
 )
 
@@ -16,6 +15,5 @@ __all__ = [
     "likeness_cap",
     "order_key",
     "round_half_up",
-    "squared_distance",
     "tie_key",
 ]

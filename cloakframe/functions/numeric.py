@@ -48,11 +48,3 @@ def euclidean_norm(columns: list[Column]) -> Column:
     for c in columns:
         total = total + c * c
     return F.sqrt(total)
-
-
-def squared_distance(left: list[Column], right: list[Column]) -> Column:
-    """Squared Euclidean distance of two equally long lists of columns."""
-    total = F.lit(0.0)
-    for a, b in zip(left, right, strict=True):
-        total = total + (a - b) * (a - b)
-    return total

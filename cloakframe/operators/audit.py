@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialize, small_side
 from .stats import ec_ranges
 from .taxonomy import generalize_to_level
 
@@ -77,16 +78,16 @@ def skew_per_sa(counts: DataFrame) -> DataFrame:
     ``counts`` comes from :func:`class_value_counts`; only values present in
     the class are reported.
     """
-    table = counts.groupBy("value").agg(F.sum("n").alias("__all"))
-    shares = table.withColumn(
-        "p_table",
-        F.col("__all") / F.sum("__all").over(Window.partitionBy(F.lit(0))),
-    ).drop("__all")
+    # As small as the histogram of the sensitive attribute: written, so that its size
+    # is known, and joined to the classes without a shuffle on its few values.
+    table = materialize(counts.groupBy("value").agg(F.sum("n").alias("__all")), "table-counts")
+    values, rows = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("__all"), F.lit(0))).first()
+    shares = table.select("value", (F.col("__all") / F.lit(rows)).alias("p_table"))
     in_class = counts.withColumn(
         "p_class", F.col("n") / F.sum("n").over(Window.partitionBy("ec"))
     )
     change = F.abs(F.col("p_table") - F.col("p_class")) / F.col("p_table") * F.lit(100.0)
-    return in_class.join(shares, "value").select(
+    return in_class.join(small_side(shares, values), "value").select(
         "ec", "value", "p_table", "p_class", change.alias("change")
     )
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import likeness_cap
+from .ranking import CELL_ROWS, rank_within
 
 PLAN_COLUMNS = ["threshold", "bucket", "sa", "quota", "freq", "cap"]
 
@@ -72,19 +73,16 @@ def bucket_dedup(plan: DataFrame) -> DataFrame:
     )
 
 
-def sort_by_cap(histogram: DataFrame, beta: float) -> DataFrame:
+def sort_by_cap(histogram: DataFrame, beta: float, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Position of every sensitive value in cap order, ties by the value.
 
     The cap grows with the share, so ordering by the count gives the same
     order without comparing floating-point numbers.
     """
-    w = Window.partitionBy(F.lit(0)).orderBy("freq", "sa")
-    return histogram.select(
-        "sa",
-        "freq",
-        likeness_cap(F.col("p"), beta).alias("cap"),
-        F.row_number().over(w).cast("bigint").alias("position"),
-    )
+    # The hex digits of a text order as the text does.
+    keyed = histogram.withColumn("__tie", F.hex(F.col("sa").cast("binary")))
+    ranked = rank_within(keyed, [], "freq", "__tie", histogram.count(), "position", cell_rows)
+    return ranked.select("sa", "freq", likeness_cap(F.col("p"), beta).alias("cap"), "position")
 
 
 # --------------------------------------------------------------------------

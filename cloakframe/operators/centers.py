@@ -9,16 +9,17 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tie_key
 from ..runtime import BROADCAST_BYTES, materialize, small_side
 from .ranking import CELL_ROWS, rank_within
 
-#: Rows of one block of the distance computation in a task.
-BLOCK = 2048
+#: Rows of a block, and distances (rows times centres) of a tile, in a task.
+BLOCK, TILE = 2048, 1 << 21
+#: Classes that may each have a centre of a k-means model: all of them live on the driver.
+MAX_CENTERS = 1 << 16
 
 
 def nearest_center(
@@ -88,19 +89,34 @@ def _best_of(shared, grouped: bool, numeric: int, weights: list[float]):
         count = len(series[0])
         ids = np.zeros(count, np.int64)
         dist = np.full(count, np.nan)
-        groups = series[-1].to_numpy() if grouped else None
-        for g, (numbers, table) in shared.value.items():
-            at = np.flatnonzero(groups == g) if grouped else np.arange(count)
+        blocks = [(None, np.arange(count))]
+        if grouped:
+            names, codes = np.unique(series[-1].to_numpy(), return_inverse=True)
+            order = np.argsort(codes, kind="stable")
+            ends = np.searchsorted(codes[order], np.arange(len(names) + 1))
+            blocks = [(g, order[a:b]) for g, a, b in zip(names.tolist(), ends, ends[1:])]
+        for g, at in blocks:
+            if g not in shared.value:
+                continue
+            numbers, table = shared.value[g]
             for lo in range(0, len(at), BLOCK):
                 block = at[lo : lo + BLOCK]
-                squares = np.zeros((len(block), len(numbers)))
-                for mine, theirs in zip(rows[:numeric], table[:numeric]):
-                    squares += (mine[block][:, None] - theirs[None, :]) ** 2
-                for mine, theirs, weight in zip(rows[numeric:], table[numeric:], weights):
-                    squares += weight * (mine[block][:, None] != theirs[None, :])
-                low = squares.argmin(axis=1)
-                ids[block] = numbers[low]
-                dist[block] = squares[np.arange(len(block)), low]
+                least = np.full(len(block), np.inf)
+                width = max(1, TILE // len(block))
+                # A tile of centres after the other, in the order of their numbers.
+                for first in range(0, len(numbers), width):
+                    some = slice(first, first + width)
+                    squares = np.zeros((len(block), len(numbers[some])))
+                    for mine, theirs in zip(rows[:numeric], table[:numeric]):
+                        squares += (mine[block][:, None] - theirs[None, some]) ** 2
+                    for mine, theirs, weight in zip(rows[numeric:], table[numeric:], weights):
+                        squares += weight * (mine[block][:, None] != theirs[None, some])
+                    low = squares.argmin(axis=1)
+                    found = squares[np.arange(len(block)), low]
+                    better = found < least
+                    least[better] = found[better]
+                    ids[block[better]] = numbers[some][low[better]]
+                    dist[block[better]] = found[better]
         center = pd.array(ids, dtype="Int64")
         center[np.isnan(dist)] = pd.NA
         return pd.DataFrame({"center": center, "distance": dist})
@@ -108,10 +124,13 @@ def _best_of(shared, grouped: bool, numeric: int, weights: list[float]):
     return best
 
 
-def _rank_by_size(class_sizes: DataFrame) -> DataFrame:
-    """Classes numbered from 0 by size, largest first."""
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "ec")
-    return class_sizes.select("ec", "size", (F.row_number().over(w) - 1).alias("cluster"))
+def _rank_by_size(class_sizes: DataFrame, classes: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Classes numbered from 0 by size, largest first, then by their number."""
+    keyed = class_sizes.select("ec", "size").withColumns(
+        {"__key": -F.col("size"), "__tie": F.lpad(F.hex("ec"), 16, "0")}
+    )
+    ranked = rank_within(keyed, [], "__key", "__tie", classes, "__rn", cell_rows)
+    return ranked.select("ec", "size", (F.col("__rn") - 1).alias("cluster"))
 
 
 def class_centers_kmeans(
@@ -120,41 +139,49 @@ def class_centers_kmeans(
     class_sizes: DataFrame,
     seed: int = 123456789,
     random: bool = False,
+    strict: bool = False,
 ) -> DataFrame:
     """One centre per class: ``ec, size, cluster`` and the coordinates.
 
     k is the number of classes; one iteration from k-means|| (centre = mean of
-    the members) or from random rows (the model's centres). Cluster i goes to
-    the i-th largest class. As many centres as classes live on the driver.
+    the members) or from random rows (the model's centres). The i-th cluster
+    found goes to the i-th largest class. A clustering may find fewer clusters
+    than classes (with few distinct rows, or an empty cluster); the classes
+    left over get the mean of the table, or with ``strict`` it is an error. As
+    many centres as classes live on the driver, ``MAX_CENTERS`` at most.
     """
     columns = list(columns)
-    ranked = _rank_by_size(class_sizes)
-    k = ranked.count()
-    if k == 1:
-        mean = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
-        # One class, one row: its centre is the mean of the table.
-        return ranked.crossJoin(mean)
-    vectors = VectorAssembler(inputCols=columns, outputCol="__features").transform(
-        df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    )
-    model = KMeans(
-        k=k,
-        maxIter=1,
-        seed=seed,
-        initMode="random" if random else "k-means||",
-        featuresCol="__features",
-        predictionCol="cluster",
-    ).fit(vectors)
-    if random:
-        listed = [(i, *map(float, c)) for i, c in enumerate(model.clusterCenters())]
-        schema = "cluster int, " + ", ".join(f"`{c}` double" for c in columns)
-        centers = df.sparkSession.createDataFrame(listed, schema)
-    else:
-        centers = (
-            model.transform(vectors)
-            .groupBy("cluster")
-            .agg(*[F.avg(c).alias(c) for c in columns])
+    k = class_sizes.count()
+    if k > MAX_CENTERS:
+        raise ValueError(f"{k} classes; a centre for each is limited to {MAX_CENTERS} classes")
+    ranked = _rank_by_size(class_sizes, k)
+    mean = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns]).first()
+    listed: list[tuple] = []
+    if k > 1:
+        vectors = VectorAssembler(inputCols=columns, outputCol="__features").transform(
+            df.select(*[F.col(c).cast("double").alias(c) for c in columns])
         )
+        model = KMeans(
+            k=k,
+            maxIter=1,
+            seed=seed,
+            initMode="random" if random else "k-means||",
+            featuresCol="__features",
+            predictionCol="cluster",
+        ).fit(vectors)
+        if random:
+            listed = [tuple(map(float, c)) for c in model.clusterCenters()]
+        else:
+            members = model.transform(vectors).groupBy("cluster").agg(
+                *[F.avg(c).alias(c) for c in columns]
+            )
+            listed = [tuple(r)[1:] for r in sorted(members.collect())]
+        if strict and len(listed) < k:
+            raise ValueError(f"{len(listed)} clusters for {k} classes")
+    listed += [tuple(mean)] * (k - len(listed))
+    schema = "cluster bigint, " + ", ".join(f"`{c}` double" for c in columns)
+    numbered = [(i, *c) for i, c in enumerate(listed)]
+    centers = df.sparkSession.createDataFrame(numbered, schema)
     return ranked.join(centers, "cluster").select("ec", "size", "cluster", *columns)
 
 
@@ -173,7 +200,8 @@ def redistribute_by_center(
     capacities: DataFrame,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
-    """Capacity-limited assignment to the nearest class centre.
+    """Capacity-limited assignment to the nearest class centre (the plain rule:
+    no penalty for other columns, ties to the smaller class).
 
     ``df`` has a ``bucket``; ``centers`` has ``ec`` and ``columns``;
     ``capacities`` has ``ec, bucket, size``. In a round every waiting row
@@ -241,7 +269,8 @@ def seed_centers_mixed(
     categorical column. From one row on, each step adds rows with probability
     2 k cost / (sum of costs), the cost being the distance to the nearest
     centre so far, drawn by a hash of the identifier. Returned are the k
-    candidates that most rows are nearest to, with that ``weight``.
+    candidates that most rows are nearest to, with that ``weight``. Rows are
+    counted, not other candidates: a candidate stands for what it is near to.
     """
     from .taxonomy import with_ancestors
 
@@ -284,6 +313,9 @@ def seed_centers_mixed(
     candidates = chosen[0]
     for part in chosen[1:]:
         candidates = candidates.unionByName(part)
+    found = candidates.count()
+    if found < k:
+        raise ValueError(f"{found} candidates for {k} centres; take more steps")
     weights = rows.groupBy(F.col("__near").alias("__id")).agg(F.count(F.lit(1)).alias("weight"))
     return (
         candidates.join(weights, "__id")

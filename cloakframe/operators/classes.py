@@ -279,15 +279,33 @@ def seat_runs(plan: DataFrame, states: DataFrame) -> DataFrame:
     )
 
 
+#: Classes of a run that one row lists.
+CHUNK_CLASSES = 1 << 16
+
+
+def _listed(runs: DataFrame) -> DataFrame:
+    """One row per class of every run, numbered ``k`` from 0.
+
+    A run may have very many classes: it is cut into chunks of fixed length,
+    and the chunks are spread before each lists its classes.
+    """
+    zero, chunk = F.lit(0).cast("bigint"), F.lit(CHUNK_CLASSES).cast("bigint")
+    last = F.floor((F.col("classes") - 1) / chunk).cast("bigint")
+    parts = runs.withColumn("__chunk", F.explode(F.sequence(zero, last)))
+    spread = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts.repartition(spread, "threshold", "bucket", "level", "size", "__chunk")
+    first = F.col("__chunk") * chunk
+    return parts.withColumn(
+        "k", F.explode(F.sequence(first, F.least("classes", first + chunk) - 1))
+    ).drop("__chunk")
+
+
 def expand_seats(runs: DataFrame) -> DataFrame:
     """One row per seat of every bucket, numbered from 1 (for inspection).
 
     The engine never builds this table; see :func:`seat_runs`.
     """
-    classes = runs.withColumn(
-        "k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("classes") - 1))
-    )
-    return classes.select(
+    return _listed(runs).select(
         "threshold",
         "bucket",
         "level",
@@ -304,10 +322,7 @@ def expand_seats(runs: DataFrame) -> DataFrame:
 
 def rank_seats(runs: DataFrame) -> DataFrame:
     """Per bucket and class: size and first seat, in seat order."""
-    return runs.select(
-        "threshold", "bucket", "level", "first_seq", "size", "row_lo",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("classes") - 1)).alias("k"),
-    ).select(
+    return _listed(runs).select(
         "threshold",
         "bucket",
         "level",

@@ -6,9 +6,11 @@ a level advance together.
 
 Large groups are split without moving rows: the median of a group is found by
 counting rows in bins of the group's range and zooming into the bin that holds
-it, so a level costs a few aggregates and one rewrite of the table. Once a
-group fits a task, the table is shuffled once by group and every task finishes
-its groups on its own. No row is shuffled per level.
+it, so a level costs a few aggregates. The cuts are a small table that each scan
+is decided by; the rows are written again only every few levels (or once the cuts
+are too many to broadcast, when they are joined by a shuffle). Once a group fits a
+task, the table is shuffled once by group and every task finishes its groups, and
+on request their means, on its own.
 
 Group numbers are heap numbers: 1 is the table, 2g and 2g+1 are the halves.
 """
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 
 from ..functions import tie_key
 from ..roles import Roles, project_roles
-from ..runtime import materialize, small_side
+from ..runtime import discard, materialize, small_side
 from .ranking import CELL_ROWS, rank_within
 from .stats import Scaling, fit_scaling
 
@@ -35,6 +37,11 @@ MAX_LOCAL_ROWS = 500_000
 #: Bins of one zoom step, and rows that are finally ordered exactly.
 BINS = 1024
 EXACT_ROWS = 100_000
+#: Levels between two copies of the table, and cuts beyond which each level makes one.
+REWRITE_LEVELS = 8
+REWRITE_GROUPS = 1 << 17
+#: Most partitions of the shuffle by group; a partition may hold several groups.
+MAX_WIDTH = 32_768
 
 
 def _zname(i: int) -> str:
@@ -207,10 +214,15 @@ def _split_large(
     """Split level by level until no group has more than ``stop`` rows.
 
     The table is written with its standardized values and tie keys first, so
-    that the scans of a level read them instead of computing them again.
+    that the scans of a level read them instead of computing them again. The
+    cuts of the levels since then are broadcast and decided anew in each scan;
+    every ``REWRITE_LEVELS`` levels (or when the cuts are too many for that)
+    the table is written with its groups, and the copy before is removed.
     """
-    rows = materialize(rows, "standardized")
+    written = rows = materialize(rows, "standardized")
+    level = 0
     while True:
+        level += 1
         groups = _group_ranges(rows, dims, "ec").where(F.col("n") > stop)
         groups = materialize(groups, "groups")
         count, largest = groups.agg(F.count(F.lit(1)), F.max("n")).first()
@@ -233,11 +245,18 @@ def _split_large(
                 ),
             )
         )
-        rows = materialize(moved.select(*rows.columns), "halves")
+        rows = moved.select(*rows.columns)
+        if level % REWRITE_LEVELS == 0 or count > REWRITE_GROUPS:
+            before, written = written, materialize(rows, "halves")
+            rows = written
+            discard(before)
 
 
-def _finish_locally(dims: Sequence[str], k: int):
-    """Split one group down to at most 2k rows per leaf, level by level."""
+def _finish_locally(dims: Sequence[str], k: int, recode: Sequence[str] = ()):
+    """Split one group down to at most 2k rows per leaf, level by level.
+
+    The columns ``recode`` become the mean of the leaf: the task holds it whole.
+    """
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["__t1", "__t2"], kind="stable", ignore_index=True)
@@ -266,7 +285,10 @@ def _finish_locally(dims: Sequence[str], k: int):
             upper = np.arange(len(rows)) - first[number] >= half[number]
             group[rows] = 2 * group[rows] + upper
             sizes = np.column_stack((half, sizes - half)).ravel()
-        return pdf.drop(columns=["__t1", "__t2", *dims]).assign(ec=group)
+        out = pdf.drop(columns=["__t1", "__t2", *dims]).assign(ec=group)
+        for c in recode:
+            out[c] = out.groupby("ec")[c].transform("mean")
+        return out
 
     return split
 
@@ -277,10 +299,12 @@ def mondrian_partition(
     k: int,
     local_rows: int | None = None,
     exact_rows: int = EXACT_ROWS,
+    recode: bool = False,
 ) -> DataFrame:
     """Role columns of ``df`` with the Mondrian group ``ec``.
 
-    Every group has k to 2k rows (if the table has k at all). ``local_rows``
+    With ``recode`` the numeric quasi-identifiers are the means of the group,
+    taken where the group is completed. Every group has k to 2k rows (if the table has k at all). ``local_rows``
     is the group size that one task finishes; by default it follows from the
     table size and the number of cores, within fixed bounds.
     """
@@ -299,10 +323,12 @@ def mondrian_partition(
         rows = _split_large(rows, dims, max(local_rows, 2 * k), exact_rows)
     hidden = {*dims, "__t1", "__t2"}
     schema = T.StructType([f for f in rows.schema.fields if f.name not in hidden])
-    width = 2 * scaling.rows // local_rows
+    width = min(2 * scaling.rows // local_rows, MAX_WIDTH)
     if width > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         rows = rows.repartition(width, "ec")
-    return rows.groupBy("ec").applyInPandas(_finish_locally(dims, k), schema)
+    return rows.groupBy("ec").applyInPandas(
+        _finish_locally(dims, k, roles.numeric_qis if recode else ()), schema
+    )
 
 
 def mondrian_release(partitioned: DataFrame, roles: Roles, keep_pid: bool = False) -> DataFrame:

@@ -38,8 +38,10 @@ def rank_within(
     """Add the 1-based rank of every row in its group by ``(key, tie)``.
 
     ``key`` is numeric, ``tie`` the hex text from :func:`tie_key`, ``rows`` the
-    known row count of ``df``. Up to ``cell_rows`` rows a window is enough, as
-    no group can be larger.
+    known row count of ``df``. Null keys come first and NaN last, as a window
+    orders them. Up to ``cell_rows`` rows a window is enough, as no group can
+    be larger. Beyond ``MAX_RANGES * cell_rows / 2`` rows (3e10 by default) the
+    ranges, and with them the cells, grow with the table; raise ``cell_rows``.
     """
     if rows <= cell_rows:
         w = Window.partitionBy(*groups).orderBy(key, tie)
@@ -47,13 +49,22 @@ def rank_within(
 
     splits, shared = _ranges(df, key, rows, cell_rows)
     as_double = df.withColumn("__cell_key", F.col(key).cast("double"))
-    cut = Bucketizer(splits=splits, inputCol="__cell_key", outputCol="__cell_range")
+    # "keep": NaN gets the range after the last; nulls get one before the first.
+    cut = Bucketizer(
+        splits=splits, inputCol="__cell_key", outputCol="__cell_range", handleInvalid="keep"
+    )
+    no_range = [-1.0, float(len(splits) - 1)]
+    most = max(1, math.ceil(math.log(max(2 * rows / cell_rows, 2), 16)))
+    shared.setdefault(most, []).extend(no_range)
     tie_cell = F.lit("")
     for digits, ranges in shared.items():
         tie_cell = F.when(F.col("__cell_range").isin(ranges), F.substring(tie, 1, digits)).otherwise(
             tie_cell
         )
-    cells = cut.transform(as_double).withColumn("__cell_tie", tie_cell).drop("__cell_key")
+    placed = cut.transform(as_double).withColumn(
+        "__cell_range", F.coalesce("__cell_range", F.lit(-1.0))
+    )
+    cells = placed.withColumn("__cell_tie", tie_cell).drop("__cell_key")
 
     cell = [*groups, "__cell_range", "__cell_tie"]
     width = min(math.ceil(rows / cell_rows), MAX_WIDTH)

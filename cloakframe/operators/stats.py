@@ -16,8 +16,8 @@ def sa_histogram(df: DataFrame, sa: str) -> DataFrame:
     counts = df.groupBy(F.col(sa).cast("string").alias("sa")).agg(
         F.count(F.lit(1)).alias("freq")
     )
-    # The histogram has one row per value; its total is one window over it.
-    total = F.sum("freq").over(Window.partitionBy(F.lit(0)))
+    # A scalar subquery: partial sums, no gathered rows.
+    total = counts.agg(F.sum("freq")).scalar()
     return counts.withColumn("total", total).withColumn(
         "p", F.col("freq").cast("double") / F.col("total")
     )
@@ -92,7 +92,8 @@ def fit_scaling(
 
     The numbers then enter later plans as literals, which keeps the row path
     free of joins. ``sample`` chooses the sample standard deviation. A null in
-    a ``required`` column is an error, found in the same pass.
+    a ``required`` column is an error, and so is a value of ``columns`` that is
+    not finite; both are found in the same pass.
     """
     deviation = F.stddev_samp if sample else F.stddev_pop
     aggs = [F.count(F.lit(1)).alias("__rows")]
@@ -103,11 +104,15 @@ def fit_scaling(
             F.avg(v).alias(f"m_{c}"),
             deviation(v).alias(f"s_{c}"),
             (F.min(v) == F.max(v)).alias(f"k_{c}"),
+            F.count_if(F.isnan(v) | (F.abs(v) == F.lit(float("inf")))).alias(f"f_{c}"),
         ]
     row = df.agg(*aggs).first()
     missing = [c for c in required if row[f"n_{c}"]]
     if missing:
         raise ValueError(f"null values in {missing}")
+    endless = [c for c in columns if row[f"f_{c}"]]
+    if endless:
+        raise ValueError(f"values that are not finite in {endless}")
     spread = {c: 0.0 if row[f"k_{c}"] else (row[f"s_{c}"] or 0.0) for c in columns}
     return Scaling(row["__rows"], {c: row[f"m_{c}"] for c in columns}, spread)
 
@@ -162,9 +167,17 @@ def emd(
 def kl_divergence(
     df: DataFrame, groups: Sequence[str], left: str, right: str, name: str = "kl"
 ) -> DataFrame:
-    """Sum of p * ln(p / q) per group; a category with p = 0 adds nothing."""
+    """Sum of p * ln(p / q) per group, p being ``left`` and q ``right``.
+
+    A category with p = 0 adds nothing; one with p > 0 and q = 0 makes the
+    distance infinite.
+    """
     p, q = F.col(left), F.col(right)
-    term = F.when(p > 0, p * F.log(p / q)).otherwise(F.lit(0.0))
+    term = (
+        F.when(~(p > 0), F.lit(0.0))
+        .when(q > 0, p * F.log(p / q))
+        .otherwise(F.lit(float("inf")))
+    )
     return df.groupBy(*groups).agg(F.sum(term).alias(name))
 
 

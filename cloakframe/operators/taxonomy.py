@@ -17,8 +17,6 @@ from ..runtime import materialize
 from .centers import nearest_center
 
 ROOT = "*"
-#: Levels after which a walk without a given height is taken for a cycle.
-MAX_HEIGHT = 64
 
 
 def taxonomy_from_columns(df: DataFrame, columns: Sequence[str], top: str = "ALL") -> DataFrame:
@@ -36,8 +34,8 @@ def ancestor_paths(edges: DataFrame, height: int | None = None) -> DataFrame:
     """``(node, path)``: the node, its parent, ... up to the root.
 
     ``height`` is the number of steps from a leaf to the node below the root;
-    without it the walk goes on until every path has ended. A path whose next
-    parent is missing ends in null. The result is written, so that later
+    without it the walk goes on until every path has ended, and a node that is
+    its own ancestor is an error. A path whose next parent is missing ends in null. The result is written, so that later
     joins know its true size.
     """
     parents = edges.select(F.col("child").alias("__child"), F.col("parent").alias("__parent"))
@@ -50,8 +48,10 @@ def ancestor_paths(edges: DataFrame, height: int | None = None) -> DataFrame:
             if paths.where(~ended).isEmpty():
                 paths = paths.drop("__tail")
                 break
-            if steps > MAX_HEIGHT:
-                raise ValueError(f"the taxonomy has a cycle or more than {MAX_HEIGHT} levels")
+            before = F.slice("path", 1, F.size("path") - 1)
+            looped = paths.where(~ended & F.array_contains(before, F.col("__tail")))
+            if met := looped.limit(1).collect():
+                raise ValueError(f"the taxonomy has a cycle at {met[0]['__tail']!r}")
         paths = paths.join(parents, (F.col("__tail") == F.col("__child")) & ~ended, "left").select(
             "node",
             F.when(ended, F.col("path"))
@@ -165,12 +165,15 @@ def taxonomy_distance(
     height of their tree. Each adds (steps to the common ancestor) / height.
     """
     total = F.lit(0.0)
-    out = pairs
+    names = list(dict.fromkeys(c for left, right, _ in columns for c in (left, right)))
+    # The distance depends on the values alone: once per distinct combination.
+    combos = pairs.select(*names).distinct()
+    out = combos
     for i, (left, right, height) in enumerate(columns):
         out = _with_path(out, left, paths, f"__l{i}")
         out = _with_path(out, right, paths, f"__r{i}")
         total = total + _steps_to_common(F.col(f"__l{i}"), F.col(f"__r{i}")) / F.lit(float(height))
-    return out.select(*pairs.columns, total.alias(name))
+    return pairs.join(out.select(*names, total.alias(name)), names).select(*pairs.columns, name)
 
 
 def with_ancestors(

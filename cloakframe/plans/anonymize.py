@@ -17,7 +17,7 @@ from ..operators.bucketing import (
     tclose_buckets,
 )
 from ..operators.classes import bucket_sizes, class_states, count_classes, seat_runs
-from ..operators.mondrian import mondrian_partition, mondrian_release
+from ..operators.mondrian import mondrian_partition
 from ..operators.ranking import CELL_ROWS
 from ..operators.recode import recode_mean
 from ..operators.redistribute import redistribute_by_norm
@@ -122,9 +122,8 @@ def anonymize(
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Release table of ``beta``, ``overlap`` or ``tclose`` anonymization."""
-    scaling = fit_scaling(
-        df, roles.numeric_qis, required=roles.columns if check else ()
-    )
+    df = project_roles(df, roles)
+    scaling = fit_scaling(df, roles.numeric_qis, required=roles.columns if check else ())
     if check:
         check_unique(df, roles)
     made = class_plan(df, roles.sa, method, threshold, paths, height, min_class_size)
@@ -138,7 +137,9 @@ def anonymize_mondrian(
     """Release table of Mondrian k-anonymity."""
     if check:
         check_unique(df, roles)
-    return mondrian_release(mondrian_partition(df, roles, k, **options), roles, keep_pid)
+    made = mondrian_partition(df, roles, k, recode=True, **options)
+    head = [roles.pid] if keep_pid else []
+    return made.select("ec", *head, *roles.numeric_qis, roles.sa)
 
 
 def threshold_sweep(

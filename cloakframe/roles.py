@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -54,11 +55,18 @@ class Roles:
         )
 
 
+def as_number(df: DataFrame, column: str) -> Column:
+    """A numeric quasi-identifier as a double; dates count days from 1970-01-01."""
+    if isinstance(df.schema[column].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_date(F.col(column).cast("date")).cast("double").alias(column)
+    return F.col(column).cast("double").alias(column)
+
+
 def project_roles(df: DataFrame, roles: Roles) -> DataFrame:
     """Keep the columns with a role: numeric ones as double, the SA as text."""
     return df.select(
         F.col(roles.pid),
-        *[F.col(c).cast("double").alias(c) for c in roles.numeric_qis],
+        *[as_number(df, c) for c in roles.numeric_qis],
         *[F.col(c).cast("string").alias(c) for c in roles.categorical_qis],
         F.col(roles.sa).cast("string").alias(roles.sa),
     )
@@ -68,7 +76,7 @@ def drop_sensitive(df: DataFrame, roles: Roles) -> DataFrame:
     """Remove the sensitive column and cast the quasi-identifiers to double."""
     return df.select(
         F.col(roles.pid),
-        *[F.col(c).cast("double").alias(c) for c in roles.numeric_qis],
+        *[as_number(df, c) for c in roles.numeric_qis],
     )
 
 

@@ -5,11 +5,14 @@ levels) are written to the folder the session names in
 ``spark.checkpoint.dir`` and read back. A written table survives the loss of
 an executor, cuts the lineage, and gives the optimizer its true size, so that
 the choice between a broadcast and a shuffled join rests on bytes on disk.
+
+A table that nothing reads any more is removed with :func:`discard`; results
+are lazy and may read the others, so the caller removes these with
+:func:`discard_all` when its results are written.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +21,16 @@ from pyspark.sql import functions as F
 #: Largest side (in estimated bytes) that is ever given a broadcast hint.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
-_local_dirs: dict[str, str] = {}
+#: Intermediate tables that are still there, per application.
+_written: dict[str, set[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables, from ``spark.checkpoint.dir``."""
+    """Folder for intermediate tables, from ``spark.checkpoint.dir``.
+
+    Where that is not set, a session on one machine keeps them beside its
+    tables, below ``spark.sql.warehouse.dir``.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
@@ -34,16 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError(
             "set spark.checkpoint.dir to a folder that every executor can reach"
         )
-    # One machine, no setting: a temporary folder per application.
-    app = context.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="cloakframe-")
-    return _local_dirs[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/cloakframe/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/cloakframe/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -54,6 +60,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    _written.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table from :func:`materialize`; nothing may read it any more."""
+    names = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
+    spark = df.sparkSession
+    for path in list(_written.get(spark.sparkContext.applicationId, ())):
+        if path.rsplit("/", 1)[-1] in names:
+            _remove(spark, path)
+
+
+def discard_all(spark: SparkSession) -> int:
+    """Remove every intermediate table of this application; returns their number."""
+    paths = list(_written.get(spark.sparkContext.applicationId, ()))
+    for path in paths:
+        _remove(spark, path)
+    return len(paths)
+
+
 def small_side(df: DataFrame, rows: int, row_bytes: int = 128) -> DataFrame:
     """Mark ``df`` for broadcast if its known row count is small enough.
 

@@ -56,12 +56,14 @@ def load_taxonomy(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return spark.read.csv(path, schema="child string, parent string", sep=sep, mode="FAILFAST")
 
 
-def with_row_id(df: DataFrame, columns: Sequence[str], name: str = "row_id") -> DataFrame:
-    """64-bit fingerprint of a row's values.
+def with_row_id(
+    df: DataFrame, columns: Sequence[str] | None = None, name: str = "row_id"
+) -> DataFrame:
+    """64-bit fingerprint of a row's values: of all columns, or of those given.
 
     Equal rows share it; the identifier column stays the key of a row.
     """
-    return df.withColumn(name, F.xxhash64(*[F.col(c) for c in columns]))
+    return df.withColumn(name, F.xxhash64(*[F.col(c) for c in columns or df.columns]))
 
 
 def write_release(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists"):

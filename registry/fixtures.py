@@ -63,11 +63,13 @@ def evt(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)]
-    return table(spark, sf_dir, "embeddings").select(
-        "vec_id", *parts, F.col("label").cast("bigint").alias("label")
-    )
+def emb(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """The embeddings with one column per element, and the names of these."""
+    rows = table(spark, sf_dir, "embeddings")
+    width = rows.agg(F.max(F.size("embedding"))).first()[0]
+    names = [f"e{i}" for i in range(width)]
+    parts = [F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]
+    return rows.select("vec_id", *parts, F.col("label").cast("bigint").alias("label")), names
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

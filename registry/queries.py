@@ -68,10 +68,15 @@ def evt_assigned(spark, d, beta):
     return plans.assign_classes(evt(spark, d), EVT, made)
 
 
-def ord_assigned(spark, d, method="beta", threshold=BETA_ORD):
+def ord_made(spark, d, method="beta", threshold=BETA_ORD):
+    """Classes of the orders and the assigned rows."""
     tree = paths(spark, d) if method != "beta" else None
     made = plans.class_plan(ord_(spark, d), "n_name", method, threshold, tree, HEIGHT)
-    return plans.assign_classes(ord_(spark, d), ORD, made)
+    return made, plans.assign_classes(ord_(spark, d), ORD, made)
+
+
+def ord_assigned(spark, d, method="beta", threshold=BETA_ORD):
+    return ord_made(spark, d, method, threshold)[1]
 
 
 CUST_PLAN = sql.beta_plan("cust", sql.CUST, [BETA_CUST])
@@ -132,14 +137,13 @@ def load_taxonomy(spark, d):
     return microdata.load_taxonomy(spark, path)
 
 
-@query("SELECT event_type, user_id, count(*) AS copies FROM events GROUP BY event_type, user_id")
+@query("SELECT * , count(*) AS copies FROM events GROUP BY ALL")
 def row_id(spark, d):
     """Equal rows share the id: rows per id."""
-    rows = microdata.with_row_id(table(spark, d, "events"), ["event_type", "user_id"])
+    events = table(spark, d, "events")
+    rows = microdata.with_row_id(events)
     return rows.groupBy("row_id").agg(
-        F.min("event_type").alias("event_type"),
-        F.min("user_id").alias("user_id"),
-        F.count(F.lit(1)).alias("copies"),
+        *[F.min(c).alias(c) for c in events.columns], F.count(F.lit(1)).alias("copies")
     ).drop("row_id")
 
 
@@ -487,10 +491,12 @@ def emd(spark, d):
 
 @query(sql.with_(*CLOSE_PLAN, sql.tree("emd"), _SHARES) + f"""
 SELECT CAST(level AS BIGINT) AS level, path,
-  {sql.r6("sum(CASE WHEN p > 0 THEN p * ln(p / q) ELSE 0 END)")} AS kl
+  {sql.r6("CASE WHEN bool_or(q > 0 AND p = 0) THEN CAST('infinity' AS DOUBLE) "
+          "ELSE sum(CASE WHEN q > 0 AND p > 0 THEN q * ln(q / p) ELSE 0 END) END")} AS kl
 FROM held GROUP BY level, path""")
 def kl_divergence(spark, d):
-    far = stats.kl_divergence(_bucket_shares(spark, d), ["level", "path"], "p", "q")
+    """The table's shares against those of every class."""
+    far = stats.kl_divergence(_bucket_shares(spark, d), ["level", "path"], "q", "p")
     return far.select(lng("level").alias("level"), "path", r6("kl").alias("kl"))
 
 
@@ -616,8 +622,10 @@ def redistribute_contiguous(spark, d):
     )
 
 
-@query()
+@query(sql.with_(*sql.beta_plan("cust", sql.CUST, [BETA_WIDE]), sql.tree("likeness"), sql.SEATS) + """
+SELECT bucket, (CAST(1 AS BIGINT) << level) + seq AS ec, size AS rows FROM seats""")
 def redistribute_by_center(spark, d):
+    """Rows per bucket and class: every seat is taken, none twice."""
     made = cust_classes(spark, d, BETA_WIDE)
     seats = classes.rank_seats(made.runs).select(
         (F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("level")) + F.col("seq"))
@@ -625,11 +633,13 @@ def redistribute_by_center(spark, d):
     )
     rows = project_roles(cust(spark, d), CUST)
     sizes = seats.groupBy("ec").agg(F.sum("size").alias("size"))
-    middle = centers.class_centers_kmeans(rows, CUST.numeric_qis, sizes)
+    middle = centers.class_centers_kmeans(stats.zscore(rows, CUST.numeric_qis), CUST.numeric_qis, sizes)
     look = made.plan.select(F.col("sa").alias("n_name"), "bucket")
-    return centers.redistribute_by_center(
-        rows.join(look, "n_name"), CUST.numeric_qis, "c_custkey", middle, seats
-    ).select("c_custkey", "bucket", "ec")
+    placed = centers.redistribute_by_center(
+        stats.zscore(rows, CUST.numeric_qis).join(look, "n_name"),
+        CUST.numeric_qis, "c_custkey", middle, seats,
+    )
+    return placed.groupBy("bucket", "ec").agg(F.countDistinct("c_custkey").alias("rows"))
 
 
 # ----------------------------------------------------------------- recoding
@@ -648,21 +658,24 @@ _ORD_MEANS = ", ".join(
 @query(sql.with_(*ORD_ASSIGNED) + f"SELECT pid AS o_orderkey, {_ORD_MEANS}, "
        "cat AS o_orderpriority, sa AS n_name FROM assigned")
 def recode_mean(spark, d):
-    return _released(recode.recode_mean(ord_assigned(spark, d), ORD, keep_pid=True), ORD)
+    made, rows = ord_made(spark, d)
+    return _released(recode.recode_mean(rows, ORD, keep_pid=True, classes=made.classes), ORD)
 
 
 @query(sql.with_(*ORD_ASSIGNED) + f"SELECT pid AS o_orderkey, {_ORD_MEANS}, "
        "min(cat) OVER (PARTITION BY ec) || '-' || max(cat) OVER (PARTITION BY ec) "
        "AS o_orderpriority, sa AS n_name FROM assigned")
 def recode_minmax(spark, d):
-    return _released(recode.recode_minmax(ord_assigned(spark, d), ORD, keep_pid=True), ORD)
+    made, rows = ord_made(spark, d)
+    return _released(recode.recode_minmax(rows, ORD, keep_pid=True, classes=made.classes), ORD)
 
 
 @query(sql.with_(*ORD_ASSIGNED, f"mid AS ({_MEDIAN})") + f"""
 SELECT pid AS o_orderkey, {_ORD_MEANS.replace("BY ec", "BY a.ec")},
        m.cat AS o_orderpriority, sa AS n_name FROM assigned a JOIN mid m ON m.ec = a.ec""")
 def recode_median(spark, d):
-    return _released(recode.recode_median(ord_assigned(spark, d), ORD, keep_pid=True), ORD)
+    made, rows = ord_made(spark, d)
+    return _released(recode.recode_median(rows, ORD, keep_pid=True, classes=made.classes), ORD)
 
 
 # ----------------------------------------------------------------- Mondrian
@@ -845,6 +858,13 @@ def skew_per_sa(spark, d):
     return _ord_skew(spark, d, 1).select("ec", "value", r6("change").alias("change"))
 
 
+@query(sql.with_(*ORD_ASSIGNED, _skew("'ALL'"))
+       + f"SELECT ec, value, {sql.r6('change')} AS change FROM skew")
+def skew_per_sa_top(spark, d):
+    """Skewness at the top of the tree, where every share is 1."""
+    return _ord_skew(spark, d, 0).select("ec", "value", r6("change").alias("change"))
+
+
 @query(sql.with_(*ORD_ASSIGNED, _skew("sa")) + f"""SELECT ec, {sql.r6("avg(change)")} AS avg_change,
   {sql.r6("max(change)")} AS max_change FROM skew GROUP BY ec""")
 def skew_per_ec(spark, d):
@@ -877,43 +897,46 @@ def emd_per_class(spark, d):
 
 # ------------------------------------------------------------------ centres
 
-_EMB = ["e0", "e1", "e2", "e3"]
-
-
-@query()
+@query(sql.with_(*sql.beta_plan("ord", sql.ORD, [BETA_WIDE]), sql.tree("likeness"), sql.SEATS) + """
+SELECT ec, size, CAST(row_number() OVER (ORDER BY size DESC, ec) - 1 AS BIGINT) AS cluster FROM (
+  SELECT (CAST(1 AS BIGINT) << level) + seq AS ec, CAST(sum(size) AS BIGINT) AS size
+  FROM seats GROUP BY level, seq)""")
 def class_centers_kmeans(spark, d):
+    """Which class got which cluster; the centres depend on the seed."""
     rows = project_roles(ord_(spark, d), ORD)
     sizes = plans.class_plan(rows, "n_name", "beta", BETA_WIDE)
     seats = classes.rank_seats(sizes.runs).groupBy(
         (F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("level")) + F.col("seq"))
         .alias("ec")
     ).agg(F.sum("size").alias("size"))
-    return centers.class_centers_kmeans(stats.zscore(rows, ORD.numeric_qis), ORD.numeric_qis, seats)
+    made = centers.class_centers_kmeans(stats.zscore(rows, ORD.numeric_qis), ORD.numeric_qis, seats)
+    return made.select("ec", "size", lng("cluster").alias("cluster"))
 
 
-@query()
+@query("""SELECT CAST(label AS BIGINT) AS ec, size,
+  CAST(row_number() OVER (ORDER BY size DESC, label) - 1 AS BIGINT) AS cluster
+FROM (SELECT label, count(*) AS size FROM embeddings GROUP BY label)""")
 def class_centers_random(spark, d):
-    rows = emb(spark, d)
+    """Which class got which cluster; the centres themselves are drawn."""
+    rows, names = emb(spark, d)
     sizes = rows.groupBy(F.col("label").alias("ec")).agg(F.count(F.lit(1)).alias("size"))
-    return centers.class_centers_random(rows, _EMB, sizes)
+    made = centers.class_centers_random(rows, names, sizes)
+    return made.select("ec", "size", lng("cluster").alias("cluster"))
 
 
-@query("""WITH e AS (SELECT vec_id, label, """
-       + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(4))
-       + """ FROM embeddings),
-c AS (SELECT label AS center, """ + ", ".join(f"avg(e{i}) AS c{i}" for i in range(4))
-       + """ FROM e GROUP BY label),
-far AS (SELECT vec_id, center, """ + " + ".join(f"(e{i} - c{i}) * (e{i} - c{i})" for i in range(4))
-       + """ AS dist FROM e, c)
+@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+x AS (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) AS a FROM e),
+c AS (SELECT label AS center, list(m ORDER BY i) AS m FROM (
+  SELECT label, i, avg(a) AS m FROM x GROUP BY label, i) GROUP BY label),
+far AS (SELECT vec_id, center, list_sum(list_transform(range(1, len(v) + 1),
+  lambda i: (v[i] - m[i]) * (v[i] - m[i]))) AS dist FROM e, c)
 SELECT vec_id, CAST(center AS BIGINT) AS center, """ + sql.r6("dist") + """ AS distance FROM (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, center) AS rn FROM far)
 WHERE rn = 1""")
 def nearest_center(spark, d):
-    rows = emb(spark, d)
-    middle = rows.groupBy(F.col("label").alias("center")).agg(
-        *[F.avg(c).alias(c) for c in _EMB]
-    )
-    near = centers.nearest_center(rows, _EMB, middle)
+    rows, names = emb(spark, d)
+    middle = rows.groupBy(F.col("label").alias("center")).agg(*[F.avg(c).alias(c) for c in names])
+    near = centers.nearest_center(rows, names, middle)
     return near.select("vec_id", "center", r6("distance").alias("distance"))
 
 
@@ -970,3 +993,60 @@ SELECT threshold, b AS buckets, c AS classes FROM
 def threshold_sweep(spark, d):
     swept = plans.threshold_sweep(ord_(spark, d), "n_name", "beta", 0.0, 3.0, 0.25)
     return swept.select("threshold", "buckets", "classes")
+
+
+_SWEPT = """
+SELECT threshold, b AS buckets, c AS classes FROM
+  (SELECT threshold, count(*) AS b FROM buckets GROUP BY threshold) JOIN
+  (SELECT threshold, count(*) AS c FROM leaves GROUP BY threshold) USING (threshold)"""
+_SWEEP_FEW = [0.0 + i * 1.0 for i in range(1, 4)]
+_SWEEP_CLOSE = [0.0 + i * 0.25 for i in range(1, 5)]
+
+
+@query(sql.with_(*sql.overlap_plan("ord", sql.ORD, _SWEEP_FEW), sql.tree("likeness")) + _SWEPT)
+def threshold_sweep_overlap(spark, d):
+    swept = plans.threshold_sweep(
+        ord_(spark, d), "n_name", "overlap", 0.0, 3.0, 1.0, paths(spark, d), HEIGHT
+    )
+    return swept.select("threshold", "buckets", "classes")
+
+
+@query(sql.with_(*sql.tclose_plan("ord", sql.ORD, _SWEEP_CLOSE), sql.tree("emd")) + _SWEPT)
+def threshold_sweep_tclose(spark, d):
+    swept = plans.threshold_sweep(
+        ord_(spark, d), "n_name", "tclose", 0.0, 1.0, 0.25, paths(spark, d), HEIGHT
+    )
+    return swept.select("threshold", "buckets", "classes")
+
+
+# -------------------------------------------------- the ways of large tables
+
+#: Rows of a rank cell and of a local group that bring small tables to the ways of
+#: large ones.
+_CELL, _LOCAL = 500, 400
+
+
+@query(sql.with_(*OVER_ASSIGNED) + _ORD_RELEASE + "FROM assigned")
+def anonymize_overlap_cells(spark, d):
+    """As ``anonymize_overlap``, ranked in cells."""
+    tree = taxonomy.validate_taxonomy(edges(spark, d), HEIGHT)
+    return _released(plans.anonymize(
+        ord_(spark, d), ORD, "overlap", OVERLAP, tree, HEIGHT, keep_pid=True,
+        cell_rows=max(_CELL, table(spark, d, "orders").count() // 20),
+    ), ORD)
+
+
+@query(_MONDRIAN_RELEASE)
+def anonymize_mondrian_bins(spark, d):
+    """As ``anonymize_mondrian``, split by counting in bins first."""
+    return _released(plans.anonymize_mondrian(
+        ord_(spark, d), ORD, K, keep_pid=True, exact_rows=_LOCAL,
+        local_rows=max(_LOCAL, table(spark, d, "orders").count() // 20),
+    ), ORD)
+
+
+@query(sql.with_(*ORD_ASSIGNED) + f"SELECT pid AS o_orderkey, {_ORD_MEANS}, "
+       "cat AS o_orderpriority, sa AS n_name FROM assigned")
+def recode_mean_two_sided(spark, d):
+    """As ``recode_mean`` without the number of classes: large and small ones apart."""
+    return _released(recode.recode_mean(ord_assigned(spark, d), ORD, keep_pid=True), ORD)

@@ -25,6 +25,9 @@ def make_spark():
 
 @pytest.fixture(scope="session")
 def spark():
+    from cloakframe.runtime import discard_all
+
     session = make_spark()
     yield session
+    discard_all(session)
     session.stop()
