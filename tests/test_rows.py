@@ -300,3 +300,71 @@ def test_mismatch_counts(spark):
     middle = spark.createDataFrame([(1, 0.0, "b"), (2, 1.0, "a")], "center int, x double, c string")
     near = centers.nearest_center(df, ["x"], middle, mismatch={"c": 0.7}).collect()
     assert {r.pid: (r.center, round(r.distance, 6)) for r in near} == {1: (1, 0.7), 2: (2, 0.71)}
+
+
+@pytest.mark.parametrize("groups", [["g"], []])
+def test_null_and_nan_keys_rank_alike(spark, groups):
+    rng = random.Random(12)
+    nan = float("nan")
+    rows = [(i, i % 2, rng.choice([nan, None, 1.5, rng.random()])) for i in range(400)]
+    df = spark.createDataFrame(rows, "pid int, g int, k double").withColumn("t", F.md5(F.col("pid").cast("string")))
+    plain = {r.pid: r.rn for r in rank_within(df, groups, "k", "t", 400).collect()}
+    cells = {r.pid: r.rn for r in rank_within(df, groups, "k", "t", 400, cell_rows=20).collect()}
+    assert cells == plain and len(cells) == 400
+
+
+def test_values_that_are_not_finite_are_rejected(spark):
+    for bad in (float("nan"), float("inf")):
+        df = spark.createDataFrame([(1, 1.0, "a"), (2, bad, "b")], "pid int, x double, sa string")
+        with pytest.raises(ValueError, match="not finite"):
+            cf.anonymize(df, cf.Roles("pid", ["x"], "sa"), "beta", 1.0)
+
+
+def test_dates_count_days(spark):
+    df = spark.sql("SELECT 1 AS pid, DATE'1970-01-11' AS d, 'a' AS sa")
+    assert project_roles(df, cf.Roles("pid", ["d"], "sa")).first().d == 10.0
+
+
+def test_every_class_gets_a_centre(spark):
+    df = spark.createDataFrame([(float(i % 3),) for i in range(60)], "x double")
+    sizes = spark.createDataFrame([(e, 10 + e) for e in range(5)], "ec bigint, size bigint")
+    for make in (centers.class_centers_kmeans, centers.class_centers_random):
+        made = {r.ec: (r.cluster, r.x) for r in make(df, ["x"], sizes).collect()}
+        assert {e: c for e, (c, _) in made.items()} == {e: 4 - e for e in range(5)}
+    with pytest.raises(ValueError, match="clusters for 5 classes"):
+        centers.class_centers_kmeans(df, ["x"], sizes, strict=True)
+
+
+def test_cycles_are_found_and_deep_trees_pass(spark):
+    from cloakframe.operators import taxonomy
+
+    schema = "child string, parent string"
+    deep = [(str(i), str(i + 1)) for i in range(70)] + [("70", "*"), ("*", "*")]
+    paths = taxonomy.ancestor_paths(spark.createDataFrame(deep, schema))
+    assert paths.where("node = '0'").first().path[-1] == "*"
+    with pytest.raises(ValueError, match="cycle"):
+        taxonomy.ancestor_paths(spark.createDataFrame([("a", "b"), ("b", "a"), ("*", "*")], schema))
+
+
+def test_long_runs_are_listed_in_chunks(spark, monkeypatch):
+    from cloakframe.operators import classes
+
+    monkeypatch.setattr(classes, "CHUNK_CLASSES", 7)
+    runs = spark.createDataFrame(
+        [(1.0, 1, 2, 3, 50, 5, 0)],
+        "threshold double, bucket bigint, size bigint, level int, classes bigint, first_seq bigint, row_lo bigint",
+    )
+    assert sorted(r.seq for r in classes.rank_seats(runs).collect()) == list(range(5, 55))
+    assert sorted(r.seat for r in classes.expand_seats(runs).collect()) == list(range(1, 101))
+
+
+def test_intermediate_tables_are_removed(spark):
+    from cloakframe.runtime import _written, discard_all
+
+    discard_all(spark)
+    df = spark.createDataFrame([(i, float(i * 37 % 400), "a") for i in range(400)], "pid int, x double, sa string")
+    made = mondrian.mondrian_partition(df, cf.Roles("pid", ["x"], "sa"), 2, local_rows=8)
+    assert made.groupBy("ec").count().count() >= 100
+    left = [p for p in _written[spark.sparkContext.applicationId] if "/halves-" in p or "/standardized-" in p]
+    assert len(left) == 1
+    assert discard_all(spark) > 0 and not _written[spark.sparkContext.applicationId]
