@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, small_side
+from .ranking import CELL_ROWS, rank_within
 from .stats import ec_ranges
 from .taxonomy import generalize_to_level
 
@@ -136,31 +139,74 @@ def cap_excess(skew: DataFrame, beta: float) -> DataFrame:
     )
 
 
-def emd_per_class(counts: DataFrame, normalize: bool = False) -> DataFrame:
+#: Values whose running shares are broadcast at once.
+PART_VALUES = 1 << 21
+
+
+def _distance_in(shares, first: int):
+    """Sum of |c - share| over the values a to b that lie in one part.
+
+    ``shares`` holds the part's running shares, which rise; those up to c count
+    c - share, the others share - c.
+    """
+
+    @F.pandas_udf("double")
+    def add(c: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        rising = shares.value
+        summed = np.concatenate([[0.0], np.cumsum(rising)])
+        low = np.clip(a.to_numpy() - first, 0, len(rising))
+        high = np.clip(b.to_numpy() - first + 1, low, len(rising))
+        level = c.to_numpy()
+        turn = np.clip(np.searchsorted(rising, level, "right"), low, high)
+        under = level * (turn - low) - (summed[turn] - summed[low])
+        over = (summed[high] - summed[turn]) - level * (high - turn)
+        return pd.Series(under + over)
+
+    return add
+
+
+def emd_per_class(
+    counts: DataFrame,
+    normalize: bool = False,
+    part_values: int = PART_VALUES,
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
     """Ordered Earth Mover's Distance of every class to the table.
 
-    Values are ordered by name. A class is one row with the counts of the
-    values it holds; the distance is a fold over the table's values, so the
-    full grid of classes and values is never built.
+    Values are ordered by name. Between two values that a class holds, its own
+    running share stands still and the table's rises, so a class costs one
+    step per value it holds; the grid of classes and values is never built.
+    The table's running shares are broadcast in parts of ``part_values``.
     """
-    table = counts.groupBy("value").agg(F.sum("n").alias("n"))
-    overall = table.agg(
-        F.array_sort(F.collect_list(F.struct("value", "n"))).alias("__table"),
-        F.sum("n").alias("__rows"),
+    table = materialize(counts.groupBy("value").agg(F.sum("n").alias("n")), "table-counts")
+    values, rows = table.agg(F.count(F.lit(1)), F.sum("n")).first()
+    keyed = table.withColumns({"__zero": F.lit(0), "__tie": F.hex(F.col("value").cast("binary"))})
+    ranked = rank_within(keyed, [], "__zero", "__tie", values, "__at", cell_rows)
+    ranked = materialize(ranked.select("value", "n", "__at"), "ranked-values")
+
+    # One step per held value, and one before the first.
+    held = counts.join(small_side(ranked.select("value", "__at"), values), "value")
+    here = held.select("ec", "__at", F.col("n").cast("double").alias("__n"))
+    start = counts.select("ec").distinct().select(
+        "ec", F.lit(1).cast("bigint").alias("__at"), F.lit(0.0).alias("__n")
     )
-    classes = counts.groupBy("ec").agg(
-        F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("__held"),
-        F.sum("n").alias("__size"),
+    # A class that holds the first value has two rows there: one step of length 0.
+    w = Window.partitionBy("ec").orderBy("__at", "__n")
+    whole = F.sum("__n").over(Window.partitionBy("ec"))
+    steps = here.unionByName(start).select(
+        "ec",
+        (F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)) / whole).alias("__c"),
+        F.col("__at").alias("__a"),
+        (F.coalesce(F.lead("__at").over(w), F.lit((values or 0) + 1)) - 1).alias("__b"),
     )
-    start = F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))
-
-    def step(state, value):
-        here = F.coalesce(F.col("__held")[value["value"]], F.lit(0)) / F.col("__size")
-        run = state["run"] + here - value["n"] / F.col("__rows")
-        return F.struct(run.alias("run"), (state["total"] + F.abs(run)).alias("total"))
-
-    distance = F.aggregate("__table", start, step, lambda s: s["total"])
+    total, cumulative = F.lit(0.0), 0
+    for first in range(1, (values or 0) + 1, part_values):
+        inside = F.col("__at").between(first, first + part_values - 1)
+        part = ranked.where(inside).orderBy("__at").select("n").toPandas()["n"].to_numpy()
+        running = cumulative + np.cumsum(part)
+        cumulative = int(running[-1])
+        shares = counts.sparkSession.sparkContext.broadcast(running / rows)
+        total = total + _distance_in(shares, first)("__c", "__a", "__b")
     if normalize:
-        distance = distance / F.greatest(F.size("__table") - 1, F.lit(1))
-    # One row on the right: the overall distribution.
-    return classes.crossJoin(overall).select("ec", distance.alias("emd"))
+        total = total / F.lit(float(max((values or 0) - 1, 1)))
+    return steps.select("ec", total.alias("emd")).groupBy("ec").agg(F.sum("emd").alias("emd"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import class_id, euclidean_norm, order_key, tie_key
 from ..roles import Roles
-from ..runtime import small_side
+from ..runtime import materialize, small_side
 from .ranking import CELL_ROWS, rank_within
 from .stats import Scaling, fit_scaling
 
@@ -98,6 +98,9 @@ def rank_rows(
     scaling = scaling or fit_scaling(df, roles.numeric_qis)
     size = size or PlanSize.of(plan)
     keyed = with_norm_key(df, roles, scaling)
+    if scaling.rows > cell_rows:
+        # Sampled, counted and ranked: written once, not evaluated for each.
+        keyed = materialize(keyed, "keyed")
     placed = dedup_overlap(keyed, roles, plan, size, scaling.rows, cell_rows)
     return rank_within(placed, ["bucket"], "__key", "__tie", scaling.rows, "rn", cell_rows)
 

@@ -368,3 +368,22 @@ def test_intermediate_tables_are_removed(spark):
     left = [p for p in _written[spark.sparkContext.applicationId] if "/halves-" in p or "/standardized-" in p]
     assert len(left) == 1
     assert discard_all(spark) > 0 and not _written[spark.sparkContext.applicationId]
+
+
+def test_class_distances_in_parts(spark):
+    rng = random.Random(14)
+    rows = [(e, f"v{rng.randint(0, 30):02d}", rng.randint(1, 9)) for e in range(12) for _ in range(9)]
+    rows.append((99, "v00", 4))
+    counts = spark.createDataFrame(rows, "ec bigint, value string, n bigint").groupBy("ec", "value").agg(F.sum("n").alias("n"))
+    held = {(r.ec, r.value): r.n for r in counts.collect()}
+    values = sorted({v for _, v in held})
+    total = sum(held.values())
+    for options in ({}, {"part_values": 4, "cell_rows": 5}):
+        got = {r.ec: r.emd for r in audit.emd_per_class(counts, **options).collect()}
+        assert set(got) == {e for e, _ in held}
+        for e in got:
+            size, run, want = sum(n for (c, _), n in held.items() if c == e), 0.0, 0.0
+            for v in values:
+                run += held.get((e, v), 0) / size - sum(n for (_, x), n in held.items() if x == v) / total
+                want += abs(run)
+            assert got[e] == pytest.approx(want)
