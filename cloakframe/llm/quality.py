@@ -15,9 +15,7 @@ by parameters, so neither grows with the table. Scoring covers every row.
 Defined results: an empty or null text has no feature and scores 0.5. Labels that
 are null, or that differ for one identifier, are left out. Rows with a null
 identifier are scored, never learnt from. Without a single usable label every
-score is 0.5. Columns of the input other than the identifier and the text are
-kept, whatever their names, in front of the result's own; an input that already
-has a result's name keeps its column out of the way under ``_in`` + name.
+score is 0.5. All columns of the input are kept; the score may be given another name.
 """
 
 from __future__ import annotations
@@ -193,12 +191,11 @@ def training_rows(
     )
 
 
-def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``score``, the probability of label 1."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(weights.astype(np.float64))
-    if "score" in docs.columns:
-        docs = docs.withColumnRenamed("score", "_inscore")
+def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``, the probability of label 1."""
+    if name in docs.columns:
+        raise ValueError(f"the input has a column {name!r}; give the score another name")
+    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
     names = docs.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +204,7 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataF
             made = (features(t) for t in part.column(names.index(text_col)).to_pylist())
             scores = [float(_sigmoid(float(w[f] @ v))) for f, v in made]
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(scores, pa.float64())], [*names, "score"]
+                [*part.columns, pa.array(scores, pa.float64())], [*names, name]
             )
 
-    return docs.mapInArrow(apply, T.StructType([*docs.schema, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(apply, T.StructType([*docs.schema, T.StructField(name, T.DoubleType())]))

@@ -158,10 +158,12 @@ def test_quality_learns_and_scores_all(spark, rows, docs, none):
     weights = quality.fit(train, "text", "y", "at")
     scored = quality.score(table, weights).where(quality.held_out("doc_id")).collect()
     assert len(scored) > 30 and all((r["score"] >= 0.5) == (r["quality"] == 1) for r in scored)
-    clashing = docs.withColumn("score", F.lit(1))
-    got = quality.score(clashing, weights).collect()
-    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
-    assert all(r["score"] == 0.5 for r in got if not (r["text"] or "").strip())
+    clashing = docs.withColumn("score", F.lit("own"))
+    got = quality.score(clashing, weights, name="good").collect()
+    assert len(got) == len(rows) and all(0 <= r["good"] <= 1 and r["score"] == "own" for r in got)
+    assert all(r["good"] == 0.5 for r in got if not (r["text"] or "").strip())
+    with pytest.raises(ValueError):
+        quality.score(clashing, weights)
     nothing = quality.fit(quality.training_rows(none, labels.limit(0)), "text", "y", "at")
     assert not nothing.any() and quality.score(none, nothing).count() == 0
 
