@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.runtime import materialize
+from cloakframe.runtime import materialize, scratch_path
 
 __all__ = ["distinct_texts", "drop_path", "materialize", "pieces", "slices", "text_key", "whole", "workers"]
 
@@ -24,10 +24,16 @@ def text_key(text: str | Column) -> Column:
 
 
 def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, text, copies) per distinct text, written once."""
+    """(key, text, copies) per distinct text, written once, bucketed by key.
+
+    Joins on the key read the table as it lies; the texts are not shuffled again.
+    """
     rows = docs.select(text_key(text_col).alias("key"), whole(text_col).alias("text"))
     made = rows.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    return materialize(made, "distinct-texts")
+    path = scratch_path(docs.sparkSession, "texts")
+    name = f"texts_{path.rsplit('-', 1)[1]}"
+    made.write.bucketBy(workers(docs), "key").option("path", path).format("parquet").saveAsTable(name)
+    return docs.sparkSession.table(name)
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

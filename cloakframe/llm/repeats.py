@@ -15,17 +15,20 @@ digits are taken outwards from there:
 1. runs by their gram. A gram that occurs once ends all its windows: unique.
 2. runs by all that their windows cover. Equal runs end as repeated. They
    stay in the game as one row, as partners of the runs that are still open.
-3. the windows of the open runs and their partners, one by one, as a whole.
+3. blocks of a few windows of the open runs and their partners: first by what all
+   their windows share, then, if that is not unique, by all they cover.
+4. the windows of the blocks that are still open, and their partners, one by one.
 
-Only runs at the edges of a repeated passage reach the third pass. All windows of
-a run contain its gram, so what its repeated windows cover is one span,
+Only the edges of a repeated passage reach the last passes. All windows of a run
+contain its gram, so what its repeated windows cover is one span,
 given by the first and the last of them.
 
 Strings are compared by 128-bit hashes (XXH3) of all their bytes (of words, by
 those of the words' 64-bit hashes). Passes are
 aggregates with partial sums on those hashes, joined back to the runs; no group
 is gathered in a task, however many documents share a passage. Equal texts are
-taken once, with their number.
+taken once, with their number, in a table that is bucketed by their key: the
+passes that need the texts again read it in place.
 
 Defined results: null texts are empty; texts shorter than ``length`` keep
 everything unless nothing repeats; repeated rows are copies of each other like
@@ -35,6 +38,7 @@ any equal texts; null identifiers are kept.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -44,18 +48,36 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import distinct_texts, materialize, slices
+from cloakframe.llm.common import distinct_texts, drop_path, materialize, slices
 
 #: Units of a window's first digit.
 GRAMS = {"bytes": 32, "words": 6}
 #: Windows of a text that are hashed at a time.
 BLOCK = 1 << 20
+#: Windows of an open run that are compared at once.
+STRIDE = 12
 _WORD = re.compile(rb"\S+")
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-_RUN = pa.schema(
-    [("key", pa.binary()), ("gram", pa.int64()), ("run", pa.binary()), ("at", pa.int32()),
-     ("first", pa.int32()), ("last", pa.int32())]
-)
+#: 128-bit hashes travel as two numbers; ``low`` and ``high`` count from the gram.
+_RUN = "key binary, gram long, run0 long, run1 long, at int, low short, high short"
+_BLOCK = "run_id long, copies long, core long, cover0 long, cover1 long, low short, high short"
+_WINDOW = "cover0 long, cover1 long, copies long, window0 long, window1 long, start short"
+_RUN_KEY, _COVER, _SINGLE = ["run0", "run1"], ["cover0", "cover1"], ["window0", "window1"]
+#: Most units in a window; places in it are 16-bit numbers.
+MAX_LENGTH = 1 << 14
+_ARROW = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "short": pa.int16()}
+
+
+def _batch(columns: list[list], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields]
+    )
+
+
+def _halves(data: bytes) -> tuple[int, int]:
+    """A 128-bit hash as two signed numbers."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(data))
 
 
 def unit_codes(text: str | None, units: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,7 +125,7 @@ def runs(codes: np.ndarray, length: int, gram: int) -> Iterator[tuple[int, int,
 
     Windows that share a gram at one place are one run; of equal grams in a window
     the first counts. A very long text is taken in blocks of windows; a run that a
-    block's end cuts is two runs, which the third pass compares like any others.
+    block's end cuts is two runs, which the later passes compare like any others.
     """
     for start in range(0, len(codes) - length + 1, BLOCK):
         for mark, at, first, last in _block_runs(codes[start : start + BLOCK + length - 1], length, gram):
@@ -131,97 +153,136 @@ def _block_runs(codes: np.ndarray, length: int, gram: int) -> Iterator[tuple[int
 
 
 def _run_rows(batches: Iterator[pa.RecordBatch], length: int, units: str) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh3_128_digest
     for part in slices(batches, 64):
-        cols: list[list] = [[] for _ in _RUN]
+        cols: list[list] = [[] for _ in range(7)]
         for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             _, codes, _, _ = unit_codes(text, units)
             raw, size = codes.tobytes(), codes.itemsize
             for gram, at, first, last in runs(codes, length, GRAMS[units]):
                 cover = (at - first).to_bytes(4, "little") + raw[first * size : (last + length) * size]
-                for col, value in zip(cols, (key, gram, digest(cover), at, first, last)):
+                row = (key, gram, *_halves(cover), at, first - at, last - at)
+                for col, value in zip(cols, row):
                     col.append(value)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(cols, _RUN)], schema=_RUN
-        )
+        yield _batch(cols, _RUN)
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch], length: int, units: str) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh3_128_digest
-    names = ["run", "copies", "window", "start"]
+def _block_rows(batches: Iterator[pa.RecordBatch], length: int, units: str) -> Iterator[pa.RecordBatch]:
+    """A row per block of an open run; starts of windows are counted from the gram."""
+    mark = xxhash.xxh3_64_intdigest
     for part in slices(batches, 32):
-        cols: list[list] = [[], [], [], []]
+        cols: list[list] = [[] for _ in range(7)]
         for text, open_runs in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             _, codes, _, _ = unit_codes(text, units)
             raw, size = codes.tobytes(), codes.itemsize
             for r in open_runs:
-                first, last = r["first"], r["last"]
-                cols[0] += [r["run"]] * (last - first + 1)
-                cols[1] += [r["copies"]] * (last - first + 1)
-                cols[2] += [digest(raw[p * size : (p + length) * size]) for p in range(first, last + 1)]
-                cols[3] += range(first - r["at"], last - r["at"] + 1)
-        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+                at = r["at"]
+                for number in range(r["low"] // STRIDE, r["high"] // STRIDE + 1):
+                    start, stop = number * STRIDE, number * STRIDE + STRIDE - 1
+                    low, high = max(start, r["low"]), min(stop, r["high"])
+                    shared = raw[(at + stop) * size : (at + start + length) * size]
+                    core = mark(number.to_bytes(4, "little", signed=True) + shared)
+                    ends = low.to_bytes(4, "little", signed=True) + high.to_bytes(4, "little", signed=True)
+                    cover = ends + raw[(at + low) * size : (at + high + length) * size]
+                    row = (r["run_id"], r["copies"], core - (1 << 63), *_halves(cover), low, high)
+                    for col, value in zip(cols, row):
+                        col.append(value)
+        yield _batch(cols, _BLOCK)
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch], length: int, units: str) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, 32):
+        cols: list[list] = [[] for _ in range(6)]
+        for text, blocks in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            _, codes, _, _ = unit_codes(text, units)
+            raw, size = codes.tobytes(), codes.itemsize
+            for b in blocks:
+                for start in range(b["low"], b["high"] + 1):
+                    p = b["at"] + start
+                    window = _halves(raw[p * size : (p + length) * size])
+                    row = (b["cover0"], b["cover1"], b["copies"], *window, start)
+                    for col, value in zip(cols, row):
+                        col.append(value)
+        yield _batch(cols, _WINDOW)
+
+
+def _still_open(kinds: DataFrame, part: str) -> DataFrame:
+    """Of ``kinds(part, copies, ...)``: those whose part has several kinds, one of them single."""
+    groups = kinds.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.min("copies").alias("least"))
+    # Written, so that a part with very many kinds can be split in the join.
+    parts = materialize(groups.where("n > 1 AND least = 1").select(part), "open-parts")
+    return kinds.join(parts, part)
+
+
+def _per_text(texts: DataFrame, rows: DataFrame, fields: list[str]) -> DataFrame:
+    """Each text with the list of its rows (no longer than the text)."""
+    lists = rows.groupBy("key").agg(F.collect_list(F.struct(*fields)).alias("rows"))
+    return texts.select("key", "text").join(lists, "key").select("text", "rows")
 
 
 def repeated_spans(texts: DataFrame, length: int, units: str) -> DataFrame:
     """(key, spans): per text with repeats, the units (start, end) that repeated windows cover.
 
-    ``texts(key, text, copies)`` has one row per distinct text. Spans may touch or
-    overlap; there is one per run.
+    ``texts(key, text)`` has one row per distinct text. Spans may touch or overlap;
+    there is one per run.
     """
-    own = texts.select("key", "text", "copies")
-    made = own.select("key", "text").mapInArrow(
-        lambda batches: _run_rows(batches, length, units),
-        "key binary, gram long, run binary, at int, first int, last int",
-    )
-    table = materialize(made, "runs")
-
-    # Copies of a text repeat all its windows: they settle without a pass.
-    place = F.struct("key", "at", "first", "last")
-    kinds = materialize(
-        table.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("one")),
-        "run-kinds",
-    )
-    grams = kinds.groupBy("gram").agg(
-        F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("least")
-    )
-    # Open: a run that occurs once, beside other runs of its gram. Its partners join it.
-    open_grams = grams.where("kinds > 1 AND least = 1").select("gram")
-    contested = kinds.join(open_grams, "gram").select("run", "copies", "one.*")
-    by_text = contested.groupBy("key").agg(
-        F.collect_list(F.struct("run", "copies", "at", "first", "last")).alias("runs")
+    ends = [F.min("low").alias("low"), F.max("high").alias("high")]  # the same for equal hashes
+    made = texts.select("key", "text").mapInArrow(lambda batches: _run_rows(batches, length, units), _RUN)
+    # Pass 1: most grams occur once.
+    every = materialize(made, "runs")
+    twice = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    shared = materialize(every.join(materialize(twice, "grams"), "gram"), "shared-runs")
+    drop_path(every)
+
+    # Pass 2: whole runs.
+    counted = shared.groupBy("gram", *_RUN_KEY).agg(F.count(F.lit(1)).alias("copies"), *ends)
+    counted = materialize(counted, "run-kinds")
+    settled = counted.where("copies > 1").select(*_RUN_KEY, "low", "high")
+    open_kinds = materialize(
+        _still_open(counted, "gram").select(*_RUN_KEY, "copies").withColumn("run_id", F.monotonically_increasing_id()),
+        "open-kinds",
     )
-    windows = (
-        own.select("key", "text")
-        .join(by_text, "key")
-        .select("text", "runs")
-        .mapInArrow(
-            lambda batches: _window_rows(batches, length, units),
-            "run binary, copies long, window binary, start int",
-        )
-    )
-    windows = materialize(windows, "open-windows")
-    repeated = (
-        windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
+    # A run with copies takes part with one of them, whichever text it is in.
+    first = F.min(F.struct("key", "at")).alias("one")
+    placed = shared.join(open_kinds, _RUN_KEY).groupBy("run_id").agg(first, F.first("copies").alias("copies"), *ends)
+    open_runs = materialize(placed.select("run_id", "copies", "low", "high", "one.*"), "open-runs")
+
+    # Pass 3: blocks of windows.
+    blocks = _per_text(texts, open_runs, ["run_id", "copies", "at", "low", "high"])
+    blocks = materialize(blocks.mapInArrow(lambda batches: _block_rows(batches, length, units), _BLOCK), "blocks")
+    block_kinds = blocks.groupBy("core", *_COVER).agg(
+        F.sum("copies").alias("copies"), F.min("run_id").alias("run_id"), *ends
     )
+    block_kinds = materialize(block_kinds, "block-kinds")
+    settled_blocks = block_kinds.where("copies > 1").select(*_COVER, "low", "high")
+    open_blocks = _still_open(block_kinds, "core").drop("core")
+    open_blocks = open_blocks.join(open_runs.select("run_id", "key", "at"), "run_id")
+
+    # Pass 4: single windows.
+    windows = _per_text(texts, open_blocks, [*_COVER, "copies", "at", "low", "high"])
+    windows = materialize(windows.mapInArrow(lambda batches: _window_rows(batches, length, units), _WINDOW), "windows")
+    repeated = windows.groupBy(*_SINGLE).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*_SINGLE)
     edges = (
         windows.where("copies = 1")
-        .join(repeated, "window")
-        .groupBy("run")
-        .agg(F.min("start").alias("from"), F.max("start").alias("to"))
+        .join(materialize(repeated, "repeated-windows"), _SINGLE)
+        .groupBy(*_COVER)
+        .agg(F.min("start").alias("low"), F.max("start").alias("high"))
     )
-    settled = kinds.where("copies > 1").select(
-        "run",
-        (F.col("one.first") - F.col("one.at")).alias("from"),
-        (F.col("one.last") - F.col("one.at")).alias("to"),
+
+    from_blocks = (
+        blocks.where("copies = 1")
+        .select("run_id", *_COVER)
+        .join(materialize(settled_blocks.union(edges), "covers"), _COVER)
+        .groupBy("run_id")
+        .agg(*ends)
+        .join(open_kinds, "run_id")
+        .select(*_RUN_KEY, "low", "high")
     )
-    covered = settled.union(edges.select("run", "from", "to"))
-    spans = table.join(covered, "run").select(
+    covered = materialize(settled.union(from_blocks), "covered-runs")
+    spans = shared.select("key", "at", *_RUN_KEY).join(covered, _RUN_KEY).select(
         "key",
         F.struct(
-            (F.col("at") + F.col("from")).alias("start"),
-            (F.col("at") + F.col("to") + length).alias("end"),
+            (F.col("at") + F.col("low")).alias("start"),
+            (F.col("at") + F.col("high") + length).alias("end"),
         ).alias("span"),
     )
     return spans.groupBy("key").agg(F.collect_list("span").alias("spans"))
@@ -263,8 +324,8 @@ def remove_repeats(
     somewhere else (the same text included) is removed; strings are judged on the
     input. ``kept`` is binary. Join to the documents on ``common.text_key``.
     """
-    if length <= GRAMS[units]:
-        raise ValueError(f"length must be over {GRAMS[units]} {units}")
+    if not GRAMS[units] < length <= MAX_LENGTH:
+        raise ValueError(f"length must be over {GRAMS[units]} and at most {MAX_LENGTH} {units}")
     texts = distinct_texts(docs, text_col)
     # A text with copies is repeated as a whole, if long enough for one window.
     found = repeated_spans(texts, length, units)
