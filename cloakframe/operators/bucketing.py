@@ -89,59 +89,36 @@ def sort_by_cap(histogram: DataFrame, beta: float, cell_rows: int = CELL_ROWS) -
 # beta-likeness
 
 
+def _greedy_fill(values: pd.DataFrame) -> pd.DataFrame:
+    """Number of the bucket of every value of one threshold, in one pass."""
+    values = values.sort_values(["freq", "sa"], ignore_index=True)
+    opened, share, room = 0, 0.0, float("inf")
+    numbers = []
+    for p, cap in zip(values["p"].tolist(), values["cap"].tolist()):
+        share, room = share + p, min(room, cap)
+        if share > room:
+            opened, share, room = opened + 1, p, cap
+        numbers.append(opened)
+    return values[["threshold", "sa", "freq", "cap"]].assign(opened=numbers)
+
+
 def beta_buckets(histogram: DataFrame, limits: Sequence[float]) -> DataFrame:
     """Greedy fill in cap order; a value that does not fit opens a new bucket.
 
-    The fold keeps only the positions where buckets start; the buckets are
-    then slices of the sorted values.
+    Whether a value fits depends on all before it, so a threshold's values are
+    walked once, in one task, in time linear in their number; what a bucket
+    holds is then an aggregate.
     """
-    packed = (
-        _with_caps(histogram, limits)
-        .groupBy("threshold")
-        .agg(F.array_sort(F.collect_list(F.struct("freq", "sa", "p", "cap"))).alias("values"))
-    )
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.lit(0.0).alias("share"),
-        F.lit(float("inf")).alias("cap"),
-        F.array(F.lit(1)).alias("starts"),
-    )
-
-    def fill(state: Column, value: Column) -> Column:
-        at = state["at"] + F.lit(1)
-        share = state["share"] + value["p"]
-        cap = F.least(state["cap"], value["cap"])
-        full = share > cap
-        return F.struct(
-            at.alias("at"),
-            F.when(full, value["p"]).otherwise(share).alias("share"),
-            F.when(full, value["cap"]).otherwise(cap).alias("cap"),
-            F.when(full, F.concat(state["starts"], F.array(at)))
-            .otherwise(state["starts"])
-            .alias("starts"),
-        )
-
-    starts = F.aggregate("values", start, fill, lambda s: s["starts"])
-    folded = packed.withColumn("starts", starts)
-
-    def cut(begin: Column, index: Column) -> Column:
-        end = F.coalesce(F.get("starts", index + 1), F.size("values") + 1)
-        return F.slice("values", begin, end - begin)
-
-    slices = folded.select("threshold", F.explode(F.transform("starts", cut)).alias("part"))
-    items = F.array_sort(
-        F.transform(
-            "part", lambda v: F.struct(v["sa"].alias("sa"), v["freq"].alias("n"))
-        )
+    values = _with_caps(histogram, limits).select("threshold", "sa", "freq", "p", "cap")
+    filled = values.groupBy("threshold").applyInPandas(
+        _greedy_fill, "threshold double, sa string, freq bigint, cap double, opened bigint"
     )
-    total = F.aggregate("part", F.lit(0).cast("bigint"), lambda s, v: s + v["freq"])
-    buckets = slices.select(
-        "threshold",
-        items.alias("items"),
-        total.alias("freq"),
-        F.element_at("part", 1)["cap"].alias("cap"),
+    buckets = filled.groupBy("threshold", "opened").agg(
+        F.array_sort(F.collect_list(F.struct("sa", F.col("freq").alias("n")))).alias("items"),
+        F.sum("freq").alias("freq"),
+        F.min("cap").alias("cap"),  # of the first value: caps rise with the count
     )
-    return explode_buckets(number_buckets(buckets)).select(*PLAN_COLUMNS)
+    return explode_buckets(number_buckets(buckets.drop("opened"))).select(*PLAN_COLUMNS)
 
 
 # --------------------------------------------------------------------------

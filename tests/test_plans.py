@@ -219,3 +219,14 @@ def test_emd_value(spark):
         [(1, 0, 0.5, 0.25), (1, 1, 0.5, 0.25), (1, 2, 0.0, 0.5)], "g int, o int, a double, b double"
     )
     assert stats.emd(rows, ["g"], "o", "a", "b").first()["emd"] == pytest.approx(0.75)
+
+
+def test_many_values_fill_in_linear_time(spark):
+    values = spark.range(1_000_000).select(
+        F.format_string("v%07d", "id").alias("sa"), (F.lit(1) + F.col("id") % 3).alias("freq")
+    )
+    total = 1_999_999
+    hist = values.select("sa", "freq", F.lit(total).alias("total"), (F.col("freq") / total).alias("p"))
+    plan = bucketing.beta_buckets(hist, [1.0])
+    row = plan.agg(F.count("sa"), F.sum("quota"), F.max("bucket"), F.count_distinct("sa")).first()
+    assert row[0] == row[3] == 1_000_000 and row[1] == total and 0 < row[2] < 1_000_000
