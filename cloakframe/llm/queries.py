@@ -42,7 +42,22 @@ def op1_lm_cross_entropy_difference(spark, d):
     return lm.cross_entropy_difference(marked, "is_target", keep=["doc_id"])
 
 
-@query()
+_REPEATS_SQL = """
+WITH d AS (SELECT doc_id, b, octet_length(b) AS n FROM (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)),
+w AS (SELECT doc_id, p, md5(b[p:p + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 398)) AS p FROM d WHERE n >= 400)),
+r AS (SELECT doc_id, p FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 0 ELSE 1 END AS new FROM r),
+k AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 399 AS z FROM k GROUP BY doc_id, k),
+kept AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS a, a - 1 AS z FROM s
+  UNION ALL SELECT d.doc_id, coalesce(max(s.z), 0) + 1, max(d.n) FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, n AS n_bytes, n - CAST(sum(kept.z - kept.a + 1) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans,
+  sha256(unhex(string_agg(CASE WHEN kept.a <= kept.z THEN hex(b[kept.a:kept.z]) ELSE '' END, '' ORDER BY kept.a))) AS kept_sha256
+FROM d JOIN kept ON kept.doc_id = d.doc_id GROUP BY d.doc_id, n"""
+
+
+@query(_REPEATS_SQL)
 def op2_suffix_array_dedup(spark, d):
     docs = table(spark, d, "documents")
     found = repeats.remove_repeats(docs, length=400, with_kept=False).select(
@@ -192,7 +207,27 @@ def op7_exact_topk_search(spark, d):
     return topk.top_k(vectors, vectors.where("id % 20 = 0"), k=20)
 
 
-@query()
+_LEAKS_SQL = r"""
+WITH dt AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS i, len(t) AS n FROM (
+    SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents)),
+it AS (SELECT item_id, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS j, len(t) AS m FROM (
+    SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark)),
+same AS (SELECT doc_id, item_id, i - j AS d, j, m, n FROM dt JOIN it ON dt.w = it.w),
+near AS (SELECT doc_id, item_id, d, m, n FROM same GROUP BY ALL HAVING 5 * count(*) >= 4 * least(13, m)),
+place AS (SELECT *, unnest(range(greatest(0, -d), least(m, n - d))) AS j FROM near),
+mark AS (SELECT p.*, CASE WHEN s.j IS NULL THEN -4 ELSE 1 END AS v FROM place p LEFT JOIN same s
+    ON s.doc_id = p.doc_id AND s.item_id = p.item_id AND s.d = p.d AND s.j = p.j),
+run AS (SELECT *, sum(v) OVER (PARTITION BY doc_id, item_id, d ORDER BY j) AS upto,
+    sum(CASE WHEN v = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, item_id, d ORDER BY j) AS hits FROM mark),
+part AS (SELECT a.doc_id, a.item_id, a.d, a.m, a.j AS lo, z.j - a.j + 1 AS len,
+    z.hits - a.hits + CASE WHEN a.v = 1 THEN 1 ELSE 0 END AS eq FROM run a JOIN run z
+    ON z.doc_id = a.doc_id AND z.item_id = a.item_id AND z.d = a.d AND z.j >= a.j AND z.upto >= a.upto - a.v),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY len DESC, d, lo) AS k FROM part WHERE len >= least(13, m))
+SELECT doc_id, item_id, CAST(d + lo AS INTEGER) AS token_start, CAST(len AS INTEGER) AS n_tokens,
+  CAST(eq AS INTEGER) AS n_equal FROM best WHERE k = 1"""
+
+
+@query(_LEAKS_SQL)
 def op8_benchmark_decontamination(spark, d):
     """A row per document and test item that it holds."""
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
