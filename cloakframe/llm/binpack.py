@@ -11,6 +11,10 @@ from bisect import bisect_right
 from dataclasses import dataclass, field
 
 
+#: Items of a filling up to which dominance is worked out.
+FEW = 4
+
+
 @dataclass
 class Packing:
     """Patterns (lengths, times), the bins they take, and a proven lower bound."""
@@ -63,7 +67,13 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
 
 
 def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """The items of b can be shared out among the items of a without excess."""
+    """The items of b can be shared out among the items of a without excess.
+
+    Told for up to ``FEW`` items; fillings of more are never said to be dominated
+    (keeping a dominated one loses nothing but time).
+    """
+    if len(a) > FEW or len(b) > FEW:
+        return False
 
     def place(i: int, rooms: list[int]) -> bool:
         if i == len(b):
@@ -84,33 +94,44 @@ def fillings(
 ) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room``, fullest first; ``sizes`` ascending, all in stock.
 
-    One item that fills the room dominates every other filling. Otherwise, from
-    each first item, the largest that still fit are added in turn, and for three
-    items the second is varied as well when no two fill the room.
+    One item that fills the room dominates every other filling. Where two items
+    fill it, such pairs come first, with the largest single item after them: what
+    a pair leaves unused is nothing. Otherwise, from each first item, the largest
+    that still fit are added in turn, and with three items the second is varied
+    as well.
     """
     if counts.get(room):
         return [(room,)]
+    pairs = []
+    for small in range(1, room // 2 + 1):
+        large = room - small
+        if counts.get(small) and counts.get(large) and (small != large or counts[small] > 1):
+            pairs.append((large, small))
+            if len(pairs) == width:
+                break
+    if pairs:
+        return [*pairs, (sizes[bisect_right(sizes, room) - 1],)]
     fitting = sizes[: bisect_right(sizes, room)]
     if not fitting:
         return [()]
     found: set[tuple[int, ...]] = set()
 
-    def grow(chosen: list[int], left: int) -> None:
-        """Add the largest items in stock, none larger than the last."""
-        top = chosen[-1]
-        while left:
+    def grow(first: int) -> None:
+        """Add the largest that fit, none larger than the first, as often as they fit."""
+        chosen, left, top = [first], room - first, first
+        while left and top:
             i = bisect_right(sizes, min(left, top)) - 1
-            while i >= 0 and counts[sizes[i]] <= chosen.count(sizes[i]):
-                i -= 1
             if i < 0:
                 break
             top = sizes[i]
-            chosen.append(top)
-            left -= top
+            times = min(counts[top] - (top == first), left // top)
+            chosen += [top] * times
+            left -= top * times
+            top -= 1
         found.add(tuple(chosen))
 
     for first in reversed(fitting):
-        grow([first], room - first)
+        grow(first)
     if all(sum(f) < room for f in found):
         for first in reversed(fitting):
             rest = room - first
@@ -132,7 +153,7 @@ def fillings(
     return kept
 
 
-def pack(counts: dict[int, int], capacity: int, max_nodes: int = 6000) -> Packing:
+def pack(counts: dict[int, int], capacity: int, max_nodes: int = 3000) -> Packing:
     """Few bins for the items; the lower bound tells how few are possible.
 
     Best-fit decreasing is the first incumbent. The search goes around the largest

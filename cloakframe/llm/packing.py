@@ -100,7 +100,7 @@ def runs(packing: Packing) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def pack_pieces(table: DataFrame, capacity: int, max_nodes: int = 6000) -> DataFrame:
+def pack_pieces(table: DataFrame, capacity: int, max_nodes: int = 3000) -> DataFrame:
     """``table(_row, length, ...)`` with sequence_id and offset.
 
     ``table`` is written already (it is read for the counts and for the ranks), and

@@ -238,6 +238,9 @@ def test_bin_completion_against_brute_force():
         assert +packed == Counter(items)
     with pytest.raises(ValueError):
         binpack.pack({30: 1}, 20)
+    # very many small items: long fillings must not cost more than their length
+    made = binpack.pack({1: 4000, 2: 3001, 3: 900, 700: 40, 1019: 77}, 1024)
+    assert made.bins == made.bound
 
 
 def test_decontamination(spark, docs, none):
