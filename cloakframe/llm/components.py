@@ -1,8 +1,9 @@
 """Connected components of an edge table, by alternating stars.
 
 Every round is two joins of the edges with one minimum per node. The minimum is
-an aggregate with partial sums and the join's other side has one row per node,
-so a node with very many neighbours is split by the adaptive skew join. Each
+an aggregate with partial results; it is written, so the join has one row per node
+on that side, and a node with very many neighbours is split by the adaptive skew
+join. Each
 round's edges are written, which cuts the lineage and survives lost executors.
 The number of rounds grows with the logarithm of the longest path.
 """
@@ -23,9 +24,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        linked = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        linked = both.where("v > u").join(materialize(least, "least"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
         moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         linked = moved.union(least.select("u", F.col("m").alias("v")))
     return linked.where("u > v").distinct()
@@ -52,7 +53,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialize(pairs.distinct(), "edges")
     mark = _mark(now)
     for _ in range(max_rounds):
-        new = materialize(_star(_star(now, large=True), large=False), "edges")
+        half = materialize(_star(now, large=True), "edges")
+        new = materialize(_star(half, large=False), "edges")
         drop_path(now)
         now, before, mark = new, mark, _mark(new)
         if mark == before:

@@ -97,7 +97,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select(
         "fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")
     )
-    heads = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Written, so that a class of very many fingerprints can be split in the join.
+    heads = materialize(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "heads")
     classes = named.join(heads, "root").select("fingerprint", "component_id")
     return prints.join(classes, "fingerprint").select(id_col, "fingerprint", "component_id")
 
@@ -205,8 +206,12 @@ def near_copy_classes(
     tried = tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     tried = materialize(tried, "candidate-pairs")
 
-    left = texts.select(F.col("key").alias("u"), F.col("text").alias("left"))
-    right = texts.select(F.col("key").alias("v"), F.col("text").alias("right"))
+    # The texts in question, apart from their buckets: a text that very many are held
+    # against can then be split in the join.
+    needed = tried.select(F.col("u").alias("key")).union(tried.select("v")).distinct()
+    some = materialize(texts.select("key", "text").join(needed, "key"), "candidate-texts")
+    left = some.select(F.col("key").alias("u"), F.col("text").alias("left"))
+    right = some.select(F.col("key").alias("v"), F.col("text").alias("right"))
     both = tried.join(left, "u").join(right, "v").select("u", "v", "left", "right").sortWithinPartitions("v")
     links = both.mapInArrow(lambda batches: _verify(batches, width, min_similarity), "u binary, v binary")
     return components(links).select(F.col("node").alias("key"), "root")
