@@ -45,7 +45,7 @@ from cloakframe.llm.common import materialize, scratch_path, slices, workers
 
 ORDER = 5
 #: Bytes of text in a chunk, and of those looked at at a time.
-CHUNK_BYTES, STEP_BYTES = 16 << 20, 2 << 20
+CHUNK_BYTES, STEP_BYTES = 16 << 20, 1 << 19
 
 
 def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
