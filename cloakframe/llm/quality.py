@@ -82,6 +82,13 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))
 
 
+def _average(shards: pd.DataFrame) -> pd.DataFrame:
+    """Mean of the shards' states, by their numbers of rows."""
+    share = shards["n_rows"].to_numpy() / shards["n_rows"].sum()
+    mean = sum(np.frombuffer(s) * part for s, part in zip(shards["state"], share))
+    return pd.DataFrame({"state": [mean.tobytes()]})
+
+
 def fit(
     labelled: DataFrame,
     text_col: str,
@@ -143,17 +150,16 @@ def fit(
             return pd.DataFrame({"n_rows": [len(rows)], "state": [np.stack([z, n]).tobytes()]})
 
         shard = F.pmod(F.col("at"), F.lit(shards)).cast("int")
-        made = (
-            table.withColumn("shard", shard)
-            .groupBy("shard").applyInPandas(follow, "n_rows long, state binary").collect()
+        followed = table.withColumn("shard", shard).groupBy("shard").applyInPandas(
+            follow, "n_rows long, state binary"
         )
+        # One row for each shard: averaged in a task, so that the driver gets one state.
+        made = followed.groupBy().applyInPandas(_average, "state binary").collect()
         shared.destroy()
-        total = sum(r["n_rows"] for r in made)
-        if not total:
+        if not made:
             break
-        state = sum(
-            np.frombuffer(r["state"]).reshape(2, size) * (r["n_rows"] / total) for r in made
-        )
+        state = np.frombuffer(made[0]["state"]).reshape(2, size).copy()
+        del made
     drop_path(table)
     return _weights(state[0], state[1], rate, smooth, l1, l2)
 
