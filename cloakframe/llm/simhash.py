@@ -18,17 +18,18 @@ repeated rows stay repeated.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.llm.common import distinct_texts, materialize, slices, text_key
+from cloakframe.llm.common import distinct_texts, drop_path, materialize, slices, text_key
 from cloakframe.llm.components import components
 
 SEED = 42
@@ -105,21 +106,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # ------------------------------------------------- near copies by similarity
 
-#: Word pairs carry the prints of near copies: an edit changes few of them.
-PRINT_WORDS = 2
-
-
-def wide_prints(text: str, prints: int, bits: int, words_each: int = PRINT_WORDS) -> list[int]:
-    """``prints`` independent fingerprints of ``bits`` bits (prints * bits <= 256)."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    shingles = {b" ".join(words[i : i + words_each]) for i in range(max(1, len(words) - words_each + 1))}
-    raw = b"".join([xxhash.xxh3_128_digest(s, 1) + xxhash.xxh3_128_digest(s, 2) for s in shingles])
-    hashes = np.frombuffer(raw, np.uint8).reshape(-1, 32)
-    counts = np.zeros(256, np.int64)
-    for at in range(0, len(hashes), 65536):
-        counts += np.unpackbits(hashes[at : at + 65536], axis=1).sum(axis=0, dtype=np.int64)
-    number = int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
-    return [(number >> (t * bits)) & ((1 << bits) - 1) for t in range(prints)]
+#: Texts of which about one in so many is counted, to tell common shingles from rare ones.
+COUNTED_ONE_IN = 16
+#: Shingles that may be told as common, and the counted texts that make one common.
+COMMON, COMMON_FROM = 65_536, 3
 
 
 def shingle_set(text: str, width: int) -> frozenset[int]:
@@ -131,14 +121,57 @@ def shingle_set(text: str, width: int) -> frozenset[int]:
     )
 
 
-def _print_rows(batches: Iterator[pa.RecordBatch], prints: int, bits: int) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
-        keys, marks = [], []
+def _signed(hashes: frozenset[int]) -> np.ndarray:
+    return np.fromiter(hashes, np.uint64, len(hashes)).view(np.int64)
+
+
+def _counted_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, 64):
+        for text in part.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(shingle_set(text, width)))], ["shingle"])
+
+
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several of the counted texts, ascending, and their counts.
+
+    They only set the order in which a text's shingles are looked at (see
+    ``near_copy_classes``); any order gives the same classes.
+    """
+    some = texts.where(F.pmod(F.xxhash64("key"), F.lit(COUNTED_ONE_IN)) == 0).select("text")
+    rows = some.mapInArrow(lambda batches: _counted_rows(batches, width), "shingle long")
+    counts = rows.groupBy("shingle").count().where(F.col("count") >= COMMON_FROM)
+    found = counts.orderBy(F.col("count").desc(), "shingle").limit(COMMON).toArrow()
+    shingles, times = (found.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(shingles)
+    return shingles[order], times[order]
+
+
+def rarest_first(text: str, width: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The text's shingles in one order for all texts: by count, then by value."""
+    own = np.sort(_signed(shingle_set(text, width)))
+    shingles, times = common
+    if not len(shingles):
+        return own
+    at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
+    return own[np.argsort(np.where(shingles[at] == own, times[at], 0), kind="stable")]
+
+
+def _prefix_rows(
+    batches: Iterator[pa.RecordBatch], width: int, least: float, common: tuple[np.ndarray, np.ndarray]
+) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, 64):
+        keys, shingles, sizes, rests = [], [], [], []
         for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-            keys += [key] * prints
-            marks += [t << bits | p for t, p in enumerate(wide_prints(text, prints, bits))]
+            own = rarest_first(text, width, common)
+            n = len(own)
+            head = n - math.ceil(least * n - 1e-6) + 1
+            keys += [key] * head
+            shingles.append(own[:head])
+            sizes.append(np.full(head, n, np.int32))
+            rests.append(n - np.arange(head, dtype=np.int32))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.binary()), pa.array(marks, pa.int64())], ["key", "mark"]
+            [pa.array(keys, pa.binary())] + [pa.array(np.concatenate(c)) for c in (shingles, sizes, rests)],
+            ["key", "shingle", "size", "rest"],
         )
 
 
@@ -160,13 +193,31 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Iter
         )
 
 
-def near_copy_classes(
-    texts: DataFrame,
-    width: int = 5,
-    min_similarity: float = 0.8,
-    prints: int = 5,
-    bits: int = 36,
-) -> DataFrame:
+def _alike(tried: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (u, v) of ``tried`` that are near copies, written."""
+    # The texts in question, apart from their buckets: a text that very many are held
+    # against can then be split in the join.
+    needed = tried.select(F.col("u").alias("key")).union(tried.select("v")).distinct()
+    some = materialize(texts.select("key", "text").join(needed, "key"), "candidate-texts")
+    left = some.select(F.col("key").alias("u"), F.col("text").alias("left"))
+    right = some.select(F.col("key").alias("v"), F.col("text").alias("right"))
+    both = tried.join(left, "u").join(right, "v").select("u", "v", "left", "right").sortWithinPartitions("v")
+    links = both.mapInArrow(lambda batches: _verify(batches, width, least), "u binary, v binary")
+    return materialize(links, "near-copies")
+
+
+def _may_be_alike(a: str, b: str, least: float) -> Column:
+    """Whether two texts that share a shingle can reach ``least``.
+
+    Their sizes must allow it, and if this is the first shingle they share, so must
+    what either has from there on.
+    """
+    sizes = F.least(f"{a}.size", f"{b}.size") >= least * F.greatest(f"{a}.size", f"{b}.size") - 1e-6
+    needed = least / (1 + least) * (F.col(f"{a}.size") + F.col(f"{b}.size"))
+    return sizes & (F.least(f"{a}.rest", f"{b}.rest") >= needed - 1e-6)
+
+
+def near_copy_classes(texts: DataFrame, width: int = 5, min_similarity: float = 0.8) -> DataFrame:
     """(key, root) for the texts that have near copies; root: one key of the class.
 
     ``texts(key, text)`` has one row per distinct text. Two texts are near copies
@@ -174,49 +225,72 @@ def near_copy_classes(
     ``min_similarity`` or more; a class holds what such links connect.
 
     One 64-bit fingerprint within two bits finds next to no pair of that
-    similarity, so candidates come from several independent shorter fingerprints:
-    each emits its ball of one bit, as above, and texts that meet are held against
-    each other word for word. Within a ball the links tried are to the smallest
-    fingerprint and to the next smaller one; of the texts with one fingerprint, to
-    the first. A ball has at most ``bits`` + 1 members. ``bits`` should exceed the
-    binary logarithm of the number of texts by about 10, or chance meetings make
-    work (never wrong links: every link is verified on the whole texts).
+    similarity, so candidates come from an exact prefix filter: all shingles have
+    one order, rare ones first, and two texts of that similarity share one among
+    the first 1 - ``min_similarity`` of each, with enough left in both from the
+    first one that they share. Every link is verified on the whole texts.
+
+    Links between all pairs need not be listed. First each text is held against one
+    text of each of its shared shingles, that which has most left from there on;
+    what this links is a class. Then all pairs of different classes that share a
+    shingle and may be alike are tried, so no link between classes is missed. A
+    large group of near copies costs a link per text; pairs are listed one by one
+    only where they share a rare shingle and are in different classes so far.
     """
-    if prints * bits > 256 or bits > 56:
-        raise ValueError("at most 256 bits in all, 56 in a fingerprint")
-    marked = texts.select("key", "text").mapInArrow(
-        lambda batches: _print_rows(batches, prints, bits), "key binary, mark long"
+    common = common_shingles(texts, width)
+    least = min_similarity
+    heads = texts.select("key", "text").mapInArrow(
+        lambda batches: _prefix_rows(batches, width, least, common),
+        "key binary, shingle long, size int, rest int",
     )
-    marked = materialize(marked, "prints")
-    firsts = materialize(marked.groupBy("mark").agg(F.min("key").alias("first")), "print-firsts")
-    same = marked.join(firsts, "mark").where("key <> first").select(F.col("key").alias("u"), F.col("first").alias("v"))
-
-    own = F.col("mark")
-    near = [own] + [own.bitwiseXOR(F.lit(1 << i)) for i in range(bits)]
-    met = firsts.select(own, F.explode(F.array(*near)).alias("variant"))
-    ball = Window.partitionBy("variant").orderBy("mark")
-    met = met.withColumn("least", F.first("mark").over(ball)).withColumn("below", F.lag("mark").over(ball))
-    pairs = met.where(F.col("below").isNotNull()).select(
-        own.alias("m"), F.explode(F.array_distinct(F.array("least", "below"))).alias("n")
-    ).distinct()
-    pairs = pairs.join(firsts.select(own.alias("m"), F.col("first").alias("u")), "m").join(
-        firsts.select(own.alias("n"), F.col("first").alias("v")), "n"
+    heads = materialize(heads, "prefixes")
+    shared = heads.groupBy("shingle").count().where("count > 1").select("shingle")
+    shared = materialize(heads.join(materialize(shared, "shared-shingles"), "shingle"), "shared-prefixes")
+    drop_path(heads)
+
+    # the centre of a shingle's star; min, as the one with most left is first
+    centre = F.min(F.struct((F.col("size") - F.col("rest")).alias("at"), "key", "size", "rest")).alias("c")
+    centres = materialize(shared.groupBy("shingle").agg(centre).select("shingle", "c.*"), "centres")
+    star = shared.alias("a").join(centres.alias("b"), "shingle")
+    star = star.where((F.col("a.key") != F.col("b.key")) & _may_be_alike("a", "b", least))
+    tried = materialize(_pairs(star), "candidate-pairs")
+    links = _alike(tried, texts, width, least)
+
+    roots = materialize(components(links), "star-roots").withColumnRenamed("node", "key")
+    placed = shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    placed = materialize(placed, "placed")
+    # what the texts of a class may reach at most, to rule pairs of classes out
+    parts = placed.groupBy("shingle", "root").agg(
+        F.min("size").alias("low"), F.max("size").alias("high"), F.max("rest").alias("rest")
     )
-    tried = same.union(pairs.select("u", "v")).where("u <> v")
-    tried = tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    tried = materialize(tried, "candidate-pairs")
-
-    # The texts in question, apart from their buckets: a text that very many are held
-    # against can then be split in the join.
-    needed = tried.select(F.col("u").alias("key")).union(tried.select("v")).distinct()
-    some = materialize(texts.select("key", "text").join(needed, "key"), "candidate-texts")
-    left = some.select(F.col("key").alias("u"), F.col("text").alias("left"))
-    right = some.select(F.col("key").alias("v"), F.col("text").alias("right"))
-    both = tried.join(left, "u").join(right, "v").select("u", "v", "left", "right").sortWithinPartitions("v")
-    links = both.mapInArrow(lambda batches: _verify(batches, width, min_similarity), "u binary, v binary")
+    parts = materialize(parts, "shingle-classes")
+    a, b = parts.alias("a"), parts.alias("b")
+    possible = (
+        (F.col("a.root") < F.col("b.root"))
+        & (F.col("a.high") >= least * F.col("b.low") - 1e-6)
+        & (F.col("b.high") >= least * F.col("a.low") - 1e-6)
+        & (F.least("a.rest", "b.rest") >= least / (1 + least) * (F.col("a.low") + F.col("b.low")) - 1e-6)
+    )
+    between = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & possible).select(
+        "a.shingle", F.col("a.root").alias("left_root"), F.col("b.root").alias("right_root")
+    )
+    between = materialize(between, "class-pairs")
+    one = between.alias("p").join(
+        placed.alias("a"), (F.col("p.shingle") == F.col("a.shingle")) & (F.col("left_root") == F.col("a.root"))
+    )
+    both = one.join(
+        placed.alias("b"), (F.col("p.shingle") == F.col("b.shingle")) & (F.col("right_root") == F.col("b.root"))
+    ).where(_may_be_alike("a", "b", least))
+    rest = materialize(_pairs(both).join(tried, ["u", "v"], "left_anti"), "remaining-pairs")
+    links = links.union(_alike(rest, texts, width, least))
     return components(links).select(F.col("node").alias("key"), "root")
 
 
+def _pairs(met: DataFrame) -> DataFrame:
+    """Distinct (u, v), u > v, of the rows' keys a.key and b.key."""
+    return met.select(F.greatest("a.key", "b.key").alias("u"), F.least("a.key", "b.key").alias("v")).distinct()
+
+
 def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **near) -> DataFrame:
     """``docs`` with one row of each class of near copies: the one with the smallest id.
 

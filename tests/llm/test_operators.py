@@ -143,6 +143,29 @@ def test_near_copies(spark, docs, rows, none):
     assert simhash.first_of_each_class(none).count() == 0
 
 
+def near_copies_are_exact(spark, texts):
+    table = distinct_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    by_key = {bytes(r["key"]): r["text"].split() for r in table.collect()}
+    found = {bytes(r["key"]): bytes(r["root"]) for r in simhash.near_copy_classes(table).collect()}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in by_key.items()}
+    true = corpus.classes(sorted(sets), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    assert {k: found.get(k, k) for k in sets} == true
+    return len(sets) - len(set(true.values()))
+
+
+def test_near_copies_of_a_template(spark):
+    """Texts alike but under 0.8, each with a near copy of its own."""
+    rng = random.Random(31)
+    template, texts = corpus.prose(rng, 300).split(), []
+    for _ in range(300):
+        words = template[:261] + corpus.prose(rng, 39).split()
+        texts.append(" ".join(words))
+        for _ in range(3):
+            words[rng.randrange(261)] = "changed"
+        texts.append(" ".join(words))
+    assert near_copies_are_exact(spark, texts) >= 300
+
+
 def test_quality_learns_and_scores_all(spark, rows, docs, none):
     rng = random.Random(5)
     made = []
