@@ -203,7 +203,9 @@ def _alike(tried: DataFrame, texts: DataFrame, width: int, least: float) -> Data
     right = some.select(F.col("key").alias("v"), F.col("text").alias("right"))
     both = tried.join(left, "u").join(right, "v").select("u", "v", "left", "right").sortWithinPartitions("v")
     links = both.mapInArrow(lambda batches: _verify(batches, width, least), "u binary, v binary")
-    return materialize(links, "near-copies")
+    links = materialize(links, "near-copies")
+    drop_path(some)
+    return links
 
 
 def _may_be_alike(a: str, b: str, least: float) -> Column:
@@ -283,6 +285,8 @@ def near_copy_classes(texts: DataFrame, width: int = 5, min_similarity: float =
     ).where(_may_be_alike("a", "b", least))
     rest = materialize(_pairs(both).join(tried, ["u", "v"], "left_anti"), "remaining-pairs")
     links = links.union(_alike(rest, texts, width, least))
+    for done in (shared, centres, tried, placed, parts, between, rest):
+        drop_path(done)
     return components(links).select(F.col("node").alias("key"), "root")
 
 

@@ -166,6 +166,24 @@ def test_near_copies_of_a_template(spark):
     assert near_copies_are_exact(spark, texts) >= 300
 
 
+def test_near_copies_with_changed_blocks(spark):
+    """A passage appended, put in front, dropped or replaced, about as much as 0.8 allows."""
+    rng, texts = random.Random(32), []
+    for kind in range(80):
+        words = corpus.prose(rng, rng.randint(80, 320)).split()
+        n = len(words)
+        block = corpus.prose(rng, int(n * rng.choice([0.1, 0.2, 0.23, 0.26]))).split()
+        at = rng.randrange(n - len(block))
+        changed = {
+            0: words + block,
+            1: block + words,
+            2: words[:at] + words[at + len(block) :],
+            3: words[:at] + block[: len(block) // 2] + words[at + len(block) // 2 :],
+        }[kind % 4]
+        texts += [" ".join(words), " ".join(changed)]
+    assert near_copies_are_exact(spark, texts) >= 30
+
+
 def test_quality_learns_and_scores_all(spark, rows, docs, none):
     rng = random.Random(5)
     made = []
