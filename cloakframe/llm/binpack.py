@@ -8,11 +8,14 @@ is a multiset of lengths that share a bin, used a number of times at once.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 
 #: Items of a filling up to which dominance is worked out.
 FEW = 4
+#: Steps in making fillings that a search may spend for each that it may try.
+STEPS = 100
 
 
 @dataclass
@@ -92,7 +95,7 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
 def fillings(
     room: int, sizes: list[int], counts: dict[int, int], width: int = 12
 ) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, fullest first; ``sizes`` ascending, all in stock.
+    """Some good fillings of ``room``, fullest first; ``sizes`` ascending, all in stock.
 
     One item that fills the room dominates every other filling. Where two items
     fill it, such pairs come first, with the largest single item after them: what
@@ -153,28 +156,68 @@ def fillings(
     return kept
 
 
+def all_fillings(room: int, counts: dict[int, int], slack: int) -> Iterator[tuple[int, ...] | None]:
+    """Every filling of ``room`` that leaves ``slack`` at most and to which no item in stock can be added.
+
+    Any filling to which one can be added is dominated. A None for each step that
+    yields no filling, so that the caller can bound the work.
+    """
+    sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
+    upto = [0] * (len(sizes) + 1)  # what the sizes from here on have together
+    for i in range(len(sizes) - 1, -1, -1):
+        upto[i] = upto[i + 1] + sizes[i] * counts[sizes[i]]
+    # (next size, room left, chosen, the smallest size of which some stayed in stock)
+    todo = [(0, room, (), room + 1)]
+    while todo:
+        i, left, chosen, over = todo.pop()
+        if left - upto[i] > slack or over <= left - upto[i]:
+            yield None
+            continue
+        if i == len(sizes) or not left:
+            # a size not looked at any more is larger than the room left, which is 0
+            yield chosen if left < over else None
+            continue
+        most = min(counts[sizes[i]], left // sizes[i])
+        for n in range(most + 1):  # the largest number is taken from the stack first
+            least = sizes[i] if n < counts[sizes[i]] else over
+            todo.append((i + 1, left - n * sizes[i], chosen + (sizes[i],) * n, min(over, least)))
+        yield None
+
+
 def pack(counts: dict[int, int], capacity: int, max_nodes: int = 3000) -> Packing:
     """Few bins for the items; the lower bound tells how few are possible.
 
     Best-fit decreasing is the first incumbent. The search goes around the largest
-    item left: it takes one undominated filling, as often as the stock allows, and
-    goes on; a branch is left when its waste exceeds what a better packing than
-    the incumbent could waste. It ends with a proof (bins equal to the bound, or
-    no branch left), or after ``max_nodes`` fillings with the incumbent.
+    item left: it takes a filling a number of times and goes on; a branch is left
+    when its waste exceeds what a better packing than the incumbent could waste.
+    The first search tries the fillings of ``fillings`` only, as often as the stock
+    allows. If it does not reach the bound, a second one goes on after these with
+    all other fillings and with each smaller number of times. A search ends after
+    ``max_nodes`` fillings (or ``STEPS`` steps for each in making them) with the
+    incumbent. Only if the second ends before that is the incumbent proven to be the
+    best; then the bound is raised to it.
     """
     counts = {int(s): int(n) for s, n in counts.items() if n}
     if any(not 0 < s <= capacity for s in counts):
         raise ValueError("lengths must be from 1 to the capacity")
-    bound = lower_bound(counts, capacity)
-    incumbent = best_fit(counts, capacity)
-    best = sum(times for _, times in incumbent)
+    found = Packing(best_fit(counts, capacity), 0, lower_bound(counts, capacity))
+    found.bins = sum(times for _, times in found.patterns)
+    for whole in (False, True):
+        if found.bins > found.bound and _search(counts, capacity, max_nodes, found, whole) and whole:
+            found.bound = found.bins
+    return found
+
+
+def _search(counts: dict[int, int], capacity: int, max_nodes: int, found: Packing, whole: bool) -> bool:
+    """Improve ``found``; whether no branch was left untried (of those that are looked at)."""
     total = sum(s * n for s, n in counts.items())
     stock, sizes = dict(counts), sorted(counts)
     path: list[tuple[tuple[int, ...], int]] = []
-    waits: list[list[tuple[int, ...]]] = []
-    waste = nodes = bins = 0
+    waits: list[Iterator[tuple[tuple[int, ...], int] | None]] = []
+    waste = nodes = bins = steps = 0
 
     def take(pattern: tuple[int, ...], times: int, sign: int) -> None:
+        nonlocal waste, bins
         for size in pattern:
             stock[size] -= sign * times
             i = bisect_right(sizes, size)
@@ -183,50 +226,83 @@ def pack(counts: dict[int, int], capacity: int, max_nodes: int = 3000) -> Packin
                 sizes.insert(i, size)
             elif not stock[size] and there:
                 del sizes[i - 1]
+        if sign > 0:
+            path.append((pattern, times))
+        else:
+            path.pop()
+        waste += sign * (capacity - sum(pattern)) * times
+        bins += sign * times
 
-    def options() -> list[tuple[int, ...]]:
+    def spare() -> int:
+        """What a better packing than the incumbent may still waste."""
+        return (found.bins - 1) * capacity - total - waste
+
+    def patterns() -> Iterator[tuple[int, ...] | None]:
         largest = sizes[-1]
-        take((largest,), 1, 1)
-        made = [(largest, *f) for f in fillings(capacity - largest, sizes, stock)]
-        take((largest,), 1, -1)
-        return made[::-1]
+        room, rest = capacity - largest, {s: stock[s] - (s == largest) for s in sizes}
+        first = fillings(room, [s for s in sizes if rest[s]], rest)
+        yield from ((largest, *f) for f in first)
+        if whole and first != [(room,)]:
+            done = {tuple(sorted(f, reverse=True)) for f in first}
+            for f in all_fillings(room, rest, spare()):
+                if f not in done:
+                    yield f if f is None else (largest, *f)
+
+    def choices() -> Iterator[tuple[tuple[int, ...], int] | None]:
+        # fillings that the last steps have taken just as often as they shall be
+        largest, taken = sizes[-1], set()
+        for pattern, _ in reversed(path if whole else []):
+            if pattern[0] != largest:
+                break
+            taken.add(tuple(sorted(pattern)))
+        # one item that fills the room (or no room) leaves no other choice
+        filled = largest == capacity or bool(
+            stock.get(capacity - largest, 0) > (2 * largest == capacity)
+        )
+        for pattern in patterns():
+            if pattern is None:
+                yield None
+                continue
+            if tuple(sorted(pattern)) in taken:
+                continue
+            lost = capacity - sum(pattern)
+            times = min(stock[s] // pattern.count(s) for s in set(pattern))
+            if lost:
+                # fewer times may still pass, where the last bins hold the waste
+                times = min(times, max(0, spare() // lost))
+            fewest = 1 if whole and not filled else times
+            for n in range(times, fewest - 1, -1):
+                if n * lost <= spare():
+                    yield pattern, n
+            if not times:
+                yield pattern, 0
 
     descend = True
-    while best > bound and nodes < max_nodes:
+    while found.bins > found.bound:
         if descend and not sizes:
-            incumbent, best = list(path), bins
+            found.patterns, found.bins = list(path), bins
             descend = False
             continue
         if descend:
-            waits.append(options())
-        while waits and not waits[-1]:
-            waits.pop()
-            if path:
-                pattern, times = path.pop()
-                take(pattern, times, -1)
-                waste -= (capacity - sum(pattern)) * times
-                bins -= times
+            waits.append(choices())
         if not waits:
-            break
+            return True
         if len(path) == len(waits):  # the last choice at this depth is given back
-            pattern, times = path.pop()
-            take(pattern, times, -1)
-            waste -= (capacity - sum(pattern)) * times
-            bins -= times
-        pattern = waits[-1].pop()
-        nodes += 1
-        times = min(stock[s] // pattern.count(s) for s in set(pattern))
-        lost = (capacity - sum(pattern)) * times
-        if waste + lost > (best - 1) * capacity - total:
-            # fewer times may still pass, where the last bins hold the waste
-            times = min(times, max(0, ((best - 1) * capacity - total - waste) // max(1, capacity - sum(pattern))))
-            if not times:
-                descend = False
-                continue
-            lost = (capacity - sum(pattern)) * times
-        take(pattern, times, 1)
-        path.append((pattern, times))
-        waste += lost
-        bins += times
-        descend = True
-    return Packing(incumbent, best, bound)
+            take(*path[-1], -1)
+        descend = False
+        choice = next(waits[-1], ())
+        if choice == ():
+            waits.pop()
+        elif choice is None:
+            steps += 1
+        else:
+            nodes += 1
+            if choice[1]:
+                take(*choice, 1)
+                descend = True
+        if nodes >= max_nodes or steps >= STEPS * max_nodes:
+            # what was just taken may be a whole packing
+            if descend and not sizes:
+                found.patterns, found.bins = list(path), bins
+            return False
+    return True

@@ -284,6 +284,45 @@ def test_bin_completion_against_brute_force():
     assert made.bins == made.bound
 
 
+def test_packing_of_few_lengths_with_copies():
+    sizes = {724: 4, 624: 2, 574: 2, 180: 2, 170: 4, 160: 4, 140: 4, 130: 4, 70: 2}
+    made = binpack.pack(sizes, 1024)
+    assert made.bins == made.bound == 8
+    used = Counter()
+    for pattern, times in made.patterns:
+        assert sum(pattern) <= 1024
+        used.update({s: times * n for s, n in Counter(pattern).items()})
+    assert used == sizes
+
+
+def test_packing_is_the_best():
+    """Small instances against a search over all packings; a raised bound is a proof."""
+
+    def fewest(items, room):
+        seen, now = set(), {((), tuple(items))}
+        best = len(items)
+        while now:
+            bins, rest = now.pop()
+            if (bins, rest) in seen or len(bins) >= best:
+                continue
+            seen.add((bins, rest))
+            if not rest:
+                best = len(bins)
+                continue
+            for i in range(len(bins)):
+                if bins[i] + rest[0] <= room:
+                    now.add((tuple(sorted([*bins[:i], bins[i] + rest[0], *bins[i + 1 :]])), rest[1:]))
+            now.add((tuple(sorted([*bins, rest[0]])), rest[1:]))
+        return best
+
+    rng = random.Random(33)
+    for _ in range(60):
+        lengths = [rng.randint(3, 14) for _ in range(4)]
+        items = sorted((rng.choice(lengths) for _ in range(rng.randint(4, 10))), reverse=True)
+        made = binpack.pack(Counter(items), 20)
+        assert made.bins == made.bound == fewest(items, 20)
+
+
 def test_decontamination(spark, docs, none):
     rng = random.Random(9)
     items = [(i, corpus.prose(rng, 15 + 5 * i)) for i in range(6)] + [(90, None), (91, ""), (92, "Quite short item")]
