@@ -8,7 +8,21 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import chat, decontaminate, lm, packing, quality, repeats, revisits, sharding, simhash, topk
+from cloakframe.llm import (
+    alignment,
+    chat,
+    decontaminate,
+    lm,
+    packing,
+    phrases,
+    quality,
+    repeats,
+    revisits,
+    sharding,
+    simhash,
+    topk,
+    urls,
+)
 from cloakframe.llm.common import text_key, whole
 from cloakframe.llm.quality import KEEP_SCORE, held_out
 from cloakframe.runtime import small_side
@@ -258,6 +272,68 @@ def op10_best_fit_packing(spark, d):
     return packing.pack_documents(docs, keep=["doc_id"], capacity=1024)
 
 
+#: (host, path, verdict)
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+_URLS_SQL = r"""
+WITH rules(rhost, rpath, said) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+u AS (SELECT row_number() OVER () AS k, page_id,
+  CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT k, page_id, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+  translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM u),
+f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY length(rhost) DESC, length(rpath) DESC) AS place
+  FROM p LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rhost || rpath AS rule, coalesce(said, 'allow') AS verdict FROM f WHERE place = 1"""
+
+
+@query(_URLS_SQL)
+def op11_url_filters(spark, d):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, d, "pages"), rules, keep=["page_id"])
+
+
+@query()
+def op12_cross_tokenizer_alignment(spark, d):
+    return alignment.align_documents(table(spark, d, "documents"), keep=["doc_id"])
+
+
+_PHRASES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, 'und') AS lang,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT k, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT row_number() OVER () AS j, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+grams AS (SELECT lang, ws[i:i + m - 1] AS g FROM starts, range(1, 6) s(m) WHERE i + m - 1 <= len(ws)),
+f AS (SELECT lang, g, count(*) AS a FROM grams GROUP BY lang, g HAVING count(*) >= 100),
+c AS (SELECT * FROM f WHERE len(g) > 1),
+cuts AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM c),
+scored AS (SELECT cuts.*, l.a AS l, r.a AS r, n,
+    (CAST(1000 AS HUGEINT) * cuts.a * n) // (CAST(l.a AS HUGEINT) * r.a) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.g = cuts.g[1:k] JOIN f r ON r.lang = cuts.lang AND r.g = cuts.g[k + 1:]
+  JOIN total ON total.lang = cuts.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (SELECT DISTINCT lang, g[i:i + m - 1] AS g, a FROM c, range(1, 6) o(i), range(2, 5) s(m)
+  WHERE m < len(g) AND i + m - 1 <= len(g)),
+longest AS (SELECT lang, g, max(a) AS most FROM inside GROUP BY lang, g),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN longest USING (lang, g) WHERE most IS NULL OR 100 * most < 100 * a)
+SELECT lang, row_number() OVER best AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' '))"""
+
+
+@query(_PHRASES_SQL)
+def op13_phrase_collocations(spark, d):
+    return phrases.collocations(table(spark, d, "documents"))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, d):
     return corpus_pipeline.run(spark, d)
