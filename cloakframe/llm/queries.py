@@ -324,9 +324,9 @@ inside AS (SELECT DISTINCT lang, g[i:i + m - 1] AS g, a FROM c, range(1, 6) o(i)
   WHERE m < len(g) AND i + m - 1 <= len(g)),
 longest AS (SELECT lang, g, max(a) AS most FROM inside GROUP BY lang, g),
 kept AS (SELECT lowest.* FROM lowest LEFT JOIN longest USING (lang, g) WHERE most IS NULL OR 100 * most < 100 * a)
-SELECT lang, row_number() OVER best AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score
-FROM kept QUALIFY rank <= 2000
-WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' '))"""
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT lang, row_number() OVER (PARTITION BY lang
+    ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n,
+    CAST(score AS BIGINT) AS score FROM kept) WHERE rank <= 2000"""
 
 
 @query(_PHRASES_SQL)
