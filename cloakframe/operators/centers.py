@@ -1,127 +1,49 @@
-"""Class centres: clustering, nearest centre, capacity-limited assignment."""
+"""Class centres: clustering, capacity-limited assignment, seeding."""
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Mapping, Sequence
+import zlib
+from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tie_key
-from ..runtime import BROADCAST_BYTES, materialize, small_side
+from ..runtime import discard, materialize, small_side
+from .nearest import nearest_center
 from .ranking import CELL_ROWS, rank_within
 
-#: Rows of a block, and distances (rows times centres) of a tile, in a task.
-BLOCK, TILE = 2048, 1 << 21
-#: Classes that may each have a centre of a k-means model: all of them live on the driver.
-MAX_CENTERS = 1 << 16
-
+__all__ = [
+    "Matching",
+    "class_centers",
+    "class_centers_kmeans",
+    "class_centers_random",
+    "match_to_centers",
+    "nearest_center",
+    "redistribute_by_center",
+    "seed_centers_mixed",
+]
 
-def nearest_center(
-    df: DataFrame,
-    columns: Sequence[str],
-    centers: DataFrame,
-    center: str = "center",
-    group: str | None = None,
-    name: str = "center",
-    distance: str = "distance",
-    max_bytes: int = BROADCAST_BYTES,
-    mismatch: Mapping[str, float] | None = None,
-) -> DataFrame:
-    """Add the nearest centre of every row and its squared Euclidean distance.
-
-    ``centers`` has the number ``center`` and ``columns``; with ``group`` a row
-    sees only the centres of its own group. A column of ``mismatch`` adds its
-    weight where row and centre differ. Ties go to the smaller number. The
-    distances of a block of rows are computed as arrays inside the task, so no
-    (row, centre) pair is ever a row. Centres beyond ``max_bytes`` are taken in
-    parts, one pass over the rows each, keeping the best so far.
-    """
-    columns = list(columns)
-    keys = [group] if group else []
-    weights = dict(mismatch or {})
-    coordinates = [F.col(c).cast("double").alias(c) for c in columns]
-    coordinates += [F.xxhash64(c).alias(c) for c in weights]
-    wanted = centers.select(*keys, F.col(center).cast("bigint").alias("__id"), *coordinates)
-    parts = max(1, math.ceil(wanted.count() * 8 * (len(coordinates) + 2) / max_bytes))
-    kept = [c for c in df.columns if c not in (name, distance)]
-    out = df.select(
-        *kept,
-        F.lit(None).cast("bigint").alias(name),
-        F.lit(None).cast("double").alias(distance),
-    )
-    for part in range(parts):
-        chunk = wanted.where(F.pmod(F.xxhash64("__id"), F.lit(parts)) == part).toPandas()
-        chunk = chunk.sort_values("__id")
-        by_group = chunk.groupby(group) if group else [(None, chunk)]
-        tables = {
-            g: (t["__id"].to_numpy(np.int64), [t[c].to_numpy() for c in (*columns, *weights)])
-            for g, t in by_group
-            if len(t)
-        }
-        shared = df.sparkSession.sparkContext.broadcast(tables)
-        best = _best_of(shared, group is not None, len(columns), list(weights.values()))
-        found = best(*coordinates, *[F.col(g) for g in keys])
-        better = F.col(distance).isNull() | (
-            F.struct(F.col("__found.distance"), F.col("__found.center"))
-            < F.struct(F.col(distance).alias("distance"), F.col(name).alias("center"))
-        )
-        seen = F.col("__found.center").isNotNull() & better
-        out = out.withColumn("__found", found).select(
-            *kept,
-            F.when(seen, F.col("__found.center")).otherwise(F.col(name)).alias(name),
-            F.when(seen, F.col("__found.distance")).otherwise(F.col(distance)).alias(distance),
-        )
-        if part + 1 < parts:
-            out = materialize(out, "nearest")
-    return out
+#: Classes that may each have a centre of one k-means model: all of them live on the driver.
+MAX_CENTERS = 1 << 16
+#: Clusters that one group seeds, and sampled rows for each.
+GROUP_CLUSTERS, SEED_ROWS = 1000, 8
+#: Contests whose holders are read one by one before they are written as one table.
+OPEN_CONTESTS = 6
 
 
-def _best_of(shared, grouped: bool, numeric: int, weights: list[float]):
-    @F.pandas_udf("center bigint, distance double")
-    def best(*series: pd.Series) -> pd.DataFrame:
-        rows = [s.to_numpy() for s in (series[:-1] if grouped else series)]
-        count = len(series[0])
-        ids = np.zeros(count, np.int64)
-        dist = np.full(count, np.nan)
-        blocks = [(None, np.arange(count))]
-        if grouped:
-            names, codes = np.unique(series[-1].to_numpy(), return_inverse=True)
-            order = np.argsort(codes, kind="stable")
-            ends = np.searchsorted(codes[order], np.arange(len(names) + 1))
-            blocks = [(g, order[a:b]) for g, a, b in zip(names.tolist(), ends, ends[1:])]
-        for g, at in blocks:
-            if g not in shared.value:
-                continue
-            numbers, table = shared.value[g]
-            for lo in range(0, len(at), BLOCK):
-                block = at[lo : lo + BLOCK]
-                least = np.full(len(block), np.inf)
-                width = max(1, TILE // len(block))
-                # A tile of centres after the other, in the order of their numbers.
-                for first in range(0, len(numbers), width):
-                    some = slice(first, first + width)
-                    squares = np.zeros((len(block), len(numbers[some])))
-                    for mine, theirs in zip(rows[:numeric], table[:numeric]):
-                        squares += (mine[block][:, None] - theirs[None, some]) ** 2
-                    for mine, theirs, weight in zip(rows[numeric:], table[numeric:], weights):
-                        squares += weight * (mine[block][:, None] != theirs[None, some])
-                    low = squares.argmin(axis=1)
-                    found = squares[np.arange(len(block)), low]
-                    better = found < least
-                    least[better] = found[better]
-                    ids[block[better]] = numbers[some][low[better]]
-                    dist[block[better]] = found[better]
-        center = pd.array(ids, dtype="Int64")
-        center[np.isnan(dist)] = pd.NA
-        return pd.DataFrame({"center": center, "distance": dist})
-
-    return best
+def draw(pid: Column, seed: int, step: int = 0) -> Column:
+    """A number in [0, 1) drawn by the MD5 of an identifier: 13 of its hex digits."""
+    text = F.concat_ws("/", pid.cast("string"), F.lit(str(seed)), F.lit(str(step)))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def _rank_by_size(class_sizes: DataFrame, classes: int, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -140,6 +62,7 @@ def class_centers_kmeans(
     seed: int = 123456789,
     random: bool = False,
     strict: bool = False,
+    pid: str | None = None,
 ) -> DataFrame:
     """One centre per class: ``ec, size, cluster`` and the coordinates.
 
@@ -148,12 +71,13 @@ def class_centers_kmeans(
     found goes to the i-th largest class. A clustering may find fewer clusters
     than classes (with few distinct rows, or an empty cluster); the classes
     left over get the mean of the table, or with ``strict`` it is an error. As
-    many centres as classes live on the driver, ``MAX_CENTERS`` at most.
+    many centres as classes live on the driver; with an identifier ``pid``, or for
+    more than ``MAX_CENTERS`` classes, see :func:`class_centers`.
     """
     columns = list(columns)
     k = class_sizes.count()
-    if k > MAX_CENTERS:
-        raise ValueError(f"{k} classes; a centre for each is limited to {MAX_CENTERS} classes")
+    if pid or k > MAX_CENTERS:
+        return class_centers(df, columns, class_sizes, pid, seed, random, strict)
     ranked = _rank_by_size(class_sizes, k)
     mean = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns]).first()
     listed: list[tuple] = []
@@ -186,10 +110,127 @@ def class_centers_kmeans(
 
 
 def class_centers_random(
-    df: DataFrame, columns: Sequence[str], class_sizes: DataFrame, seed: int = 123456789
+    df: DataFrame, columns: Sequence[str], class_sizes: DataFrame, seed: int = 123456789, pid: str | None = None
 ) -> DataFrame:
     """:func:`class_centers_kmeans` from random rows."""
-    return class_centers_kmeans(df, columns, class_sizes, seed, random=True)
+    return class_centers_kmeans(df, columns, class_sizes, seed, random=True, pid=pid)
+
+
+def _coarse_cells(rows: DataFrame, columns: list[str], k: int, group_clusters: int) -> DataFrame:
+    """Rows with the ``__cell`` they are clustered in and its number ``__k`` of clusters.
+
+    Cells are the rows nearest to one of k / group_clusters drawn rows. A cell gets
+    clusters in proportion to its rows (prefix sums rounded, so that they add up to
+    k); one that gets more than ``group_clusters`` is cut by the rows' hashes.
+    """
+    wanted = math.ceil(k / group_clusters)
+    if wanted == 1:
+        return rows.withColumns({"__cell": F.lit("0"), "__k": F.lit(k).cast("bigint")})
+    drawn = rows.orderBy("__draw", "__tie").limit(wanted)
+    pivots = materialize(drawn.select(F.xxhash64("__tie").alias("__id"), *columns).dropDuplicates(columns), "pivots")
+    near = materialize(nearest_center(rows, columns, pivots, "__id", name="__pivot", distance="__off"), "coarse")
+    sizes = near.groupBy("__pivot").agg(F.count(F.lit(1)).alias("__n")).toPandas()  # a row per pivot
+    upto = np.concatenate([[0], np.cumsum(sizes["__n"].to_numpy())])
+    shares = np.diff([int(n) * k // int(upto[-1]) for n in upto.tolist()])
+    cuts = np.maximum(1, -(-shares // group_clusters))
+    parts = rows.sparkSession.createDataFrame(
+        pd.DataFrame({"__pivot": sizes["__pivot"], "__share": shares, "__cuts": cuts}),
+        "__pivot bigint, __share bigint, __cuts bigint",
+    )
+    placed = near.drop("__off").join(small_side(parts, len(sizes)), "__pivot")
+    part = F.pmod(F.xxhash64("__tie"), F.col("__cuts"))
+    # The first cuts of a cell get the clusters that do not divide evenly.
+    own = F.expr("__share div __cuts") + F.when(part < F.pmod("__share", "__cuts"), 1).otherwise(0)
+    cell = F.concat_ws("/", F.col("__pivot").cast("string"), part.cast("string"))
+    return placed.withColumns({"__cell": cell, "__k": own.cast("bigint")}).drop("__pivot", "__share", "__cuts")
+
+
+def _spread_seeds(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Places of k rows by k-means++: each drawn by its squared distance to the others."""
+    taken = [int(rng.integers(len(points)))]
+    cost = ((points - points[taken[0]]) ** 2).sum(axis=1)
+    while len(taken) < min(k, len(points)):
+        total = np.cumsum(cost)
+        if total[-1] > 0:
+            at = min(int(np.searchsorted(total, rng.random() * total[-1], "right")), len(points) - 1)
+        else:  # only copies are left
+            at = next(i for i in range(len(points)) if i not in set(taken))
+        taken.append(at)
+        cost = np.minimum(cost, ((points - points[at]) ** 2).sum(axis=1))
+    return np.array(taken)
+
+
+def class_centers(
+    df: DataFrame,
+    columns: Sequence[str],
+    class_sizes: DataFrame,
+    pid: str | None = None,
+    seed: int = 123456789,
+    random: bool = False,
+    strict: bool = False,
+    group_clusters: int = GROUP_CLUSTERS,
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """One centre per class for any number of classes: ``ec, size, cluster`` and the
+    coordinates.
+
+    Clusters are dealt out to coarse cells of rows (:func:`_coarse_cells`), and each
+    cell seeds its own in its own group: with ``random`` the rows drawn first, else
+    k-means++ on ``SEED_ROWS`` drawn rows per cluster. The seeds stay in a table. One
+    k-means step moves them to the mean of the rows nearest to them (``random`` stops
+    there); the centre is the mean of the members that these means have. Rows with a
+    coordinate that is null or not finite take no part. Draws are made by the MD5 of
+    ``pid`` (without one: of the coordinates), ties go to the smaller MD5.
+
+    Clusters are numbered by the draw of their seed; the i-th goes to the i-th
+    largest class. Classes left over get the mean of the table, or with ``strict``
+    it is an error.
+    """
+    columns = list(columns)
+    k = class_sizes.count()
+    ranked = _rank_by_size(class_sizes, k)
+    numbers = [F.col(c).cast("double").alias(c) for c in columns]
+    name = F.col(pid).cast("string") if pid else F.concat_ws(",", *[F.col(c).cast("string") for c in columns])
+    finite = " AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`) AND abs(`{c}`) < double('inf')" for c in columns)
+    rows = df.select(*numbers, F.md5(name).alias("__tie"), draw(name, seed).alias("__draw")).where(finite)
+    rows = materialize(rows, "points")
+    many = rows.count()
+    if not k or not many:
+        none = [F.lit(None).cast("double").alias(c) for c in columns]
+        return ranked.select("ec", "size", "cluster", *none)
+    cells = materialize(_coarse_cells(rows, columns, min(k, many), group_clusters), "cells")
+    ordered = rank_within(cells, ["__cell"], "__draw", "__tie", many, "__rn", cell_rows)
+    if random:
+        seeds = ordered.where("__rn <= __k").select("__draw", "__tie", *columns)
+    else:
+        some = ordered.where(F.col("__rn") <= SEED_ROWS * F.col("__k"))
+
+        def spread(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values(["__draw", "__tie"], ignore_index=True)
+            rng = np.random.default_rng(zlib.crc32(f"{group['__cell'][0]}/{seed}".encode()))
+            return group.iloc[_spread_seeds(group[columns].to_numpy(), int(group["__k"][0]), rng)][kept]
+
+        kept = ["__draw", "__tie", *columns]
+        schema = "__draw double, __tie string, " + ", ".join(f"`{c}` double" for c in columns)
+        seeds = some.groupBy("__cell").applyInPandas(spread, schema)
+    means = rank_within(materialize(seeds, "seeds"), [], "__draw", "__tie", k, "__rn", cell_rows)
+    means = materialize(means.select((F.col("__rn") - 1).alias("cluster"), *columns), "means")
+    for step in range(1 if random else 2):
+        near = nearest_center(rows, columns, means, "cluster", name="cluster", distance="__off")
+        moved = near.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in columns])
+        if random:  # a model keeps the seed of a cluster that nothing is nearest to
+            own = [F.coalesce(moved[c], means[c]).alias(c) for c in columns]
+            moved = means.join(moved, "cluster", "left").select("cluster", *own)
+        means = materialize(moved, f"means-{step}")
+    found = rank_within(
+        means.withColumns({"__key": F.col("cluster"), "__tie": F.lpad(F.hex("cluster"), 16, "0")}),
+        [], "__key", "__tie", k, "__rn", cell_rows,
+    ).select((F.col("__rn") - 1).alias("cluster"), *columns)
+    if strict and found.count() < k:
+        raise ValueError(f"{found.count()} clusters for {k} classes")
+    mean = rows.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    both = ranked.join(found, "cluster", "left")
+    return both.select("ec", "size", "cluster", *[F.coalesce(F.col(c), F.lit(mean[c])).alias(c) for c in columns])
 
 
 def redistribute_by_center(
@@ -253,6 +294,133 @@ def redistribute_by_center(
     return out
 
 
+class Matching(NamedTuple):
+    """Assigned rows (with ``ec`` and ``distance``), and the rounds it took."""
+
+    rows: DataFrame
+    rounds: int
+
+
+def match_to_centers(
+    df: DataFrame,
+    columns: Sequence[str],
+    pid: str,
+    centers: DataFrame,
+    capacities: DataFrame,
+    cell_rows: int = CELL_ROWS,
+) -> Matching:
+    """Capacity-limited assignment in which no row and class would rather have each
+    other: of all waiting rows and open classes, the closest pair is joined first.
+
+    Deferred acceptance: every waiting row proposes to the nearest class that would
+    take it; a class keeps the closest rows of its bucket so far, up to its
+    capacity, and turns the others away, also rows that it held. A full class
+    takes only what is closer than the farthest row it holds, and a row turned away
+    passes over all classes that would not take it; so the rounds grow with the
+    depth of the rows' preferences, not with the number of classes. Equal distances
+    are ordered by the class number for a row, and for a class by the MD5 of the
+    identifier (its first 60 bits).
+
+    ``df`` has a ``bucket``; ``centers`` has ``ec`` and ``columns``; ``capacities``
+    has ``ec, bucket, size``. A round writes the rows of the classes that it touches;
+    the classes' limits are a table of their own. Capacities that do not cover the
+    rows are an error, as are coordinates that are null or not finite.
+    """
+    columns = list(columns)
+    room = capacities.where(F.col("size") > 0).select("ec", "bucket", F.col("size").cast("bigint").alias("room"))
+    seats = materialize(
+        room.join(centers.select("ec", *columns), "ec").withColumns(
+            {"__most": F.lit(float("inf")), "__last": F.lit(0).cast("bigint"), "__round": F.lit(0)}
+        ),
+        "seats",
+    )
+    spots = seats.count()
+    key = F.conv(F.substring(tie_key(F.col(pid)), 1, 15), 16, 10).cast("bigint")
+    numbers = [F.col(c).cast("double").alias(c) for c in columns]
+    waiting = materialize(df.select(F.col(pid).alias("__pid"), "bucket", *numbers, key.alias("__tie")), "waiting")
+    left = waiting.count()
+    short = waiting.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).join(
+        seats.groupBy("bucket").agg(F.sum("room").alias("room")), "bucket", "left"
+    )
+    if not short.where(F.coalesce("room", F.lit(0)) < F.col("n")).isEmpty():
+        raise ValueError("the capacities do not cover the rows")
+    many, rounds = left, 0
+    contests: list[DataFrame] = []
+    held_columns = ["__pid", "bucket", *columns, "__tie", "ec", "__d"]
+
+    def holders(only: DataFrame | None = None) -> DataFrame:
+        """The rows that classes hold: those kept in the last round that touched the class."""
+        now = seats.select("ec", "bucket", "__round")
+        if only is not None:
+            now = now.join(small_side(only, spots), ["ec", "bucket"], "left_semi")
+        now = small_side(now, spots)
+        kept = [c.where("__won").join(now, ["ec", "bucket", "__round"]).select(*held_columns) for c in contests]
+        return reduce(DataFrame.unionByName, kept)
+
+    while left:
+        rounds += 1
+        proposed = nearest_center(
+            waiting, columns, seats, "ec", group="bucket", name="ec", distance="__d",
+            limit=("__most", "__last"), tie="__tie",
+        )
+        proposed = materialize(proposed.select(*held_columns), "proposed")
+        if not proposed.where("ec IS NULL").isEmpty():
+            raise ValueError("a row has no distance to any class")
+        touched = proposed.select("ec", "bucket").distinct()
+        rivals = proposed if not contests else proposed.unionByName(holders(touched))
+        rivals = rivals.withColumn("__hex", F.lpad(F.lower(F.hex("__tie")), 16, "0"))
+        ranked = rank_within(rivals, ["ec", "bucket"], "__d", "__hex", many, "__rn", cell_rows)
+        open_ = seats.select("ec", "bucket", "room")
+        decided = ranked.join(small_side(open_, spots), ["ec", "bucket"]).withColumn("__won", F.col("__rn") <= F.col("room"))
+        decided = decided.withColumn("__round", F.lit(rounds)).drop("__rn", "__hex", "room")
+        contests.append(materialize(decided, "contest"))
+        discard(proposed)
+        discard(waiting)
+        ends = contests[-1].where("__won").groupBy("ec", "bucket").agg(
+            F.count(F.lit(1)).alias("__n"), F.max(F.struct("__d", "__tie")).alias("__end")
+        )
+        full = F.col("__n") >= F.col("room")
+        after = seats.join(ends, ["ec", "bucket"], "left").select(
+            "ec", "bucket", "room", *columns,
+            F.when(full, F.col("__end.__d")).otherwise(F.col("__most")).alias("__most"),
+            F.when(full, F.col("__end.__tie")).otherwise(F.col("__last")).alias("__last"),
+            F.when(F.col("__n").isNotNull(), F.lit(rounds)).otherwise(F.col("__round")).alias("__round"),
+        )
+        before, seats = seats, materialize(after, "seats")
+        discard(before)
+        waiting = materialize(contests[-1].where("NOT __won").select("__pid", "bucket", *columns, "__tie"), "waiting")
+        left = waiting.count()
+        if len(contests) > OPEN_CONTESTS:
+            last = seats.select("ec", "bucket", "__round")
+            whole = holders().join(small_side(last, spots), ["ec", "bucket"]).withColumn("__won", F.lit(True))
+            whole = materialize(whole, "holders")
+            for old in contests:
+                discard(old)
+            contests = [whole]
+    if not contests:
+        placed = df.select("*", F.lit(None).cast("bigint").alias("ec"), F.lit(None).cast("double").alias("distance"))
+        return Matching(placed, 0)
+    found = holders().select(F.col("__pid").alias(pid), "ec", F.col("__d").alias("distance"))
+    return Matching(df.drop("ec", "distance").join(found, pid), rounds)
+
+
+def _weighted_spread(cost_to, weights: np.ndarray, k: int, seed: int) -> list[int]:
+    """Places of k candidates by k-means++: the j-th is the first whose prefix sum of
+    weight times cost passes the j-th drawn share of the whole."""
+    taken: list[int] = []
+    cost = np.ones(len(weights))
+    for j in range(k):
+        drawn = int(hashlib.md5(f"pick/{seed}/{j}".encode()).hexdigest()[:13], 16) / float(1 << 52)
+        upto = np.cumsum(weights * cost)
+        if upto[-1] > 0:
+            at = min(int(np.searchsorted(upto, drawn * upto[-1], "right")), len(upto) - 1)
+        else:  # only copies of the taken ones are left
+            at = next(i for i in range(len(upto)) if i not in taken)
+        taken.append(at)
+        cost = np.minimum(cost, cost_to(at)) if j else cost_to(at)
+    return taken
+
+
 def seed_centers_mixed(
     df: DataFrame,
     columns: Sequence[str],
@@ -263,28 +431,29 @@ def seed_centers_mixed(
     steps: int = 5,
     seed: int = 123456789,
 ) -> DataFrame:
-    """Seed centres by squared numeric plus taxonomy distance.
+    """Seed centres by squared numeric plus taxonomy distance (k-means||).
 
     ``columns`` are standardized; ``categories`` gives the height of every
     categorical column. From one row on, each step adds rows with probability
     2 k cost / (sum of costs), the cost being the distance to the nearest
-    centre so far, drawn by a hash of the identifier. Returned are the k
-    candidates that most rows are nearest to, with that ``weight``. Rows are
-    counted, not other candidates: a candidate stands for what it is near to.
+    centre so far, drawn by the MD5 of the identifier. The candidates (about
+    2 k steps) are weighed by the rows that are nearest to them and clustered
+    again: k of them by weighted k-means++ in one task. Returned are these with
+    their ``weight`` and their place ``pick``, from 0. Equal distances go to the
+    earlier step, then to the smaller MD5.
     """
     from .taxonomy import with_ancestors
 
     columns = list(columns)
     rows, levels = with_ancestors(df, categories, paths)
-    rows = rows.withColumn("__id", F.xxhash64(pid)).withColumns(
+    key = F.conv(F.substring(tie_key(F.col(pid)), 1, 15), 16, 10).cast("bigint")
+    rows = rows.withColumn("__id", key).withColumns(
         {"__near": F.lit(None).cast("bigint"), "__cost": F.lit(float("inf"))}
     )
     kept = [c for c in rows.columns if c not in ("__near", "__cost")]
-    fresh = materialize(
-        rows.orderBy(F.xxhash64(F.col(pid), F.lit(seed)), pid).limit(1).select(kept), "seeds"
-    )
+    fresh = materialize(rows.orderBy(draw(F.col(pid), seed), "__id").limit(1).select(kept), "seeds")
     chosen = [fresh]
-    for step in range(steps + 1):
+    for step in range(1, steps + 2):
         seen = nearest_center(
             rows, columns, fresh, "__id", name="__new", distance="__far", mismatch=levels
         )
@@ -297,29 +466,36 @@ def seed_centers_mixed(
             ),
             "costs",
         )
-        if step == steps:
+        if step > steps:
             break
         total = rows.agg(F.sum("__cost")).first()[0]
-        draw = F.pmod(F.xxhash64(F.col(pid), F.lit(seed), F.lit(step)), F.lit(1 << 52)) / float(
-            1 << 52
-        )
-        fresh = materialize(
-            rows.where(draw * F.lit(total) < F.lit(2.0 * k) * F.col("__cost")).select(kept),
-            "seeds",
-        )
+        drawn = draw(F.col(pid), seed, step) * F.lit(total) < F.lit(2.0 * k) * F.col("__cost")
+        fresh = materialize(rows.where(drawn).select(kept), "seeds")
         if fresh.isEmpty():
             break
         chosen.append(fresh)
-    candidates = chosen[0]
-    for part in chosen[1:]:
-        candidates = candidates.unionByName(part)
+    weights = rows.groupBy(F.col("__near").alias("__id")).agg(F.count(F.lit(1)).alias("weight"))
+    candidates = materialize(reduce(DataFrame.unionByName, chosen).join(weights, "__id"), "candidates")
     found = candidates.count()
     if found < k:
         raise ValueError(f"{found} candidates for {k} centres; take more steps")
-    weights = rows.groupBy(F.col("__near").alias("__id")).agg(F.count(F.lit(1)).alias("weight"))
-    return (
-        candidates.join(weights, "__id")
-        .orderBy(F.desc("weight"), pid)
-        .limit(k)
-        .select(pid, *columns, *[c for c, _ in categories], "weight")
-    )
+    shares, out = dict(levels), [pid, *columns, *[c for c, _ in categories], "weight"]
+
+    def pick(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(pid, ignore_index=True)
+        numbers = [group[c].to_numpy(np.float64) for c in columns]
+        levels_of = [(group[c].to_numpy(), w) for c, w in shares.items()]
+
+        def cost_to(at: int) -> np.ndarray:
+            far = np.zeros(len(group))
+            for c in numbers:
+                far += (c - c[at]) ** 2
+            for c, weight in levels_of:
+                far += weight * (c != c[at])
+            return far
+
+        taken = _weighted_spread(cost_to, group["weight"].to_numpy(np.float64), k, seed)
+        return group.iloc[taken][out].assign(pick=np.arange(len(taken), dtype=np.int32))
+
+    schema = candidates.select(*out, F.lit(0).alias("pick")).schema
+    return candidates.groupBy().applyInPandas(pick, schema)

@@ -365,3 +365,88 @@ part AS (
         SELECT *, {ranges} FROM part WHERE n > {2 * k} WINDOW w AS (PARTITION BY ec))))),
 grouped AS (
   SELECT m.*, p.ec FROM part p JOIN mz m ON m.pid = p.pid WHERE p.n <= {2 * k})"""
+
+
+# Centres: draws by the MD5 of an identifier, 13 hex digits of it as a share of 1.
+
+SEED = 123456789
+
+
+def drawn(pid: str, step: int = 0) -> str:
+    text = f"concat_ws('/', CAST({pid} AS VARCHAR), '{SEED}', '{step}')"
+    return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496::DOUBLE)"
+
+
+def random_centers(points: str, k: str) -> str:
+    """One k-means step from the k rows of ``points`` (pid, i, a: one row per
+    coordinate) that are drawn first: ``middle`` (cluster, i, m)."""
+    return f"""names AS (SELECT DISTINCT pid FROM {points}),
+seeds AS (SELECT * FROM (
+  SELECT pid, row_number() OVER (ORDER BY {drawn("pid")}, md5(CAST(pid AS VARCHAR))) - 1 AS cluster FROM names)
+  WHERE cluster < ({k})),
+spots AS MATERIALIZED (SELECT s.cluster, p.i, p.a FROM seeds s JOIN {points} p ON p.pid = s.pid),
+gaps AS (SELECT p.pid, s.cluster, sum((p.a - s.a) * (p.a - s.a)) AS d
+  FROM {points} p JOIN spots s ON s.i = p.i GROUP BY p.pid, s.cluster),
+near AS MATERIALIZED (SELECT pid, cluster FROM (
+  SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, cluster) AS rn FROM gaps) WHERE rn = 1),
+moved AS (SELECT n.cluster, p.i, avg(p.a) AS m FROM near n JOIN {points} p ON p.pid = n.pid GROUP BY n.cluster, p.i),
+middle AS MATERIALIZED (SELECT s.cluster, s.i, coalesce(m.m, s.a) AS m
+  FROM spots s LEFT JOIN moved m ON m.cluster = s.cluster AND m.i = s.i)"""
+
+
+#: Every row proposes to the next class of its list; a class keeps the closest.
+MATCHED = """lists AS MATERIALIZED (
+  SELECT pid, bucket, ec, room, d, row_number() OVER (PARTITION BY pid ORDER BY d, ec) AS place
+  FROM (SELECT z.pid, z.bucket, s.ec, s.room, (z.z1 - c.m) * (z.z1 - c.m) AS d
+        FROM waiting z JOIN room s ON s.bucket = z.bucket JOIN class_middle c ON c.ec = s.ec)),
+rounds AS (
+  SELECT 1 AS round, pid, CAST(1 AS BIGINT) AS place, true AS goes_on FROM waiting
+  UNION ALL
+  SELECT round + 1, pid, CASE WHEN rn > room THEN place + 1 ELSE place END, bool_or(rn > room) OVER () FROM (
+    SELECT r.round, r.pid, r.place, l.room, row_number() OVER (
+        PARTITION BY l.ec, l.bucket ORDER BY l.d, md5(CAST(r.pid AS VARCHAR))) AS rn
+    FROM rounds r JOIN lists l ON l.pid = r.pid AND l.place = r.place WHERE r.goes_on)),
+matched AS (
+  SELECT r.pid, l.bucket, l.ec, l.d FROM rounds r JOIN lists l ON l.pid = r.pid AND l.place = r.place
+  WHERE r.round = (SELECT max(round) FROM rounds))"""
+
+
+def mixed_seeds(k: int, steps: int = 5) -> str:
+    """k-means|| on ``pts`` (pid, z, cat), where another ``cat`` adds 1, and weighted
+    k-means++ on its candidates: ``picked`` (pid, z, cat, weight, pick)."""
+    import hashlib
+
+    gap = "(p.z - f.z) * (p.z - f.z) + CASE WHEN p.cat = f.cat THEN 0 ELSE 1 END"
+    out = [
+        f"""keyed AS MATERIALIZED (
+  SELECT *, CAST('0x' || substr(md5(CAST(pid AS VARCHAR)), 1, 15) AS BIGINT) AS id FROM pts),
+f0 AS MATERIALIZED (SELECT * FROM keyed ORDER BY {drawn("pid")}, id LIMIT 1),
+n0 AS MATERIALIZED (SELECT p.*, f.id AS near, {gap} AS cost FROM keyed p, f0 f)"""
+    ]
+    for s in range(1, steps + 1):
+        out.append(
+            f"""f{s} AS MATERIALIZED (SELECT pid, z, cat, id FROM n{s - 1}
+  WHERE {drawn("pid", s)} * (SELECT sum(cost) FROM n{s - 1}) < {2.0 * k} * cost),
+g{s} AS (SELECT * FROM (SELECT p.pid, f.id, {gap} AS far,
+    row_number() OVER (PARTITION BY p.pid ORDER BY {gap}, f.id) AS rn FROM keyed p, f{s} f) WHERE rn = 1),
+n{s} AS MATERIALIZED (SELECT n.pid, n.z, n.cat, n.id, CASE WHEN g.far < n.cost THEN g.id ELSE n.near END AS near,
+    least(n.cost, coalesce(g.far, n.cost)) AS cost FROM n{s - 1} n LEFT JOIN g{s} g ON g.pid = n.pid)"""
+        )
+    chosen = " UNION ALL ".join(f"SELECT * FROM f{s}" for s in range(steps + 1))
+    out.append(
+        f"""cand AS MATERIALIZED (SELECT c.pid, c.z, c.cat, w.weight FROM ({chosen}) c
+  JOIN (SELECT near, count(*) AS weight FROM n{steps} GROUP BY near) w ON w.near = c.id),
+c0 AS (SELECT *, 1::DOUBLE AS cost FROM cand)"""
+    )
+    for j in range(k):
+        share = int(hashlib.md5(f"pick/{SEED}/{j}".encode()).hexdigest()[:13], 16) / float(1 << 52)
+        known = f"least(p.cost, {gap})" if j else gap
+        out.append(
+            f"""p{j} AS MATERIALIZED (SELECT pid, z, cat, weight, {j} AS pick FROM (
+  SELECT *, sum(weight * cost) OVER (ORDER BY pid) AS upto, sum(weight * cost) OVER () AS whole FROM c{j})
+  WHERE upto > {share!r}::DOUBLE * whole ORDER BY pid LIMIT 1),
+c{j + 1} AS MATERIALIZED (SELECT p.pid, p.z, p.cat, p.weight, {known} AS cost FROM c{j} p, p{j} f)"""
+        )
+    picks = " UNION ALL ".join(f"SELECT * FROM p{j}" for j in range(k))
+    out.append(f"picked AS ({picks})")
+    return ",\n".join(out)

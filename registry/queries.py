@@ -79,6 +79,12 @@ def ord_assigned(spark, d, method="beta", threshold=BETA_ORD):
     return ord_made(spark, d, method, threshold)[1]
 
 
+def class_seats(made):
+    """(ec, bucket, size): the seats of every class."""
+    ec = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("level")) + F.col("seq")
+    return classes.rank_seats(made.runs).select(ec.alias("ec"), "bucket", "size")
+
+
 CUST_PLAN = sql.beta_plan("cust", sql.CUST, [BETA_CUST])
 CUST_SEATS = [*CUST_PLAN, sql.tree("likeness"), sql.SEATS]
 CUST_ASSIGNED = sql.assigned(CUST_PLAN, "likeness", "cust", 1)
@@ -642,6 +648,30 @@ def redistribute_by_center(spark, d):
     return placed.groupBy("bucket", "ec").agg(F.countDistinct("c_custkey").alias("rows"))
 
 
+@query(sql.with_(*sql.beta_plan("cust", sql.CUST, [BETA_WIDE]), sql.tree("likeness"), sql.SEATS,
+                 sql.norms("cust", 1), "pts AS MATERIALIZED (SELECT pid, 0 AS i, z1 AS a FROM zs)",
+                 "room AS MATERIALIZED (SELECT bucket, (CAST(1 AS BIGINT) << level) + seq AS ec, size AS room FROM seats)",
+                 sql.random_centers("pts", "SELECT count(DISTINCT ec) FROM room"),
+                 """class_middle AS MATERIALIZED (SELECT ec, m FROM middle JOIN (
+  SELECT ec, row_number() OVER (ORDER BY sum(room) DESC, ec) - 1 AS cluster FROM room GROUP BY ec) USING (cluster)),
+waiting AS MATERIALIZED (SELECT z.pid, z.z1, p.bucket FROM zs z JOIN plan p ON p.sa = z.sa)""",
+                 sql.MATCHED) + f"""
+SELECT pid AS c_custkey, CAST(bucket AS BIGINT) AS bucket, ec, {sql.r6("d")} AS distance FROM matched""")
+def match_to_centers(spark, d):
+    """Every row with its class: no row and class would rather have each other."""
+    made = cust_classes(spark, d, BETA_WIDE)
+    seats = class_seats(made)
+    rows = project_roles(cust(spark, d), CUST)
+    sizes = seats.groupBy("ec").agg(F.sum("size").alias("size"))
+    points = stats.zscore(rows, CUST.numeric_qis)
+    middle = centers.class_centers_random(points, CUST.numeric_qis, sizes, pid="c_custkey")
+    look = made.plan.select(F.col("sa").alias("n_name"), "bucket")
+    placed = centers.match_to_centers(
+        points.join(look, "n_name"), CUST.numeric_qis, "c_custkey", middle, seats
+    ).rows
+    return placed.select("c_custkey", lng("bucket").alias("bucket"), "ec", r6("distance").alias("distance"))
+
+
 # ----------------------------------------------------------------- recoding
 
 
@@ -913,15 +943,38 @@ def class_centers_kmeans(spark, d):
     return made.select("ec", "size", lng("cluster").alias("cluster"))
 
 
-@query("""SELECT CAST(label AS BIGINT) AS ec, size,
-  CAST(row_number() OVER (ORDER BY size DESC, label) - 1 AS BIGINT) AS cluster
-FROM (SELECT label, count(*) AS size FROM embeddings GROUP BY label)""")
+def _long(made: DataFrame, names: list[str]) -> DataFrame:
+    """Centres with one row per coordinate."""
+    each = F.posexplode(F.array(*names)).alias("element", "value")
+    return made.select("ec", "size", lng("cluster").alias("cluster"), each).select(
+        "ec", "size", "cluster", lng("element").alias("element"), r6("value").alias("value")
+    )
+
+
+@query()
+def class_centers_kmeans_rows(spark, d):
+    """The centres themselves, seeded in coarse cells."""
+    rows = project_roles(ord_(spark, d), ORD)
+    sizes = plans.class_plan(rows, "n_name", "beta", BETA_WIDE)
+    seats = class_seats(sizes).groupBy("ec").agg(F.sum("size").alias("size"))
+    made = centers.class_centers_kmeans(
+        stats.zscore(rows, ORD.numeric_qis), ORD.numeric_qis, seats, pid="o_orderkey"
+    )
+    return _long(made, ORD.numeric_qis)
+
+
+@query(sql.with_("""e AS (SELECT vec_id AS pid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pts AS MATERIALIZED (SELECT pid, generate_subscripts(v, 1) - 1 AS i, unnest(v) AS a FROM e)""",
+                 sql.random_centers("pts", "SELECT count(DISTINCT label) FROM embeddings"),
+                 """sized AS (SELECT label, size, row_number() OVER (ORDER BY size DESC, label) - 1 AS cluster
+  FROM (SELECT label, count(*) AS size FROM embeddings GROUP BY label))""") + f"""
+SELECT CAST(label AS BIGINT) AS ec, size, CAST(cluster AS BIGINT) AS cluster, CAST(i AS BIGINT) AS element,
+  {sql.r6("m")} AS value FROM sized JOIN middle USING (cluster)""")
 def class_centers_random(spark, d):
-    """Which class got which cluster; the centres themselves are drawn."""
+    """One k-means step from drawn rows, and which class got which cluster."""
     rows, names = emb(spark, d)
     sizes = rows.groupBy(F.col("label").alias("ec")).agg(F.count(F.lit(1)).alias("size"))
-    made = centers.class_centers_random(rows, names, sizes)
-    return made.select("ec", "size", lng("cluster").alias("cluster"))
+    return _long(centers.class_centers_random(rows, names, sizes, pid="vec_id"), names)
 
 
 @query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -940,13 +993,16 @@ def nearest_center(spark, d):
     return near.select("vec_id", "center", r6("distance").alias("distance"))
 
 
-@query()
+@query(sql.with_(sql.CUST, sql.norms("cust", 1), "pts AS MATERIALIZED (SELECT pid, z1 AS z, cat FROM zs)",
+                 sql.mixed_seeds(8)) + f"""
+SELECT pid AS c_custkey, {sql.r6("z")} AS c_acctbal, cat AS c_mktsegment, weight, pick FROM picked""")
 def seed_centers_mixed(spark, d):
     rows = stats.zscore(project_roles(cust(spark, d), CUST), CUST.numeric_qis)
     tree = taxonomy.ancestor_paths(segment_edges(spark, d), 1)
-    return centers.seed_centers_mixed(
+    seeds = centers.seed_centers_mixed(
         rows, CUST.numeric_qis, [("c_mktsegment", 1)], tree, "c_custkey", 8
     )
+    return seeds.withColumn("c_acctbal", r6("c_acctbal"))
 
 
 # ---------------------------------------------------------------- pipelines

@@ -288,9 +288,10 @@ def test_mixed_seeds(spark):
                               "child string, parent string"), 1
     )
     seeds = centers.seed_centers_mixed(df, ["x"], [("c", 1)], tree, "pid", 6).collect()
-    weights = [s.weight for s in seeds]
-    assert len({s.pid for s in seeds}) == 6
-    assert weights == sorted(weights, reverse=True) and sum(weights) <= 300
+    assert len({s.pid for s in seeds}) == 6 and [s.pick for s in seeds] == list(range(6))
+    assert sum(s.weight for s in seeds) <= 300
+    # k-means++ on three spots and two values: no two seeds stand for the same.
+    assert len({(round(s.x / 10), s.c) for s in seeds}) == 6
     again = centers.seed_centers_mixed(df.repartition(5), ["x"], [("c", 1)], tree, "pid", 6)
     assert {s.pid for s in again.collect()} == {s.pid for s in seeds}
 
