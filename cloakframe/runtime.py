@@ -13,7 +13,9 @@ are lazy and may read the others, so the caller removes these with
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 #: Intermediate tables that are still there, per application.
 _written: dict[str, set[str]] = {}
+#: Catalog names of those that are bucketed tables, by path.
+_named: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,19 +64,44 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, label: str, buckets: int, key: str) -> DataFrame:
+    """Write ``df`` once as a table of the catalog, bucketed by ``key``: joins and
+    aggregates on the key read it as it lies. Removed like other intermediate tables."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    name = f"{re.sub('[^a-z0-9]', '_', label.lower())}_{path.rsplit('-', 1)[1]}"
+    _named[path] = name
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
+    if path in _named:
+        spark.sql(f"DROP TABLE IF EXISTS {_named.pop(path)}")
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
     _written.get(spark.sparkContext.applicationId, set()).discard(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files of a table from :func:`materialize`; nothing may read it any more."""
-    names = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
-    spark = df.sparkSession
-    for path in list(_written.get(spark.sparkContext.applicationId, ())):
-        if path.rsplit("/", 1)[-1] in names:
-            _remove(spark, path)
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables from :func:`materialize`; nothing may read them any more."""
+    for df in tables:
+        names = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
+        spark = df.sparkSession
+        for path in list(_written.get(spark.sparkContext.applicationId, ())):
+            if path.rsplit("/", 1)[-1] in names:
+                _remove(spark, path)
+
+
+def written(spark: SparkSession) -> set[str]:
+    """Paths of the intermediate tables that are there now."""
+    return set(_written.get(spark.sparkContext.applicationId, ()))
+
+
+def discard_paths(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove those of the intermediate tables at ``paths`` that are still there."""
+    for path in written(spark) & set(paths):
+        _remove(spark, path)
 
 
 def discard_all(spark: SparkSession) -> int:
