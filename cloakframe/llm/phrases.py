@@ -46,7 +46,7 @@ MAX_WORDS = 5
 _MARK = b"."
 _TABLE = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b".......... ")
 #: Bytes of text that are split at a time; words a task counts, keys a filter holds.
-STEP, WORDS, KEYS = 1 << 20, 300_000, 2_000_000
+STEP, WORDS, KEYS = 1 << 20, 300_000, 1_000_000
 #: Bytes of a dictionary that is broadcast, and of one of its words besides its text.
 MAX_BYTES, WORD_BYTES = 64 << 20, 150
 #: Occurrences for each slot; bits of the table of frequent n-grams, at most, and per n-gram.
@@ -219,7 +219,7 @@ def ngram_counts(encoded: DataFrame, shape: Shape, min_count: int, frequent=None
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).flatten().to_numpy()
             at = _windows(ids, shape.n, shared.value, lower, table_bits)
             if len(at):
