@@ -177,12 +177,20 @@ log AS (
   UNION ALL SELECT page_id * 10 + 2, url, page_id * 10 + 5, 'revisit', '"old"', NULL, 2, n FROM p WHERE page_id % 3 = 0
   UNION ALL SELECT page_id * 10 + 3, other, page_id * 10 - 1, 'revisit', tag, NULL, 3, n FROM p WHERE page_id % 5 = 0
   UNION ALL SELECT page_id * 10 + 4, other, page_id * 10 + 7, 'revisit', NULL, day, 4, n FROM p WHERE page_id % 7 = 0),
-parts AS (SELECT *,
-    regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), ':(80|443)$', ''), '^www\.', '')
-    || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS place,
-    list_sort(list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[^?#]*\?([^#]*)', 1), '&'),
-      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS args FROM log),
-rec AS (SELECT *, place || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS url_key FROM parts),
+octets AS (SELECT *, string_split(url, '%') AS o FROM log),
+spelled AS (SELECT * EXCLUDE (o), o[1] || array_to_string([CASE WHEN NOT regexp_matches(x, '^[0-9A-Fa-f]{2}') THEN '%' || x
+    WHEN regexp_matches(chr(CAST('0x' || x[1:2] AS INTEGER)), '^[A-Za-z0-9._~-]$') THEN chr(CAST('0x' || x[1:2] AS INTEGER)) || x[3:]
+    ELSE '%' || upper(x[1:2]) || x[3:] END FOR x IN o[2:]], '') AS u FROM octets),
+parts AS (SELECT *, lower(regexp_extract(u, '^[^:]*')) AS scheme,
+    regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^.*@', ''), ':$', '') AS host,
+    regexp_replace(list_reduce(string_split(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda b, x:
+      CASE x WHEN '.' THEN b WHEN '..' THEN regexp_replace(b, '/[^/]*$', '') ELSE b || '/' || x END), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[^?#]*\?([^#]*)', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS args FROM spelled),
+rec AS (SELECT *, CASE WHEN NOT regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?[^/?#@]') THEN url ELSE
+    regexp_replace(CASE WHEN (scheme = 'http' AND host LIKE '%:80') OR (scheme = 'https' AND host LIKE '%:443')
+      THEN regexp_replace(host, ':[0-9]+$', '') ELSE host END, '^www\.', '') || path
+    || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END END AS url_key FROM parts),
 res AS (SELECT * FROM rec WHERE kind = 'response'),
 near AS (SELECT v.*, r.record_id AS rid, r.etag AS retag, r.last_modified AS rday, r.ts AS rts, r.n AS rn
   FROM (SELECT * FROM rec WHERE kind = 'revisit') v ASOF LEFT JOIN res r ON v.url_key = r.url_key AND v.ts > r.ts),
@@ -205,12 +213,12 @@ def op6_warc_revisit_resolution(spark, d):
 
 
 _TOPK_SQL = """
-WITH v AS (SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS asked, vec_id, [CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+s AS (SELECT q.asked, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (
-  PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+  PARTITION BY asked ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
 
 
 @query(_TOPK_SQL)

@@ -17,6 +17,8 @@ stay as the response had them.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,17 +30,52 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "va
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 
 
+#: A URL with a scheme and a host.
+WITH_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#@]"
+UNRESERVED = string.ascii_letters + string.digits + "-._~"
+
+
+def _percent_normal(u: Column) -> Column:
+    """Percent-encoded octets in upper case; those of unreserved characters decoded."""
+    plain = F.create_map(*[F.lit(x) for c in UNRESERVED for x in (f"{ord(c):02X}", c)])
+    code = lambda x: F.upper(F.substring(x, 1, 2))
+    told = lambda x: F.concat(
+        F.coalesce(F.try_element_at(plain, code(x)), F.concat(F.lit("%"), code(x))), F.substring(x, 3, 1 << 30)
+    )
+    first, rest = F.split(u, "%", 2), F.split(F.regexp_extract(u, "(?s)%(.*)", 1), "%", -1)
+    spelled = F.transform(rest, lambda x: F.when(x.rlike("^[0-9A-Fa-f]{2}"), told(x)).otherwise(F.concat(F.lit("%"), x)))
+    return F.when(F.size(first) > 1, F.concat(first[0], F.array_join(spelled, ""))).otherwise(u)
+
+
 def canonical_url(url: str) -> Column:
-    """Host and path that name the resource: no scheme, ``www.``, default port,
-    fragment, tracking parameters or closing slash; other parameters sorted."""
-    u = F.col(url)
+    """Host and path that name the resource: no scheme, user name, ``www.``, default
+    port of the scheme, fragment, tracking parameters or closing slash; dot segments
+    resolved, percent-encoding in one spelling, other parameters sorted.
+
+    A URL without a scheme and a host (``dns:`` records, relative ones) stands for
+    itself as it is spelled; a null URL has no key.
+    """
+    u = _percent_normal(F.col(url))
     rest = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*"
+    scheme = F.lower(F.regexp_extract(u, "^[^:]*", 0))
     host = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    host = F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), r"^www\.", "")
-    path = F.regexp_replace(F.regexp_extract(u, rest + r"([^?#]*)", 1), r"/+$", "")
+    host = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":$", "")
+    port = F.when(scheme == "http", ":80").when(scheme == "https", ":443")
+    host = F.when(F.endswith(host, port), F.regexp_replace(host, r":[0-9]+$", "")).otherwise(host)
+    host = F.regexp_replace(host, r"^www\.", "")
+    segments = F.split(F.regexp_extract(u, rest + r"([^?#]*)", 1), "/", -1)
+    path = F.aggregate(
+        F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))),
+        F.lit(""),
+        lambda before, s: F.when(s == ".", before)
+        .when(s == "..", F.regexp_replace(before, "/[^/]*$", ""))
+        .otherwise(F.concat(before, F.lit("/"), s)),
+    )
     query = F.split(F.regexp_extract(u, rest + r"[^?#]*\?([^#]*)", 1), "&")
     kept = F.array_sort(F.filter(query, lambda p: (p != "") & ~p.rlike(TRACKING)))
-    return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+    args = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
+    named = F.concat(host, F.regexp_replace(path, "/+$", ""), args)
+    return F.when(u.rlike(WITH_HOST), named).otherwise(F.col(url))
 
 
 def _name(header: Column) -> Column:

@@ -7,11 +7,15 @@ has in the text. A block of texts is cut, its distinct parts are encoded once, a
 their ids are put back in order by array operations. Texts with runs of white space
 are encoded whole. Both ways are exact. The ids are those of the JSON file of the
 same vocabulary (``byte_bpe_50k.json``, library ``tokenizers``); the tests compare.
+A text that spells one of that file's added tokens (``<|endoftext|>``) is cut there,
+and the token has its own id, as the library does it; the parts are texts of their own.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -40,6 +44,15 @@ def _encoding(name: str):
     return made, sizes
 
 
+@lru_cache(maxsize=2)
+def added_tokens(name: str) -> dict[str, int]:
+    """Texts that are one id wherever they stand, from the JSON file of the vocabulary."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
 def _joined(encoding, sizes, parts: pa.Array, gap: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of parts that are encoded as one text with ``gap`` before each, and counts."""
     if not len(parts):
@@ -114,14 +127,33 @@ def _block_ids(texts: pa.Array, name: str) -> list[np.ndarray]:
     return out
 
 
-def encode(texts: pa.Array | list, name: str = "byte_bpe_50k.tiktoken") -> list[np.ndarray]:
-    """Token ids (uint32) of each text, no special tokens; null texts have none."""
+def _with_added(texts: pa.Array, name: str, added: dict[str, int]) -> list[np.ndarray]:
+    """Ids of the texts, of which some may hold added tokens."""
+    pattern = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    holds = np.logical_or.reduce([pc.match_substring(texts, t).to_numpy(zero_copy_only=False) for t in added])
+    if not holds.any():
+        return _block_ids(texts, name)
+    cuts = [pattern.split(t.as_py()) if h else [t.as_py()] for t, h in zip(texts, holds.tolist())]
+    parts = iter(_block_ids(pa.array([p for cut in cuts for p in cut[::2]], pa.string()), name))
+    out = []
+    for cut in cuts:
+        said = [next(parts) if i % 2 == 0 else np.array([added[p]], np.uint32) for i, p in enumerate(cut)]
+        out.append(np.concatenate(said))
+    return out
+
+
+def encode(
+    texts: pa.Array | list, name: str = "byte_bpe_50k.tiktoken", json_name: str = "byte_bpe_50k.json"
+) -> list[np.ndarray]:
+    """Token ids (uint32) of each text without special tokens around it; null texts
+    have none. Ranks come from ``name``, added tokens from ``json_name``."""
     array = pc.fill_null(pa.array(texts, pa.string()), "")
+    added = added_tokens(json_name)
     sizes = np.cumsum(pc.binary_length(array).to_numpy().astype(np.int64))
     out: list[np.ndarray] = []
     while len(out) < len(array):
         at = len(out)
         before = sizes[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(sizes, before + BLOCK_BYTES, "right")))
-        out += _block_ids(array.slice(at, stop - at), name)
+        out += _with_added(array.slice(at, stop - at), name, added)
     return out

@@ -154,26 +154,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int =
     """(query_id, rank, vec_id, score) of the k best candidates of each query.
 
     ``vectors(id, vector array<long>)`` are the candidates, ``queries`` of the same
-    form the queries; a candidate with the query's identifier is left out.
+    form the queries; a candidate with the query's identifier is left out. Every row
+    of ``queries`` gets its own k rows, also where an identifier is asked twice; a
+    repeated candidate takes a place for each of its rows.
     """
     segments, ids = build_index(vectors, block_rows)
-    asked = materialize(queries.where("id IS NOT NULL AND vector IS NOT NULL").select("id", "vector"), "queries")
+    usable = queries.where("id IS NOT NULL AND vector IS NOT NULL").select("id", "vector")
+    asked = materialize(usable.withColumn("ask", F.monotonically_increasing_id()), "queries")
     groups = max(1, -(-asked.count() // group_rows))
-    asked = asked.select("*", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), F.size("vector").alias("dims"))
+    asked = asked.select("*", F.pmod(F.xxhash64("ask"), F.lit(groups)).cast("int").alias("group"), F.size("vector").alias("dims"))
 
     def bundle(rows: pd.DataFrame) -> pd.DataFrame:
         matrix = np.stack(rows["vector"].to_list()).astype(np.int64)
-        made = (int(rows["dims"].iloc[0]), rows["id"].to_list(), _bytes(matrix))
-        return pd.DataFrame([made], columns=["dims", "asked", "matrix"])
+        made = (int(rows["dims"].iloc[0]), rows["ask"].to_list(), rows["id"].to_list(), _bytes(matrix))
+        return pd.DataFrame([made], columns=["dims", "asks", "asked", "matrix"])
 
-    bundles = asked.groupBy("group", "dims").applyInPandas(bundle, "dims int, asked array<long>, matrix binary")
+    bundles = asked.groupBy("group", "dims").applyInPandas(bundle, "dims int, asks array<long>, asked array<long>, matrix binary")
     here = ids.select("block", "dims")
     # a stated query set, in groups: each is sent to every block of its length
     sent = bundles.join(small_side(here, here.count(), 16), "dims")
     index = segments.groupBy("block", "dims").agg(
         F.collect_list(F.struct("impact", "dim", "place", "value")).alias("segments")
     ).join(ids, ["block", "dims"])
-    meetings = sent.join(index, ["block", "dims"]).select("block", "dims", "asked", "matrix", "ids", "segments")
+    meetings = sent.join(index, ["block", "dims"]).select("block", "dims", "asks", "asked", "matrix", "ids", "segments")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -184,17 +187,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int =
                 where: dict[int, list[int]] = {}
                 for p, one in enumerate(block_ids.tolist()):
                     where.setdefault(one, []).append(p)
-                asked_ids = list(row.asked)
+                asks, asked_ids = list(row.asks), list(row.asked)
                 matrix = _ints(row.matrix).reshape(len(asked_ids), row.dims)
                 own = [where.get(i, []) for i in asked_ids]
                 yield pd.concat(
-                    pd.DataFrame({"query_id": asked_ids[q], "block": row.block, "vec_id": found, "score": score})
+                    pd.DataFrame({"ask": asks[q], "query_id": asked_ids[q], "block": row.block, "vec_id": found, "score": score})
                     for q, found, score in search_block(matrix, own, block_ids, held, k)
                 )
 
-    found = meetings.mapInPandas(search, "query_id long, block int, vec_id long, score long")
+    found = meetings.mapInPandas(search, "ask long, query_id long, block int, vec_id long, score long")
     best = [F.col("score").desc(), F.col("vec_id")]
-    some = F.row_number().over(Window.partitionBy("query_id", "some").orderBy(*best))
+    some = F.row_number().over(Window.partitionBy("ask", "some").orderBy(*best))
     found = found.withColumn("some", F.pmod("block", F.lit(64))).withColumn("n", some).where(F.col("n") <= k)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*best))
+    rank = F.row_number().over(Window.partitionBy("ask").orderBy(*best))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

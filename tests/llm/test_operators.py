@@ -214,8 +214,8 @@ def test_tokens_equal_the_reference_vocabulary(rows):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     texts = [r[1] for r in rows] + [
+        "<|endoftext|>", "a <|endoftext|> x", "a  <|endoftext|>\n\n b", "<|endoftext|><|endoftext|>", "x<|endoftext|>y" * 30, "<|endoftext|", "a b<|endoftext|>",
         " a", "a ", " ", "\n", "a\n", "\na", "a\n\nb", "  a", "a\tb c", "<|endoftext|> x", "it's  we'll ' s",
         "½ Ⅷ a1b2 c", "日本 語", "\x01 a b", "a\x1c b", "\xa0a b", "a\r\nb", "x' s 't", "a b c",
     ]
