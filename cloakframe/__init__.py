@@ -9,6 +9,8 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 from .plans.anonymize import (  # noqa: E402
+    METHODS,
+    Method,
     anonymize,
     anonymize_mondrian,
     assign_classes,
@@ -19,6 +21,8 @@ from .plans.anonymize import (  # noqa: E402
 from .roles import Roles  # noqa: E402
 
 __all__ = [
+    "METHODS",
+    "Method",
     "Roles",
     "anonymize",
     "anonymize_mondrian",

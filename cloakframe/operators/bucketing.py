@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import likeness_cap
-from .ranking import CELL_ROWS, rank_within
+from ..runtime import materialize, small_side
+from .ranking import CELL_ROWS, rank_sorted, rank_within
 
 PLAN_COLUMNS = ["threshold", "bucket", "sa", "quota", "freq", "cap"]
 
@@ -40,19 +41,17 @@ def _with_caps(histogram: DataFrame, limits: Sequence[float]) -> DataFrame:
     )
 
 
-def number_buckets(buckets: DataFrame) -> DataFrame:
+def number_buckets(buckets: DataFrame, rows: int = 0, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Give whole buckets (``threshold, items, freq, cap``) their numbers.
 
     The number is the rank of the sorted value list, which is also the
-    category order of the Earth Mover's Distance.
+    category order of the Earth Mover's Distance. ``rows`` is the most that
+    there are; above ``cell_rows`` they are ranked in ranges.
     """
     names = F.transform("items", lambda x: x["sa"])
-    order = Window.partitionBy("threshold").orderBy("__names", "freq", "items", "cap")
-    return (
-        buckets.withColumn("__names", names)
-        .withColumn("bucket", F.row_number().over(order).cast("bigint"))
-        .drop("__names")
-    )
+    named = buckets.withColumn("__names", names)
+    order = ["__names", "freq", "items", "cap"]
+    return rank_sorted(named, ["threshold"], order, rows, "bucket", cell_rows).drop("__names")
 
 
 def explode_buckets(numbered: DataFrame) -> DataFrame:
@@ -89,36 +88,68 @@ def sort_by_cap(histogram: DataFrame, beta: float, cell_rows: int = CELL_ROWS) -
 # beta-likeness
 
 
-def _greedy_fill(values: pd.DataFrame) -> pd.DataFrame:
-    """Number of the bucket of every value of one threshold, in one pass."""
-    values = values.sort_values(["freq", "sa"], ignore_index=True)
-    opened, share, room = 0, 0.0, float("inf")
-    numbers = []
-    for p, cap in zip(values["p"].tolist(), values["cap"].tolist()):
-        share, room = share + p, min(room, cap)
-        if share > room:
-            opened, share, room = opened + 1, p, cap
-        numbers.append(opened)
-    return values[["threshold", "sa", "freq", "cap"]].assign(opened=numbers)
-
+def _fill_runs(runs: pd.DataFrame) -> pd.DataFrame:
+    """Buckets of the values of one threshold, by runs of values with equal counts.
 
-def beta_buckets(histogram: DataFrame, limits: Sequence[float]) -> DataFrame:
+    A row is a run: ``values`` values with share ``p`` and ``cap`` each. It tops up the
+    open bucket, value by value, and then fills buckets of its own, which are all
+    alike. A bucket holds at most 1 - ln(share of its first value) values, so a
+    run takes a few steps, whatever its length, and sums are those of a walk over
+    the single values. Given out are pieces of runs: the values with rank ``lo`` <
+    rank <= ``hi`` fill buckets from number ``opened`` on, ``each`` in one.
+    """
+    opened, share, room = 0, 0.0, float("inf")
+    pieces = []
+    for threshold, freq, p, cap, values in runs.sort_values("freq").itertuples(index=False):
+        placed = 0
+        while placed < values and share + p <= min(room, cap):
+            share, room, placed = share + p, min(room, cap), placed + 1
+        if placed:
+            pieces.append((threshold, freq, 0, placed, opened, placed))
+        left = values - placed
+        if not left:
+            continue
+        each, held = 1, p
+        while each < left and held + p <= cap:
+            each, held = each + 1, held + p
+        pieces.append((threshold, freq, placed, values, opened + 1, each))
+        opened += -(-left // each)
+        share, room = 0.0, cap
+        for _ in range((left - 1) % each + 1):
+            share += p
+    return pd.DataFrame(pieces, columns=["threshold", "freq", "lo", "hi", "opened", "each"])
+
+
+def beta_buckets(histogram: DataFrame, limits: Sequence[float], cell_rows: int = CELL_ROWS) -> DataFrame:
     """Greedy fill in cap order; a value that does not fit opens a new bucket.
 
-    Whether a value fits depends on all before it, so a threshold's values are
-    walked once, in one task, in time linear in their number; what a bucket
-    holds is then an aggregate.
+    Whether a value fits depends on all before it, but values with equal counts
+    have equal caps. So only the distinct counts are walked, at most sqrt(2 N) of
+    them for N rows (:func:`_fill_runs`); a value finds its bucket by its rank
+    among the values of its count.
     """
-    values = _with_caps(histogram, limits).select("threshold", "sa", "freq", "p", "cap")
-    filled = values.groupBy("threshold").applyInPandas(
-        _greedy_fill, "threshold double, sa string, freq bigint, cap double, opened bigint"
+    counts = histogram.groupBy("freq").agg(F.max("p").alias("p"), F.count(F.lit(1)).alias("values"))
+    runs = _with_caps(counts, limits).select("threshold", "freq", "p", "cap", "values")
+    pieces = materialize(
+        runs.groupBy("threshold").applyInPandas(
+            _fill_runs, "threshold double, freq bigint, lo bigint, hi bigint, opened bigint, each bigint"
+        ),
+        "pieces",
+    )
+    rows = histogram.count()
+    ranked = rank_sorted(histogram.select("sa", "freq", "p"), ["freq"], ["sa"], rows, "__rank", cell_rows)
+    placed = ranked.join(small_side(pieces, pieces.count(), 64), "freq").where(
+        (F.col("__rank") > F.col("lo")) & (F.col("__rank") <= F.col("hi"))
     )
+    opened = F.col("opened") + F.expr("(__rank - lo - 1) div each")
+    filled = placed.select("threshold", "sa", "freq", opened.alias("opened"), likeness_cap(F.col("p"), F.col("threshold")).alias("cap"))
     buckets = filled.groupBy("threshold", "opened").agg(
         F.array_sort(F.collect_list(F.struct("sa", F.col("freq").alias("n")))).alias("items"),
         F.sum("freq").alias("freq"),
         F.min("cap").alias("cap"),  # of the first value: caps rise with the count
     )
-    return explode_buckets(number_buckets(buckets.drop("opened"))).select(*PLAN_COLUMNS)
+    numbered = number_buckets(buckets.drop("opened"), rows * len(limits), cell_rows)
+    return explode_buckets(numbered).select(*PLAN_COLUMNS)
 
 
 # --------------------------------------------------------------------------

@@ -32,18 +32,75 @@ STATE_SCHEMA = (
     "left_state bigint, right_state bigint, nodes bigint, first_seq bigint"
 )
 
+#: From the sizes of a node to whether it may be a class.
 Rule = Callable[[np.ndarray], bool]
+#: (path of a state, level of its nodes) -> whether they may be classes.
+Fits = Callable[[int, int], bool]
 
 
-def likeness_rule(freq: np.ndarray, cap: np.ndarray, threshold: float) -> Rule:
-    """Every bucket's share, in whole hundredths, stays within its cap."""
-    bound = np.floor(cap * 100.0 + 0.5)
+def _least_totals(sizes: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Smallest total at which a size's share, in whole hundredths, is within its bound."""
 
-    def holds(sizes: np.ndarray) -> bool:
-        total = float(sizes.sum())
-        return total > 0 and bool((np.floor(sizes / total * 100.0 + 0.5) <= bound).all())
+    def over(total: np.ndarray) -> np.ndarray:
+        return np.floor(sizes / np.maximum(total, 1).astype(np.float64) * 100.0 + 0.5) > bound
 
-    return holds
+    # The share falls as the total grows; an estimate is off by its rounding only.
+    total = np.maximum(np.floor(sizes * 100.0 / (bound + 0.5)), sizes).astype(np.int64)
+    while (low := over(total)).any():
+        total[low] += 1
+    while (high := (total > np.maximum(sizes, 1)) & ~over(total - 1)).any():
+        total[high] -= 1
+    return total
+
+
+def likeness_fits(freq: np.ndarray, cap: np.ndarray, threshold: float) -> Fits:
+    """Every bucket's share, in whole hundredths, stays within its cap.
+
+    At a level a bucket has two sizes, the larger one from its switch point on, and
+    with each it demands a least total. In the order of the switch points the states
+    of a level are prefixes, so prefix and suffix maxima of the demands and the
+    number of switched buckets tell all of them; equal buckets are taken once.
+    """
+    kinds, times = np.unique(np.stack([freq.astype(np.float64), np.floor(cap * 100.0 + 0.5)]), axis=1, return_counts=True)
+    freq, bound = kinds[0].astype(np.int64), kinds[1]
+    tables: dict[int, tuple] = {}
+
+    def table(level: int) -> tuple:
+        if level not in tables:
+            tables.clear()  # levels are asked one after the other
+            width = 1 << level
+            low = freq >> level
+            switch = width - (freq & (width - 1))
+            order = np.argsort(switch, kind="stable")
+            before, after = _least_totals(low, bound)[order], _least_totals(low + 1, bound)[order]
+            done = np.concatenate([[0], np.maximum.accumulate(after)])
+            todo = np.concatenate([np.maximum.accumulate(before[::-1])[::-1], [0]])
+            switched = np.concatenate([[0], np.cumsum(times[order])])
+            tables[level] = switch[order], np.maximum(done, todo), int((low * times).sum()), switched
+        return tables[level]
+
+    def fits(path: int, level: int) -> bool:
+        switch, needed, base, switched = table(level)
+        at = int(np.searchsorted(switch, path, side="right"))
+        total = base + int(switched[at])
+        return total > 0 and total >= int(needed[at])
+
+    return fits
+
+
+def fits_by_sizes(rule: Callable[[np.ndarray, np.ndarray, float], Rule]):
+    """A rule on the sizes of one node, asked for each state."""
+
+    def make(freq: np.ndarray, cap: np.ndarray, threshold: float) -> Fits:
+        holds = rule(freq, cap, threshold)
+
+        def fits(path: int, level: int) -> bool:
+            sizes = (freq + path) >> level
+            return bool(sizes.any()) and holds(sizes)
+
+        return fits
+
+    return make
 
 
 def emd_rule(freq: np.ndarray, cap: np.ndarray, threshold: float) -> Rule:
@@ -61,7 +118,7 @@ def emd_rule(freq: np.ndarray, cap: np.ndarray, threshold: float) -> Rule:
     return holds
 
 
-RULES = {"likeness": likeness_rule, "emd": emd_rule}
+RULES = {"likeness": likeness_fits, "emd": fits_by_sizes(emd_rule)}
 
 
 def _first_path(switches: np.ndarray, path: int) -> int:
@@ -70,13 +127,17 @@ def _first_path(switches: np.ndarray, path: int) -> int:
     return int(switches[at - 1]) if at else 0
 
 
-def _states_of(rule: str, min_size: int):
-    make = RULES[rule]
+def _states_of(rule: str | Callable[[np.ndarray, np.ndarray, float], Rule], min_size: int):
+    make = fits_by_sizes(rule) if callable(rule) else RULES[rule]
 
     def walk(key: tuple, buckets: pd.DataFrame) -> pd.DataFrame:
         buckets = buckets.sort_values("bucket")
         freq = buckets["freq"].to_numpy(np.int64)
         holds = make(freq, buckets["cap"].to_numpy(np.float64), float(key[0]))
+        if min_size > 1:
+            large = fits_by_sizes(lambda *_: lambda sizes: int(sizes.sum()) >= min_size)(freq, freq, 0.0)
+        else:
+            large = lambda *_: True
         out = []
         current = {0: 1}
         level = 0
@@ -88,8 +149,7 @@ def _states_of(rule: str, min_size: int):
 
             def fits(state: int) -> bool:
                 if state not in verdict:
-                    sizes = (freq + state) >> (level + 1)
-                    verdict[state] = int(sizes.sum()) >= max(min_size, 1) and holds(sizes)
+                    verdict[state] = large(state, level + 1) and holds(state, level + 1)
                 return verdict[state]
 
             below: dict[int, int] = {}
@@ -120,12 +180,15 @@ def bucket_sizes(plan: DataFrame) -> DataFrame:
     return plan.select("threshold", "bucket", "freq", "cap").distinct()
 
 
-def class_states(plan: DataFrame, rule: str, min_size: int = 1) -> DataFrame:
+def class_states(plan: DataFrame, rule: str | Callable, min_size: int = 1) -> DataFrame:
     """States of the class tree of every threshold.
 
-    ``plan`` is a bucket plan; ``rule`` is ``likeness`` or ``emd``;
-    ``min_size`` optionally forbids classes of fewer rows. Thresholds are
-    processed in parallel; a task holds the bucket list of one threshold.
+    ``plan`` is a bucket plan; ``rule`` is ``likeness``, ``emd``, or a function of
+    (bucket sizes of the table, caps, threshold) that gives a function from the
+    bucket sizes of a node, in the order of the buckets, to whether the node may be
+    a class (it is given nodes with rows only). ``min_size`` optionally forbids
+    classes of fewer rows. Thresholds are processed in parallel; a task holds the
+    bucket list of one threshold.
     """
     sizes = bucket_sizes(plan).where(F.col("freq") > 0)
     return sizes.groupBy("threshold").applyInPandas(_states_of(rule, min_size), STATE_SCHEMA)
@@ -202,7 +265,7 @@ def expand_nodes(states: DataFrame, leaves_only: bool = True) -> DataFrame:
     return nodes.join(flags, ["threshold", "level", "state"])
 
 
-def split_tree(plan: DataFrame, rule: str, min_size: int = 1) -> DataFrame:
+def split_tree(plan: DataFrame, rule: str | Callable, min_size: int = 1) -> DataFrame:
     """All nodes the halving visits, with the verdict: splits or leaf."""
     states = materialize(class_states(plan, rule, min_size), "states")
     return expand_nodes(states, leaves_only=False).select("threshold", "level", "path", "splits")

@@ -12,11 +12,14 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 #: Rows that one window partition may hold.
 CELL_ROWS = 1_000_000
 #: Ranges of the order key, and sampled rows per range that place them.
@@ -26,6 +29,42 @@ SAMPLE_ROWS = 50
 MAX_WIDTH = 32_768
 
 
+def rank_sorted(
+    df: DataFrame,
+    groups: Sequence[str],
+    order: Sequence[str],
+    rows: int,
+    name: str = "rn",
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """Add the 1-based rank of every row in its group by columns of any ordered type.
+
+    Above ``cell_rows`` rows the table is written in ranges of (group, order); a
+    group of any size lies in neighbouring ranges, and a row's rank is its place in
+    its range and the group's rows in the ranges before. Rows that are equal in
+    groups and order lie in one range. One shuffle.
+    """
+    if rows <= cell_rows:
+        w = Window.partitionBy(*groups).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
+    columns = [*groups, *order]
+    ranges = min(math.ceil(2 * rows / cell_rows), MAX_WIDTH)
+    sorted_ = df.repartitionByRange(ranges, *columns).sortWithinPartitions(*columns)
+    at = F.monotonically_increasing_id()
+    numbered = materialize(
+        sorted_.select("*", F.shiftright(at, 33).alias("__range"), at.bitwiseAND((1 << 33) - 1).alias("__at")), "sorted"
+    )
+    before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # A row per group and range that holds rows of it.
+    starts = numbered.groupBy(*groups, "__range").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    keys = [*groups, "__range"]
+    shift = F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")
+    shifts = starts.select(*[F.col(c).alias(f"__own{i}") for i, c in enumerate(keys)], shift.alias("__shift"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__own{i}")) for i, c in enumerate(keys)])
+    rank = (F.col("__at") + F.col("__shift") + 1).cast("bigint").alias(name)
+    return numbered.join(shifts, same).select(*[c for c in df.columns if c != name], rank)
+
+
 def rank_within(
     df: DataFrame,
     groups: Sequence[str],

@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 import time
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.bucketing import (
+    PLAN_COLUMNS,
     beta_buckets,
     overlap_buckets,
     tclose_buckets,
@@ -25,27 +26,71 @@ from ..operators.stats import Scaling, fit_scaling, sa_histogram
 from ..roles import Roles, check_unique, project_roles
 from ..runtime import materialize
 
-METHODS = ("beta", "overlap", "tclose")
+@dataclass(frozen=True)
+class Method:
+    """A way to bucket the sensitive values and to split classes.
+
+    ``buckets(histogram, thresholds, paths, height)`` gives a bucket plan: the
+    columns ``bucketing.PLAN_COLUMNS``, for each threshold and value quotas that
+    add up to the value's count. ``rule`` is a split rule of
+    ``classes.class_states``: a name, or a function of its own. ``taxonomy`` tells
+    whether the method needs the taxonomy of the sensitive attribute.
+    """
+
+    buckets: Callable[[DataFrame, Sequence[float], DataFrame | None, int | None], DataFrame]
+    rule: str | Callable = "likeness"
+    taxonomy: bool = False
+
+
+#: The methods by name; callers may add theirs.
+METHODS = {
+    "beta": Method(lambda histogram, limits, paths, height: beta_buckets(histogram, limits)),
+    "overlap": Method(overlap_buckets, taxonomy=True),
+    "tclose": Method(tclose_buckets, "emd", taxonomy=True),
+}
+_OWN = tuple(METHODS)
+
+
+def find_method(method: str | Method) -> Method:
+    if isinstance(method, Method):
+        return method
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {tuple(METHODS)}")
+    return METHODS[method]
+
+
+def _checked(plan: DataFrame, histogram: DataFrame, limits: Sequence[float]) -> DataFrame:
+    """The written plan of a caller's method, if it deals out every row once."""
+    if missing := set(PLAN_COLUMNS) - set(plan.columns):
+        raise ValueError(f"the bucket plan lacks {sorted(missing)}")
+    plan = materialize(plan.select(*PLAN_COLUMNS), "caller-plan")
+    dealt = plan.groupBy("threshold", "sa").agg(F.sum("quota").alias("quota"))
+    listed = F.explode(F.array(*[F.lit(float(v)) for v in limits]))
+    every = histogram.select("sa", "freq", listed.alias("threshold"))
+    wrong = dealt.join(every, ["threshold", "sa"], "full").where("NOT (quota <=> freq)")
+    sizes = plan.groupBy("threshold", "bucket").agg(
+        F.sum("quota").alias("quota"), F.max("freq").alias("most"), F.min("freq").alias("least")
+    )
+    if not wrong.isEmpty() or not sizes.where("quota <> most OR quota <> least").isEmpty():
+        raise ValueError("the quotas of the bucket plan do not add up to the values' and buckets' rows")
+    return plan
 
 
 def bucket_plan(
     df: DataFrame,
     sa: str,
-    method: str,
+    method: str | Method,
     limits: Sequence[float],
     paths: DataFrame | None = None,
     height: int | None = None,
 ) -> DataFrame:
     """Bucket plan of every threshold, from one histogram."""
-    histogram = sa_histogram(df, sa)
-    if method == "beta":
-        return beta_buckets(histogram, limits)
-    if method not in METHODS:
-        raise ValueError(f"method must be one of {METHODS}")
-    if paths is None or height is None:
+    made = find_method(method)
+    if made.taxonomy and (paths is None or height is None):
         raise ValueError(f"{method} needs the taxonomy of the sensitive attribute")
-    build = overlap_buckets if method == "overlap" else tclose_buckets
-    return build(histogram, limits, paths, height)
+    histogram = sa_histogram(df, sa)
+    plan = made.buckets(histogram, limits, paths, height)
+    return plan if any(made is METHODS.get(name) for name in _OWN) else _checked(plan, histogram, limits)
 
 
 @dataclass(frozen=True)
@@ -65,7 +110,7 @@ class ClassPlan:
 def class_plan(
     df: DataFrame,
     sa: str,
-    method: str,
+    method: str | Method,
     threshold: float,
     paths: DataFrame | None = None,
     height: int | None = None,
@@ -77,8 +122,7 @@ def class_plan(
     because the row path reads them several times.
     """
     plan = materialize(bucket_plan(df, sa, method, [threshold], paths, height), "buckets")
-    rule = "emd" if method == "tclose" else "likeness"
-    states = materialize(class_states(plan, rule, min_class_size), "states")
+    states = materialize(class_states(plan, find_method(method).rule, min_class_size), "states")
     leaf = ~F.col("splits")
     classes, levels = states.agg(
         F.sum(F.when(leaf, F.col("nodes"))), F.countDistinct(F.when(leaf, F.col("level")))
@@ -112,7 +156,7 @@ def assign_classes(
 def anonymize(
     df: DataFrame,
     roles: Roles,
-    method: str,
+    method: str | Method,
     threshold: float,
     paths: DataFrame | None = None,
     height: int | None = None,
@@ -121,7 +165,8 @@ def anonymize(
     check: bool = True,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
-    """Release table of ``beta``, ``overlap`` or ``tclose`` anonymization."""
+    """Release table of ``beta``, ``overlap`` or ``tclose`` anonymization, or of a
+    :class:`Method` of the caller."""
     df = project_roles(df, roles)
     scaling = fit_scaling(df, roles.numeric_qis, required=roles.columns if check else ())
     if check:
@@ -145,7 +190,7 @@ def anonymize_mondrian(
 def threshold_sweep(
     df: DataFrame,
     sa: str,
-    method: str,
+    method: str | Method,
     start: float,
     stop: float,
     step: float,
@@ -164,8 +209,7 @@ def threshold_sweep(
     began = time.monotonic()
     plan = materialize(bucket_plan(df, sa, method, limits, paths, height), "buckets")
     planned = time.monotonic()
-    rule = "emd" if method == "tclose" else "likeness"
-    states = materialize(class_states(plan, rule), "states")
+    states = materialize(class_states(plan, find_method(method).rule), "states")
     ended = time.monotonic()
     buckets = bucket_sizes(plan).groupBy("threshold").agg(F.count(F.lit(1)).alias("buckets"))
     return buckets.join(count_classes(states), "threshold").select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import types as T
 
 from ..roles import Roles, project_roles
 
+#: Where a csv reader puts a line that it cannot take apart.
+_RECORD = "_record"
+
 
 def load_microdata(
     spark: SparkSession,
@@ -43,6 +47,68 @@ def load_microdata(
     return project_roles(raw, roles)
 
 
+class Load(NamedTuple):
+    """Rows that can be anonymized, and those that cannot with the reason."""
+
+    rows: DataFrame
+    rejects: DataFrame
+
+    def write_rejects(self, path: str, mode: str = "errorifexists") -> DataFrame:
+        """Write the rejected rows as they were read; a reader of the written rows."""
+        self.rejects.write.mode(mode).parquet(path)
+        return self.rejects.sparkSession.read.parquet(path)
+
+
+def load_with_rejects(
+    spark: SparkSession,
+    path: str,
+    roles: Roles,
+    fmt: str = "parquet",
+    columns: Sequence[str] | None = None,
+    sep: str = ",",
+) -> Load:
+    """:func:`load_microdata` that sets bad rows aside instead of stopping.
+
+    ``rejects`` has the fields as text, the whole ``record`` of a line with too
+    few or too many fields, and a ``reason``: ``wrong number of fields``, or the
+    first role column, in the order of the roles, that is ``missing``, ``not a
+    number`` or ``not finite``. Every row of the source is in one of the two. Empty
+    text fields are missing; an empty source gives two empty tables.
+    """
+    used = list(roles.columns)
+    record = F.lit(None).cast("string")
+    if fmt == "csv":
+        if columns is None:
+            raise ValueError("a csv file needs the column names in file order")
+        fields = ", ".join(f"`{c}` string" for c in [*columns, _RECORD])
+        # Without pruning: the fields of a line are counted whatever is asked for.
+        reader = spark.read.option("columnPruning", "false")
+        raw = reader.csv(path, schema=fields, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord=_RECORD)
+        record = F.col(_RECORD)
+    else:
+        raw = spark.read.format(fmt).load(path)
+    text = {c: F.col(c).cast("string") for c in raw.columns if c != _RECORD}
+    days = {f.name for f in raw.schema if isinstance(f.dataType, (T.DateType, T.TimestampType))}
+
+    reason = F.when(record.isNotNull(), F.lit("wrong number of fields"))
+    for c in used:
+        reason = reason.when(F.col(c).isNull(), F.lit(f"{c}: missing"))
+        if c in roles.numeric_qis and c not in days:
+            number = F.col(c).try_cast("double")
+            reason = reason.when(number.isNull(), F.lit(f"{c}: not a number"))
+            unbounded = F.isnan(number) | (F.abs(number) == F.lit(float("inf")))
+            reason = reason.when(unbounded, F.lit(f"{c}: not finite"))
+    told = raw.withColumn("__reason", reason)
+    good = told.where("__reason IS NULL").drop("__reason", _RECORD)
+    numbers = {c: F.col(c).try_cast("double") for c in roles.numeric_qis if c not in days}
+    rejects = told.where("__reason IS NOT NULL").select(
+        *[t.alias(c) for c, t in text.items() if c not in ("record", "reason")],
+        record.alias("record"),
+        F.col("__reason").alias("reason"),
+    )
+    return Load(project_roles(good.withColumns(numbers), roles), rejects)
+
+
 def load_descriptor(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """``(index, is_numeric, height)`` of every column of a text file."""
     raw = spark.read.csv(
@@ -76,5 +142,16 @@ def write_assigned(assigned: DataFrame, path: str, mode: str = "errorifexists"):
     assigned.write.mode(mode).parquet(path)
 
 
+def write_assigned_table(assigned: DataFrame, name: str, buckets: int, mode: str = "errorifexists") -> DataFrame:
+    """Keep the table of rows and classes as a table of the catalog, bucketed and
+    sorted by ``ec``: audits per class read it without a shuffle."""
+    assigned.write.mode(mode).bucketBy(buckets, "ec").sortBy("ec").format("parquet").saveAsTable(name)
+    return assigned.sparkSession.table(name)
+
+
+def drop_assigned_table(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def read_assigned(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

@@ -17,7 +17,7 @@ from cloakframe.operators import redistribute as redist
 from cloakframe.operators import stats, taxonomy
 from cloakframe.plans import anonymize as plans
 from cloakframe.roles import Roles, drop_sensitive, project_roles
-from cloakframe.runtime import scratch_path
+from cloakframe.runtime import materialize, scratch_path
 from cloakframe.sources import microdata
 
 from . import oracles as sql
@@ -112,6 +112,28 @@ def load_microdata(spark, d):
     return read.withColumn("c_custkey", lng("c_custkey"))
 
 
+@query(sql.with_(sql.CUST) + """SELECT CAST(pid AS VARCHAR) AS c_custkey, q1 AS c_acctbal, sa AS n_name,
+  CASE WHEN pid % 11 = 0 THEN 'wrong number of fields' WHEN pid % 7 = 0 THEN 'c_acctbal: not a number'
+    WHEN pid % 5 = 0 THEN 'c_acctbal: not finite' WHEN pid % 3 = 0 THEN 'n_name: missing' END AS reason
+FROM cust""")
+def load_with_rejects(spark, d):
+    """The customers as text with faults; good and rejected rows with the reason."""
+    path = scratch_path(spark, "faulty")
+    key, number = F.col("c_custkey"), F.col("c_acctbal").cast("string")
+    said = F.when(key % 7 == 0, F.concat(number, F.lit("?"))).when(key % 5 == 0, "Infinity").otherwise(number)
+    name = F.when(key % 3 == 0, "").otherwise(F.col("n_name"))
+    fields = F.concat_ws(",", key, said, "c_mktsegment", name)
+    line = F.when(key % 11 == 0, F.concat_ws(",", key, said)).otherwise(fields)
+    cust(spark, d).select(line.alias("value")).write.text(path)
+    names = ["c_custkey", "c_acctbal", "c_mktsegment", "n_name"]
+    load = microdata.load_with_rejects(spark, path, CUST, "csv", names)
+    told = load.rows.select(F.col("c_custkey").cast("string"), F.lit(None).cast("string").alias("reason")).unionByName(
+        load.rejects.select("c_custkey", "reason")
+    )
+    whole = cust(spark, d).select(F.col("c_custkey").cast("string"), "c_acctbal", "n_name")
+    return told.join(whole, "c_custkey").select("c_custkey", "c_acctbal", "n_name", "reason")
+
+
 @query(sql.with_(sql.CUST) + """
 SELECT i AS column_index, bool_and(TRY_CAST(v AS DOUBLE) IS NOT NULL) AS is_numeric,
        CASE WHEN bool_and(TRY_CAST(v AS DOUBLE) IS NOT NULL) THEN 0 ELSE max(h) END AS height
@@ -925,6 +947,16 @@ def emd_per_class(spark, d):
     return audit.emd_per_class(counts).withColumn("emd", r6("emd"))
 
 
+@query(sql.with_(*ORD_ASSIGNED) + "SELECT ec, count(*) AS size FROM assigned GROUP BY ec")
+def ec_sizes_bucketed(spark, d):
+    """Class sizes from an assigned table in buckets of ``ec``, without a shuffle."""
+    name = scratch_path(spark, "assigned").rsplit("/", 1)[1].replace("-", "_")
+    kept = microdata.write_assigned_table(ord_assigned(spark, d), name, 8)
+    sizes = materialize(stats.ec_sizes(kept), "sizes")
+    microdata.drop_assigned_table(spark, name)
+    return sizes.select("ec", lng("size").alias("size"))
+
+
 # ------------------------------------------------------------------ centres
 
 @query(sql.with_(*sql.beta_plan("ord", sql.ORD, [BETA_WIDE]), sql.tree("likeness"), sql.SEATS) + """
