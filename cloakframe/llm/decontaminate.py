@@ -8,7 +8,13 @@ document and the item are held side by side on that diagonal, and the stretch
 around the hit with the best balance of equal and unequal tokens is measured: it
 counts if it has ``min_tokens`` tokens of which ``min_share`` are equal. An item
 with fewer than ``min_tokens`` tokens must be matched from its first token to its
-last, with the same share; one shorter than the masks is looked up as a whole.
+last, with the same share; it has masks of its own length, that read some of the
+parts it is cut into (``masks_for``).
+
+No overlap with these settings is missed (``min_tokens`` 13, ``min_share`` 0.8). A
+stretch of 26 or more tokens with the share has a half with the share, and for 13
+to 25 tokens the tests try all places of the substitutions; so they do for shorter
+items. With a smaller share or fewer tokens, hits are no longer sure.
 
 Test items are taken in blocks of bounded size (``block_bytes`` of tokens), one
 pass over the documents per block; a block is what is broadcast. In a pass, a
@@ -26,6 +32,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +44,10 @@ from pyspark.sql import types as T
 from cloakframe.llm.common import slices
 
 #: Places that each mask reads (1: read, 0: ignored). Fixed values, searched so that 13
-#: tokens with any two substitutions still give a hit.
-MASKS = ("10101111", "1110110001", "101011101", "1010001111")
-#: Tokens of the longest mask.
-SPAN = 10
+#: to 25 tokens still give a hit with any fifth of them substituted.
+MASKS = ("10101111", "1110110001", "101011101", "1010001111", "1110001011")
+#: Tokens of an item from which on these masks are used.
+WHOLE_FROM = 13
 #: Tokens of test items in a block, as bytes of their 64-bit codes.
 BLOCK_BYTES = 2 << 20
 CACHE_WORDS = 300_000
@@ -126,8 +133,18 @@ class Block:
 
 
 def masks_for(n: int) -> tuple[str, ...]:
-    """The fixed masks, or for an item shorter than these a mask that reads all of it."""
-    return MASKS if n >= SPAN else ("1" * n,) if n else ()
+    """The fixed masks, or for a shorter item masks of its length.
+
+    A fifth of its tokens may differ: none below 5, one below 10, else two. Cut into
+    three (four) parts, at least two stay whole, and there is a mask for each two.
+    """
+    if n >= WHOLE_FROM:
+        return MASKS
+    parts = (1, 3, 4)[n // 5]
+    cuts = [n * i // parts for i in range(parts + 1)]
+    read = combinations(range(parts), min(2, parts))
+    spelled = ("".join("01"[i in two] * (cuts[i + 1] - cuts[i]) for i in range(parts)) for two in read)
+    return tuple(dict.fromkeys(spelled)) if n else ()
 
 
 def best_stretch(equal: np.ndarray, min_share: float) -> tuple[int, int, int]:

@@ -187,10 +187,10 @@ parts AS (SELECT *, lower(regexp_extract(u, '^[^:]*')) AS scheme,
       CASE x WHEN '.' THEN b WHEN '..' THEN regexp_replace(b, '/[^/]*$', '') ELSE b || '/' || x END), '/+$', '') AS path,
     list_sort(list_filter(string_split(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[^?#]*\?([^#]*)', 1), '&'),
       lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS args FROM spelled),
-rec AS (SELECT *, CASE WHEN NOT regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?[^/?#@]') THEN url ELSE
-    regexp_replace(CASE WHEN (scheme = 'http' AND host LIKE '%:80') OR (scheme = 'https' AND host LIKE '%:443')
-      THEN regexp_replace(host, ':[0-9]+$', '') ELSE host END, '^www\.', '') || path
-    || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END END AS url_key FROM parts),
+named AS (SELECT *, regexp_replace(CASE WHEN (scheme = 'http' AND host LIKE '%:80') OR (scheme = 'https' AND host LIKE '%:443')
+      THEN regexp_replace(host, ':[0-9]+$', '') ELSE host END, '^www\.', '') AS bare FROM parts),
+rec AS (SELECT *, CASE WHEN bare = '' THEN url ELSE
+    bare || path || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END END AS url_key FROM named),
 res AS (SELECT * FROM rec WHERE kind = 'response'),
 near AS (SELECT v.*, r.record_id AS rid, r.etag AS retag, r.last_modified AS rday, r.ts AS rts, r.n AS rn
   FROM (SELECT * FROM rec WHERE kind = 'revisit') v ASOF LEFT JOIN res r ON v.url_key = r.url_key AND v.ts > r.ts),

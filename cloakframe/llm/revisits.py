@@ -30,8 +30,6 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "va
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 
 
-#: A URL with a scheme and a host.
-WITH_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#@]"
 UNRESERVED = string.ascii_letters + string.digits + "-._~"
 
 
@@ -75,7 +73,7 @@ def canonical_url(url: str) -> Column:
     kept = F.array_sort(F.filter(query, lambda p: (p != "") & ~p.rlike(TRACKING)))
     args = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
     named = F.concat(host, F.regexp_replace(path, "/+$", ""), args)
-    return F.when(u.rlike(WITH_HOST), named).otherwise(F.col(url))
+    return F.when(host != "", named).otherwise(F.col(url))
 
 
 def _name(header: Column) -> Column:
