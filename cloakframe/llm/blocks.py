@@ -18,16 +18,21 @@ BLOCK = "_block"
 ROW = "_row"
 
 
-def ordered_blocks(df: DataFrame, group: list[str], order: list[str], label: str) -> DataFrame:
+def ordered_blocks(
+    df: DataFrame, group: list[str], order: list[str], label: str, arranged: bool = False
+) -> DataFrame:
     """``df`` written in ranges of (group, order), with ``_block`` and ``_row``.
 
     ``_row`` tells rows apart and breaks ties of ``order``: equal rows are ranked
-    among each other in any, but a lasting, order.
+    among each other in any, but a lasting, order. With ``arranged`` a block is
+    sorted: ``_row`` is the order, and rows of a group have consecutive numbers.
     """
     n = workers(df)
     # Rows that are equal in all columns are spread by their place in the input.
     spread = F.xxhash64(F.monotonically_increasing_id())
     ranged = df.withColumn("_tie", spread).repartitionByRange(n, *group, *order, "_tie").drop("_tie")
+    if arranged:
+        ranged = ranged.sortWithinPartitions(*group, *order)
     placed = ranged.withColumn(BLOCK, F.spark_partition_id()).withColumn(ROW, F.monotonically_increasing_id())
     return materialize(placed, label)
 

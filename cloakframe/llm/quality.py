@@ -32,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.llm.common import drop_path, materialize, slices
+from cloakframe.llm.common import materialize, slices
+from cloakframe.runtime import discard
 
 BITS = 18
 #: Pieces of words that a worker remembers; beyond it starts afresh.
@@ -160,7 +161,7 @@ def fit(
             break
         state = np.frombuffer(made[0]["state"]).reshape(2, size).copy()
         del made
-    drop_path(table)
+    discard(table)
     return _weights(state[0], state[1], rate, smooth, l1, l2)
 
 
@@ -189,7 +190,9 @@ def training_rows(
         .select("doc_id", "y", F.xxhash64("doc_id").alias("at"))
     )
     share = min(1.0, max_rows / max(1, known.count()))
-    kept = known.where(F.pmod("at", F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    # 40 bits of the hash: a share of very many labels still keeps some.
+    place = F.pmod("at", F.lit(1 << 20)) * (1 << 20) + F.pmod(F.shiftright("at", 20), F.lit(1 << 20))
+    kept = known.where(place < F.lit(int(share * (1 << 40))))
     return (
         docs.select("doc_id", "text")
         .join(F.broadcast(kept), "doc_id")
