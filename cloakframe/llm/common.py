@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.runtime import materialize, scratch_path
+from cloakframe.runtime import materialize, materialize_bucketed
 
-__all__ = ["distinct_texts", "drop_path", "materialize", "pieces", "slices", "text_key", "whole", "workers"]
+__all__ = ["distinct_texts", "materialize", "pieces", "slices", "text_key", "whole", "workers"]
 
 
 def whole(text: str | Column) -> Column:
@@ -30,10 +30,7 @@ def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     rows = docs.select(text_key(text_col).alias("key"), whole(text_col).alias("text"))
     made = rows.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    path = scratch_path(docs.sparkSession, "texts")
-    name = f"texts_{path.rsplit('-', 1)[1]}"
-    made.write.bucketBy(workers(docs), "key").option("path", path).format("parquet").saveAsTable(name)
-    return docs.sparkSession.table(name)
+    return materialize_bucketed(made, "texts", workers(docs), "key")
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -58,12 +55,3 @@ def pieces(rows: Iterable[dict], schema: pa.Schema, size: int = 20_000) -> Itera
 def workers(df: DataFrame) -> int:
     """Partitions for a shuffle of a whole table: as the session says."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def drop_path(df: DataFrame) -> None:
-    """Remove the files of a written intermediate table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)

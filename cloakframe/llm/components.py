@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import drop_path, materialize
+from cloakframe.llm.common import materialize
+from cloakframe.runtime import discard
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -55,7 +56,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         half = materialize(_star(now, large=True), "edges")
         new = materialize(_star(half, large=False), "edges")
-        drop_path(now)
+        discard(now, half)
         now, before, mark = new, mark, _mark(new)
         if mark == before:
             roots = now.select(F.col("v").alias("node")).distinct()

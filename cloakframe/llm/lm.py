@@ -41,7 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.llm.common import materialize, scratch_path, slices, workers
+from cloakframe.llm.common import materialize, slices, workers
+from cloakframe.runtime import materialize_bucketed
 
 ORDER = 5
 #: Bytes of text in a chunk, and of those looked at at a time.
@@ -83,10 +84,7 @@ def chunked(docs: DataFrame, text_col: str, keep: list[str], target: str, chunk_
                 chunk, held = chunk + 1, 0
 
     made = kept.mapInArrow(number, T.StructType([*kept.schema, T.StructField("_chunk", T.LongType())]))
-    path = scratch_path(docs.sparkSession, "chunks")
-    name = f"chunks_{path.rsplit('-', 1)[1]}"
-    made.write.bucketBy(workers(docs), "_chunk").option("path", path).format("parquet").saveAsTable(name)
-    return docs.sparkSession.table(name)
+    return materialize_bucketed(made, "chunks", workers(docs), "_chunk")
 
 
 def _steps(texts: list[bytes]) -> Iterator[slice]:

@@ -48,12 +48,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import distinct_texts, drop_path, materialize, slices
+from cloakframe.llm.common import distinct_texts, materialize, slices, workers
+from cloakframe.runtime import discard
 
 #: Units of a window's first digit.
 GRAMS = {"bytes": 32, "words": 6}
 #: Windows of a text that are hashed at a time.
 BLOCK = 1 << 20
+#: Lists of a run's occurrences, at least, and runs of all texts for each list.
+CHUNKS, CHUNK_RUNS = 512, 1_000_000
 #: Windows of an open run that are compared at once.
 STRIDE = 12
 _WORD = re.compile(rb"\S+")
@@ -230,11 +233,19 @@ def repeated_spans(texts: DataFrame, length: int, units: str) -> DataFrame:
     # Pass 1: most grams occur once.
     every = materialize(made, "runs")
     twice = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    shared = materialize(every.join(materialize(twice, "grams"), "gram"), "shared-runs")
-    drop_path(every)
+    grams = materialize(twice, "grams")
+    # Occurrences of equal runs are kept in lists, dealt by their hash: a passage that
+    # very many texts hold is a few rows of bounded length in the joins to come.
+    chunks = max(CHUNKS, every.count() // CHUNK_RUNS)
+    chunk = F.pmod(F.xxhash64("key", "at"), F.lit(chunks))
+    place = F.struct("key", "at")
+    shared = every.join(grams, "gram").groupBy("gram", *_RUN_KEY, chunk.alias("chunk"))
+    shared = shared.agg(F.collect_list(place).alias("held"), F.min(place).alias("one"), *ends)
+    shared = materialize(shared.withColumn("n", F.size("held")), "shared-runs")
+    discard(every, grams)
 
     # Pass 2: whole runs.
-    counted = shared.groupBy("gram", *_RUN_KEY).agg(F.count(F.lit(1)).alias("copies"), *ends)
+    counted = shared.groupBy("gram", *_RUN_KEY).agg(F.sum("n").alias("copies"), *ends)
     counted = materialize(counted, "run-kinds")
     settled = counted.where("copies > 1").select(*_RUN_KEY, "low", "high")
     open_kinds = materialize(
@@ -242,7 +253,7 @@ def repeated_spans(texts: DataFrame, length: int, units: str) -> DataFrame:
         "open-kinds",
     )
     # A run with copies takes part with one of them, whichever text it is in.
-    first = F.min(F.struct("key", "at")).alias("one")
+    first = F.min("one").alias("one")
     placed = shared.join(open_kinds, _RUN_KEY).groupBy("run_id").agg(first, F.first("copies").alias("copies"), *ends)
     open_runs = materialize(placed.select("run_id", "copies", "low", "high", "one.*"), "open-runs")
 
@@ -278,11 +289,15 @@ def repeated_spans(texts: DataFrame, length: int, units: str) -> DataFrame:
         .select(*_RUN_KEY, "low", "high")
     )
     covered = materialize(settled.union(from_blocks), "covered-runs")
-    spans = shared.select("key", "at", *_RUN_KEY).join(covered, _RUN_KEY).select(
-        "key",
+    discard(counted, open_kinds, open_runs, blocks, block_kinds, windows)
+    # Few rows of long lists: dealt anew before they are spelled out.
+    lists = shared.select("chunk", "held", *_RUN_KEY).join(covered, _RUN_KEY)
+    lists = lists.repartition(workers(texts), "chunk", *_RUN_KEY)
+    spans = lists.select(F.explode("held").alias("o"), "low", "high").select(
+        F.col("o.key").alias("key"),
         F.struct(
-            (F.col("at") + F.col("low")).alias("start"),
-            (F.col("at") + F.col("high") + length).alias("end"),
+            (F.col("o.at") + F.col("low")).alias("start"),
+            (F.col("o.at") + F.col("high") + length).alias("end"),
         ).alias("span"),
     )
     return spans.groupBy("key").agg(F.collect_list("span").alias("spans"))

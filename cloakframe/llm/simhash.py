@@ -23,14 +23,16 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.llm.common import distinct_texts, drop_path, materialize, slices, text_key
+from cloakframe.llm.common import distinct_texts, materialize, slices, text_key
 from cloakframe.llm.components import components
+from cloakframe.runtime import discard
 
 SEED = 42
 _digest = partial(xxhash.xxh64_digest, seed=SEED)
@@ -108,8 +110,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Texts of which about one in so many is counted, to tell common shingles from rare ones.
 COUNTED_ONE_IN = 16
-#: Shingles that may be told as common, and the counted texts that make one common.
-COMMON, COMMON_FROM = 65_536, 3
+#: Counted texts that make a shingle common; cells per common shingle of the table that
+#: tells them, as bits, and the most bits it has (64 MiB).
+COMMON_FROM, SPARE_BITS, TABLE_BITS = 3, 3, 26
+#: Cells of the table that one row brings to the driver.
+BLOCK_BITS = 16
 
 
 def shingle_set(text: str, width: int) -> frozenset[int]:
@@ -131,33 +136,54 @@ def _counted_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(_signed(shingle_set(text, width)))], ["shingle"])
 
 
-def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of several of the counted texts, ascending, and their counts.
+def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """How common shingles are, by the leading bits of their hash: the bits of the
+    largest count among the counted texts' shingles of a cell, 0 for rare ones.
 
     They only set the order in which a text's shingles are looked at (see
-    ``near_copy_classes``); any order gives the same classes.
+    ``near_copy_classes``); any order gives the same classes, so it does no harm if a
+    rare shingle shares the cell of a common one. The table has a bounded size,
+    whatever the number of common shingles, and is filled in the tasks, in blocks.
     """
     some = texts.where(F.pmod(F.xxhash64("key"), F.lit(COUNTED_ONE_IN)) == 0).select("text")
     rows = some.mapInArrow(lambda batches: _counted_rows(batches, width), "shingle long")
     counts = rows.groupBy("shingle").count().where(F.col("count") >= COMMON_FROM)
-    found = counts.orderBy(F.col("count").desc(), "shingle").limit(COMMON).toArrow()
-    shingles, times = (found.column(i).to_numpy() for i in (0, 1))
-    order = np.argsort(shingles)
-    return shingles[order], times[order]
+    counts = materialize(counts, "common-shingles")
+    many = counts.count()
+    if not many:
+        return np.zeros(0, np.uint8)
+    bits = min(TABLE_BITS, max(BLOCK_BITS, many.bit_length() + SPARE_BITS))
+    cell = F.shiftrightunsigned("shingle", 64 - bits)
+    cells = counts.select(
+        F.shiftright(cell, BLOCK_BITS).cast("int").alias("block"),
+        cell.bitwiseAND((1 << BLOCK_BITS) - 1).cast("int").alias("place"),
+        F.length(F.bin("count")).alias("level"),
+    )
+
+    def fill(group: pd.DataFrame) -> pd.DataFrame:
+        levels = np.zeros(1 << BLOCK_BITS, np.uint8)
+        np.maximum.at(levels, group["place"].to_numpy(), group["level"].to_numpy().astype(np.uint8))
+        return pd.DataFrame({"block": group["block"].iloc[:1], "levels": [levels.tobytes()]})
+
+    cells = cells.groupBy("block", "place").agg(F.max("level").alias("level"))
+    table = np.zeros(1 << bits, np.uint8)
+    for block, levels in cells.groupBy("block").applyInPandas(fill, "block int, levels binary").toLocalIterator():
+        table[block << BLOCK_BITS : (block + 1) << BLOCK_BITS] = np.frombuffer(levels, np.uint8)
+    discard(counts)
+    return table
 
 
-def rarest_first(text: str, width: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The text's shingles in one order for all texts: by count, then by value."""
+def rarest_first(text: str, width: int, common: np.ndarray) -> np.ndarray:
+    """The text's shingles in one order for all texts: by how common, then by value."""
     own = np.sort(_signed(shingle_set(text, width)))
-    shingles, times = common
-    if not len(shingles):
+    if not len(common):
         return own
-    at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
-    return own[np.argsort(np.where(shingles[at] == own, times[at], 0), kind="stable")]
+    cells = own.view(np.uint64) >> np.uint64(65 - len(common).bit_length())
+    return own[np.argsort(common[cells], kind="stable")]
 
 
 def _prefix_rows(
-    batches: Iterator[pa.RecordBatch], width: int, least: float, common: tuple[np.ndarray, np.ndarray]
+    batches: Iterator[pa.RecordBatch], width: int, least: float, common: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, 64):
         keys, shingles, sizes, rests = [], [], [], []
@@ -204,7 +230,7 @@ def _alike(tried: DataFrame, texts: DataFrame, width: int, least: float) -> Data
     both = tried.join(left, "u").join(right, "v").select("u", "v", "left", "right").sortWithinPartitions("v")
     links = both.mapInArrow(lambda batches: _verify(batches, width, least), "u binary, v binary")
     links = materialize(links, "near-copies")
-    drop_path(some)
+    discard(some)
     return links
 
 
@@ -239,16 +265,16 @@ def near_copy_classes(texts: DataFrame, width: int = 5, min_similarity: float =
     large group of near copies costs a link per text; pairs are listed one by one
     only where they share a rare shingle and are in different classes so far.
     """
-    common = common_shingles(texts, width)
+    shared_levels = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
     least = min_similarity
     heads = texts.select("key", "text").mapInArrow(
-        lambda batches: _prefix_rows(batches, width, least, common),
+        lambda batches: _prefix_rows(batches, width, least, shared_levels.value),
         "key binary, shingle long, size int, rest int",
     )
     heads = materialize(heads, "prefixes")
     shared = heads.groupBy("shingle").count().where("count > 1").select("shingle")
     shared = materialize(heads.join(materialize(shared, "shared-shingles"), "shingle"), "shared-prefixes")
-    drop_path(heads)
+    discard(heads)
 
     # the centre of a shingle's star; min, as the one with most left is first
     centre = F.min(F.struct((F.col("size") - F.col("rest")).alias("at"), "key", "size", "rest")).alias("c")
@@ -286,7 +312,7 @@ def near_copy_classes(texts: DataFrame, width: int = 5, min_similarity: float =
     rest = materialize(_pairs(both).join(tried, ["u", "v"], "left_anti"), "remaining-pairs")
     links = links.union(_alike(rest, texts, width, least))
     for done in (shared, centres, tried, placed, parts, between, rest):
-        drop_path(done)
+        discard(done)
     return components(links).select(F.col("node").alias("key"), "root")
 
 
@@ -306,6 +332,7 @@ def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     texts = distinct_texts(rows, text_col)
     classes = materialize(near_copy_classes(texts, **near), "copy-classes")
+    discard(texts)
     placed = rows.select("_key", "_row", F.col(id_col).alias("_id")).join(
         classes.withColumnRenamed("key", "_key"), "_key", "left"
     )
