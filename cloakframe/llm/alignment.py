@@ -7,9 +7,10 @@ both dictionaries hold, in order, cut both id lists into *groups*, and the token
 A and B that end at such a key are *linked*. Links are counted for each id pair over
 all documents.
 
-Neither vocabulary joins a space to what stands before it. A text is therefore cut
-before every space between two characters that are not white space: there both have
-an end, and each part has the ids and groups it has in the text. Distinct parts are
+Neither vocabulary joins a space or a line end to what stands before it. A text is
+therefore cut before every space or line end that stands alone between two
+characters that are not white space: there both have an end, and each part has the
+ids and groups it has in the text. Distinct parts are
 aligned once, and a document is their concatenation. Texts of any length take the
 memory of their ids.
 
@@ -28,12 +29,15 @@ give way to it; their names may not start with an underscore.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,15 +48,11 @@ from cloakframe.runtime import small_side
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Parts up to so many characters are remembered, and so many of them at a time.
-SHORT, REMEMBERED = 40, 150_000
+SHORT, REMEMBERED = 40, 250_000
 #: Bits of an id of B in a pair.
 ID_BITS = 32
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-
-#: ids of A, of B, and (ids of A, ids of B) of each group
-Aligned = tuple[int, int, list[tuple[list[int], list[int]]]]
-
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 def byte_alphabet() -> dict[str, int]:
     """Byte of each character by which byte-level vocabularies write it: printable
@@ -63,7 +63,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def load_a(name: str = TOKENIZER_A):
-    """Tokenizer, and the bytes of each id."""
+    """Tokenizer, the bytes of each id, and their number."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -73,11 +73,11 @@ def load_a(name: str = TOKENIZER_A):
     spelled: list[bytes] = [b""] * made.get_vocab_size()
     for token, i in made.get_vocab(with_added_tokens=False).items():
         spelled[i] = bytes(alphabet[c] for c in token)
-    return made, spelled
+    return made, spelled, np.array(list(map(len, spelled)))
 
 
 def load_b(name: str = TOKENIZER_B):
-    """Tokenizer, and the bytes of each id."""
+    """Tokenizer, the bytes of each id, and their number."""
     import public_tokenizers
     import sentencepiece
 
@@ -86,90 +86,120 @@ def load_b(name: str = TOKENIZER_B):
     for i in range(made.vocab_size()):
         piece = made.id_to_piece(i)
         spelled.append(bytes([int(piece[3:-1], 16)]) if made.is_byte(i) else piece.replace("▁", " ").encode())
-    return made, spelled
+    return made, spelled, np.array(list(map(len, spelled)))
 
 
 def cut(text: str) -> list[str]:
-    """Parts of the text, without the space that stands before each."""
-    return _CUT.split(text)
-
-
-def groups_of(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Both id lists cut at the byte offsets where tokens of both end."""
-    ends_a = {end: i for i, end in enumerate(accumulate(size_a), 1)}
-    ends_b = {end: i for i, end in enumerate(accumulate(size_b), 1)}
-    out, i, j = [], 0, 0
-    for end in sorted(ends_a.keys() & ends_b.keys()):
-        out.append((a[i : ends_a[end]], b[j : ends_b[end]]))
-        i, j = ends_a[end], ends_b[end]
-    return out
-
-
-def align(parts: list[str], a_side: tuple, b_side: tuple) -> list[Aligned | None]:
-    """The alignment of each part with a space before it; None where bytes differ."""
-    (made_a, bytes_a), (made_b, bytes_b) = a_side, b_side
-    out: list[Aligned | None] = []
-    coded_b = made_b.encode(parts, num_threads=1)
-    for part, b in zip(parts, coded_b):
-        whole = b" " + part.encode()
-        a = made_a.encode(f" {part}", add_special_tokens=False).ids
-        said_a, said_b = [bytes_a[i] for i in a], [bytes_b[i] for i in b]
-        if b"".join(said_a) != whole or b"".join(said_b) != whole:
-            out.append(None)
-            continue
-        out.append((len(a), len(b), groups_of(a, b, list(map(len, said_a)), list(map(len, said_b)))))
-    return out
-
-
-def rendered(groups: list[tuple[list[int], list[int]]]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group in order."""
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+    """Parts of a space and the text; each begins with the space or line end that
+    stands before it."""
+    return _CUT.split(f" {text}")
+
+
+class Alignment:
+    """Groups of the tokens of parts, one part after the other.
+
+    ``a`` and ``b`` hold the ids; a part has ``n_a`` and ``n_b`` of them, none if their
+    bytes are not its own. Its groups end at the places ``cut_a`` in ``a`` and ``cut_b`` in
+    ``b``, and are those from ``first`` of the part to that of the next one.
+    """
+
+    def __init__(self, parts: list[str], a_side: tuple, b_side: tuple):
+        (made_a, bytes_a, size_a), (made_b, bytes_b, size_b) = a_side, b_side
+        coded_a = [e.ids for e in made_a.encode_batch(parts, add_special_tokens=False)]
+        # B sets a space before a text: it stands for that of a part, or goes again.
+        coded_b = made_b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
+        coded_b = [b if p[0] == " " else b[1:] for p, b in zip(parts, coded_b)]
+        said_a, said_b = ([b"".join([spelled[i] for i in ids]) for ids in coded] for spelled, coded in ((bytes_a, coded_a), (bytes_b, coded_b)))
+        self.sound = [p.encode() == x == y for p, x, y in zip(parts, said_a, said_b)]
+        coded_a, coded_b = ([ids if ok else [] for ids, ok in zip(coded, self.sound)] for coded in (coded_a, coded_b))
+        self.n_a, self.n_b = list(map(len, coded_a)), list(map(len, coded_b))
+        self.a, self.b = list(chain.from_iterable(coded_a)), list(chain.from_iterable(coded_b))
+        ends_a, ends_b = np.cumsum(size_a[np.array(self.a, int)]), np.cumsum(size_b[np.array(self.b, int)])
+        # The dictionary from end to index of A, asked for the ends of B. Parts end
+        # at common ends, so what stands before a part shifts both alike.
+        at = pd.Index(ends_a).get_indexer(ends_b)
+        common = np.flatnonzero(at >= 0)
+        self.cut_a, self.cut_b = (at[common] + 1).tolist(), (common + 1).tolist()
+        upto = np.searchsorted(at[common] + 1, np.cumsum(self.n_a), "right")
+        self.first = [0, *upto.tolist()]
+
+    def groups(self, part: int) -> list[tuple[list[int], list[int]]]:
+        """(ids of A, ids of B) of each group of a part."""
+        i, k = (c[self.first[part] - 1] if self.first[part] else 0 for c in (self.cut_a, self.cut_b))
+        out = []
+        for g in range(self.first[part], self.first[part + 1]):
+            out.append((self.a[i : self.cut_a[g]], self.b[k : self.cut_b[g]]))
+            i, k = self.cut_a[g], self.cut_b[g]
+        return out
+
+    def rendered(self) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of each part: the ids of each group in order."""
+        sides = []
+        for ids, cuts in ((self.a, self.cut_a), (self.b, self.cut_b)):
+            said = [str(i) for i in ids]
+            sides.append([said[i] if j - i == 1 else ",".join(said[i:j]) for i, j in zip([0, *cuts], cuts)])
+        each = [f"{x}|{y}" for x, y in zip(*sides)]
+        return [";".join(each[i:j]) for i, j in zip(self.first, self.first[1:])]
+
+    def links(self) -> list[list[int]]:
+        """The linked pairs of each part: a link for each group, between its last ids."""
+        pairs = [self.a[i - 1] << ID_BITS | self.b[j - 1] for i, j in zip(self.cut_a, self.cut_b)]
+        return [pairs[i:j] for i, j in zip(self.first, self.first[1:])]
 
 
 class _Known:
-    """Digests of parts: (tokens of A, of B, text of the groups, linked pairs)."""
+    """What is needed of parts: (tokens of A, of B, text of the groups, linked pairs)."""
 
     def __init__(self, name_a: str, name_b: str):
         self.sides = (load_a(name_a), load_b(name_b))
         self.short: dict[str, tuple | None] = {}
 
-    def look_up(self, parts: list[str]) -> list[tuple | None]:
-        here = self.short
-        fresh = list({p for p in parts if p not in here})
-        if fresh:
-            if len(here) > REMEMBERED:
-                here.clear()
-                fresh = list(set(parts))
-            said: dict[str, tuple | None] = {}
-            for part, found in zip(fresh, align(fresh, *self.sides)):
-                if found is not None:
-                    n_a, n_b, groups = found
-                    pairs = np.array([a[-1] << ID_BITS | b[-1] for a, b in groups], np.int64)
-                    found = (n_a, n_b, rendered(groups), pairs)
-                said[part] = found
-                if len(part) <= SHORT:
-                    here[part] = found
-            return [said[p] if p in said else here[p] for p in parts]
-        return [here[p] for p in parts]
-
-
-def _digest(parts: list[tuple | None]) -> tuple | None:
+    def look_up(self, kinds: set[str]) -> dict[str, tuple | None]:
+        said = {p: found for p in kinds & self.short.keys() for found in (self.short[p],)}
+        fresh = list(kinds - said.keys())
+        if not fresh:
+            return said
+        made = Alignment(fresh, *self.sides)
+        digests = zip(made.n_a, made.n_b, made.rendered(), made.links())
+        for part, found, sound in zip(fresh, digests, made.sound):
+            said[part] = found if sound else None
+            if len(part) <= SHORT:
+                self.short[part] = said[part]
+        while len(self.short) > REMEMBERED:  # the oldest go
+            del self.short[next(iter(self.short))]
+        return said
+
+
+def _digest(parts: list[str], said: dict[str, tuple | None]) -> tuple | None:
     """(n_a, n_b, n_links, digest, distinct pairs, their numbers) of a document."""
-    if any(p is None for p in parts):
+    kinds = Counter(parts)
+    found = [said[p] for p in kinds]
+    if None in found:
         return None
-    pairs = np.concatenate([p[3] for p in parts])
-    kinds, times = np.unique(pairs, return_counts=True)
-    line = ";".join(p[2] for p in parts)
+    times = list(kinds.values())
+    pairs = np.array(list(chain.from_iterable([f[3] for f in found])), np.int64)
+    each = np.repeat(times, [len(f[3]) for f in found])
+    order = np.argsort(pairs, kind="stable")
+    pairs = pairs[order]
+    starts = np.flatnonzero(np.diff(pairs, prepend=-1))
+    line = ";".join([said[p][2] for p in parts])
     return (
-        sum(p[0] for p in parts),
-        sum(p[1] for p in parts),
-        len(pairs),
+        sum([f[0] * n for f, n in zip(found, times)]),
+        sum([f[1] * n for f, n in zip(found, times)]),
+        int(each.sum()),
         hashlib.sha256(line.encode()).hexdigest(),
-        kinds,
-        times,
+        pairs[starts],
+        np.add.reduceat(each[order], starts),
     )
 
 
+def digests(texts: list[str | None], known: _Known) -> list[tuple | None]:
+    """The digest of each text; parts of all of them are aligned in one go."""
+    cuts = [cut(t) if t else [] for t in texts]
+    said = known.look_up(set(chain.from_iterable(cuts)))
+    return [_digest(parts, said) if parts else None for parts in cuts]
+
+
 def _aligned_rows(docs: DataFrame, text_col: str, keep: list[str], name_a: str, name_b: str) -> DataFrame:
     rows = docs.select(F.col(text_col).alias("_text"), *keep).withColumn("_row", F.monotonically_increasing_id())
     kept = [*keep, "_row"]
@@ -181,13 +211,16 @@ def _aligned_rows(docs: DataFrame, text_col: str, keep: list[str], name_a: str,
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(name_a, name_b)
-        for batch in slices(batches, 64):
-            found = []
-            for text in batch.column(0):
-                text = text.as_py()
-                found.append((_digest(known.look_up(cut(text))) if text else None) or nothing)
-            columns = [pa.array(list(c), t) for c, (_, t) in zip(zip(*found), made)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*kept, *(n for n, _ in made)])
+        collects = gc.isenabled()
+        gc.disable()  # many small objects without a cycle among them
+        try:
+            for batch in slices(batches, 64):
+                found = [d or nothing for d in digests(batch.column(0).to_pylist(), known)]
+                columns = [pa.array(list(c), t) for c, (_, t) in zip(zip(*found), made)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*kept, *(n for n, _ in made)])
+        finally:
+            if collects:
+                gc.enable()
 
     long = T.LongType()
     kinds = [long, long, long, T.StringType(), T.ArrayType(long), T.ArrayType(long)]

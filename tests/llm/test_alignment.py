@@ -17,7 +17,7 @@ from cloakframe.llm import alignment
 TEXTS = [
     None, "", " ", "  ", "a", " a", "a ", "\n", "a\n\nb  c\td", "<|endoftext|> a <|endoftext|>", "</s><s> <unk> <0x0A>",
     "has ▁ a mark", "▁", "naïve café — ‘quoted’ 北京大学 🙂🙂 ﬁ", "it's we'll 12345 67,8", "x\x00y z", "a\x1cb c\x85d e\u3000f g", "e\u0301 \u0301 x",
-    "word " * 400, "w" * 3000, "a b\r\n c d\r\n", "  lead and trail  ", " \n x", "don 't", "\u200b \u200b",
+    "word " * 400, "w" * 3000, "a b\r\n c d\r\n", "  lead and trail  ", " \n x", "don 't", "\u200b \u200b", "a\nb\nc d\n\ne", "\nx\ny ", "x\n y \nz", "end.\nStart\r\nof",
 ]
 
 
@@ -90,7 +90,16 @@ def test_pairs_beyond_a_broadcast(spark, monkeypatch):
 
 def test_no_piece_joins_a_space_to_what_stands_before():
     for side in (alignment.load_a()[1], alignment.load_b()[1]):
-        assert not [t for t in side if re.search(r"\S ", t.decode(errors="replace"))]
+        assert not [t for t in side if re.search(r"\S[ \n]", t.decode(errors="replace"))]
+
+
+def test_groups_of_parts():
+    made = alignment.Alignment([" don't", "\n北京", " ▁", " naïve"], alignment.load_a(), alignment.load_b())
+    assert made.sound == [True, True, False, True] and made.groups(2) == []
+    for part, text in enumerate(made.rendered()):
+        said = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in made.groups(part))
+        assert said == text and [a[-1] << 32 | b[-1] for a, b in made.groups(part)] == made.links()[part]
+    assert alignment.Alignment([" ▁"], alignment.load_a(), alignment.load_b()).rendered() == [""]
 
 
 def test_empty(spark):
