@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import discard, materialize
 from .centers import nearest_center
 
 ROOT = "*"
@@ -33,35 +33,47 @@ def taxonomy_from_columns(df: DataFrame, columns: Sequence[str], top: str = "ALL
 def ancestor_paths(edges: DataFrame, height: int | None = None) -> DataFrame:
     """``(node, path)``: the node, its parent, ... up to the root.
 
-    ``height`` is the number of steps from a leaf to the node below the root;
-    without it the walk goes on until every path has ended, and a node that is
-    its own ancestor is an error. A path whose next parent is missing ends in null. The result is written, so that later
+    ``height`` is the number of steps from a leaf to the node below the root.
+    Without it paths are doubled until every one has ended: each is continued by the
+    path of its last node, so a tree of any height takes the logarithm of it in
+    rounds, each written; a node that is its own ancestor is an error. A path whose
+    next parent is missing ends in null. The result is written, so that later
     joins know its true size.
     """
+    if height is None:
+        return _doubled_paths(edges)
     parents = edges.select(F.col("child").alias("__child"), F.col("parent").alias("__parent"))
     paths = edges.select(F.col("child").alias("node"), F.array("child").alias("path"))
     ended = F.col("__tail").isNull() | (F.col("__tail") == ROOT)
-    steps = 0
-    while height is None or steps <= height:
+    for _ in range(height + 1):
         paths = paths.withColumn("__tail", F.element_at("path", -1))
-        if height is None:
-            if paths.where(~ended).isEmpty():
-                paths = paths.drop("__tail")
-                break
-            before = F.slice("path", 1, F.size("path") - 1)
-            looped = paths.where(~ended & F.array_contains(before, F.col("__tail")))
-            if met := looped.limit(1).collect():
-                raise ValueError(f"the taxonomy has a cycle at {met[0]['__tail']!r}")
         paths = paths.join(parents, (F.col("__tail") == F.col("__child")) & ~ended, "left").select(
             "node",
             F.when(ended, F.col("path"))
             .otherwise(F.concat("path", F.array("__parent")))
             .alias("path"),
         )
-        steps += 1
     return materialize(paths, "taxonomy")
 
 
+def _doubled_paths(edges: DataFrame) -> DataFrame:
+    tail = F.element_at("path", -1)
+    ended = tail.isNull() | (tail == ROOT)
+    first = F.when(F.col("child") == ROOT, F.array("child")).otherwise(F.array("child", "parent"))
+    paths = materialize(edges.select(F.col("child").alias("node"), first.alias("path")), "taxonomy")
+    nodes = paths.count()
+    while met := paths.where(~ended).agg(F.max(F.struct(F.size("path").alias("n"), tail.alias("tail"))).alias("at")).first()["at"]:
+        if met["n"] > nodes + 1:  # longer than any path without a repeated node
+            raise ValueError(f"the taxonomy has a cycle at {met['tail']!r}")
+        further = paths.select(F.col("node").alias("__node"), F.col("path").alias("__path"))
+        rest = F.coalesce(F.slice("__path", 2, F.size("__path")), F.array(F.lit(None).cast("string")))
+        longer = F.when(ended, F.col("path")).otherwise(F.concat("path", rest))
+        joined = paths.join(further, (tail == F.col("__node")) & ~ended, "left").select("node", longer.alias("path"))
+        before, paths = paths, materialize(joined, "taxonomy")
+        discard(before)
+    return paths
+
+
 def taxonomy_closure(paths: DataFrame) -> DataFrame:
     """All ``(node, ancestor, height)``; height 0 is the node itself."""
     return paths.select("node", F.posexplode("path").alias("height", "ancestor")).select(
@@ -143,9 +155,13 @@ def generalize_to_level(
 
 
 def _steps_to_common(left: Column, right: Column) -> Column:
-    """Steps until two paths meet, climbing both sides in lock-step."""
-    same = F.zip_with(left, right, lambda a, b: F.coalesce(a == b, F.lit(False)))
-    return (F.array_position(same, True) - F.lit(1)).cast("double")
+    """Steps until two paths meet: the deeper side climbs alone until both are equally
+    far from the root, then both climb in lock-step."""
+    both = F.least(F.size(left), F.size(right))
+    ahead = F.greatest(F.size(left), F.size(right)) - both
+    aligned = [F.slice(p, F.size(p) - both + 1, both) for p in (left, right)]
+    same = F.zip_with(*aligned, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    return (ahead + F.array_position(same, True) - F.lit(1)).cast("double")
 
 
 def _with_path(df: DataFrame, column: str, paths: DataFrame, name: str) -> DataFrame:
@@ -162,7 +178,8 @@ def taxonomy_distance(
     """Add the taxonomy distance of every row.
 
     ``columns`` lists ``(left, right, height)``: two columns to compare and the
-    height of their tree. Each adds (steps to the common ancestor) / height.
+    height of their tree. Each adds (steps to the common ancestor) / height. Where
+    values lie at different depths, the steps are those of the deeper one.
     """
     total = F.lit(0.0)
     names = list(dict.fromkeys(c for left, right, _ in columns for c in (left, right)))

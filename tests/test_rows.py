@@ -388,3 +388,40 @@ def test_class_distances_in_parts(spark):
                 run += held.get((e, v), 0) / size - sum(n for (_, x), n in held.items() if x == v) / total
                 want += abs(run)
             assert got[e] == pytest.approx(want)
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    from cloakframe.operators import taxonomy
+
+    long = 10_000
+    edges = spark.range(long).selectExpr(
+        "CAST(id AS STRING) AS child", f"IF(id = {long - 1}, '*', CAST(id + 1 AS STRING)) AS parent"
+    ).union(spark.createDataFrame([("*", "*")], "child string, parent string"))
+    paths = taxonomy.ancestor_paths(edges)
+    sizes = paths.selectExpr("node", "size(path) AS n", "element_at(path, -1) AS top").collect()
+    assert len(sizes) == long + 1
+    assert all(r.n == long - int(r.node) + 1 and r.top == "*" for r in sizes if r.node != "*")
+
+
+def test_orphans_and_loops_of_one(spark):
+    from cloakframe.operators import taxonomy
+
+    schema = "child string, parent string"
+    found = taxonomy.ancestor_paths(spark.createDataFrame([("a", "b"), ("b", "gone"), ("c", "*"), ("*", "*")], schema))
+    assert {r.node: r.path for r in found.collect()} == {
+        "a": ["a", "b", "gone", None], "b": ["b", "gone", None], "c": ["c", "*"], "*": ["*"]
+    }
+    with pytest.raises(ValueError, match="cycle at 'x'"):
+        taxonomy.ancestor_paths(spark.createDataFrame([("x", "x"), ("*", "*")], schema))
+    assert taxonomy.ancestor_paths(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_distance_at_different_depths(spark):
+    from cloakframe.operators import taxonomy
+
+    edges = [("a1", "a"), ("a2", "a"), ("a", "top"), ("b", "top"), ("top", "*"), ("*", "*")]
+    paths = taxonomy.ancestor_paths(spark.createDataFrame(edges, "child string, parent string"))
+    pairs = [("a1", "a2", 1), ("a1", "b", 2), ("b", "a1", 2), ("a", "b", 1), ("a1", "a1", 0), ("a", "a1", 1), ("top", "a2", 2)]
+    df = spark.createDataFrame(pairs, "l string, r string, want int")
+    for row in taxonomy.taxonomy_distance(df, [("l", "r", 2)], paths).collect():
+        assert row.distance == row.want / 2
