@@ -211,6 +211,20 @@ def test_many_classes(spark):
     assert row.p > 99_000 and 45_000 < row.hot < 55_000
 
 
+def test_many_classes_need_no_model_on_the_driver(spark, monkeypatch):
+    """1,500 classes: seeded in tables; the plain model seeds them on the driver."""
+
+    def none(**_):
+        raise AssertionError("a model of as many centres as classes")
+
+    monkeypatch.setattr(centers, "KMeans", none)
+    rows = spark.range(4500).selectExpr("id AS pid", "rand(5) * 100 AS x")
+    sizes = spark.range(1500).selectExpr("id AS ec", "3 AS size")
+    made = centers.class_centers_kmeans(rows, ["x"], sizes).collect()
+    assert sorted(r.cluster for r in made) == list(range(1500)) == [r.cluster for r in sorted(made, key=lambda r: r.ec)]
+    assert len({r.x for r in made}) > 1000
+
+
 def test_copies_and_gaps_in_class_centres(spark):
     rows = [(i, float(i % 3)) for i in range(60)] + [(60, None), (61, float("nan"))]
     df = spark.createDataFrame(rows, "pid int, x double")
