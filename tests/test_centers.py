@@ -225,6 +225,45 @@ def test_many_classes_need_no_model_on_the_driver(spark, monkeypatch):
     assert len({r.x for r in made}) > 1000
 
 
+def plain_rounds(rows, middle, room):
+    """{pid: ec}: all waiting rows ask the nearest class with room; the closest get it."""
+    room, out, waiting = dict(room), {}, list(rows)
+    while waiting:
+        asked = {}
+        for pid, x, bucket in waiting:
+            d, ec = min(((x - c) ** 2, ec) for ec, c in middle if room.get((ec, bucket)))
+            asked.setdefault((ec, bucket), []).append((d, hashlib.md5(str(pid).encode()).hexdigest(), (pid, x, bucket)))
+        waiting = []
+        for (ec, bucket), those in asked.items():
+            for i, (_, _, row) in enumerate(sorted(those)):
+                if i < room[ec, bucket]:
+                    out[row[0]] = ec
+                else:
+                    waiting.append(row)
+            room[ec, bucket] -= min(len(those), room[ec, bucket])
+    return out
+
+
+def test_last_rounds_of_an_assignment_are_no_jobs(spark, monkeypatch):
+    """Rows crowd at one end of a line of classes, so that a round fills one of them."""
+    rng = random.Random(17)
+    rows = [(i, rng.choice([0.0, 0.1, rng.random()]), i % 2) for i in range(120)]
+    middle = [(e, float(e)) for e in range(20)]
+    room = {(e, b): 3 + (e == 4) for e in range(20) for b in (0, 1)}
+    df = spark.createDataFrame(rows, "pid int, x double, bucket int")
+    table = spark.createDataFrame(middle, "ec int, x double")
+    seats = spark.createDataFrame([(*k, n) for k, n in room.items()], "ec int, bucket int, size int")
+    own, rounds = centers.nearest_center, []
+    monkeypatch.setattr(centers, "nearest_center", lambda *a, **k: rounds.append(1) or own(*a, **k))
+    want = plain_rounds(rows, middle, room)
+    for local, most in ((100, 0), (40, 12)):  # at once; after the rounds that leave 40 rows
+        rounds.clear()
+        out = centers.redistribute_by_center(df, ["x"], "pid", table, seats, local_rows=local)
+        assert out.columns == ["pid", "x", "bucket", "ec"]
+        assert {r.pid: r.ec for r in out.collect()} == want
+        assert len(rounds) <= most
+
+
 def test_copies_and_gaps_in_class_centres(spark):
     rows = [(i, float(i % 3)) for i in range(60)] + [(60, None), (61, float("nan"))]
     df = spark.createDataFrame(rows, "pid int, x double")
