@@ -106,7 +106,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
-# ------------------------------------------------- near copies by similarity
+# ------------------------------- near copies by fingerprint and by similarity
 
 #: Texts of which about one in so many is counted, to tell common shingles from rare ones.
 COUNTED_ONE_IN = 16
@@ -219,6 +219,25 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Iter
         )
 
 
+def fingerprint_pairs(texts: DataFrame, width: int = 3) -> DataFrame:
+    """Distinct (u, v), u > v, of keys of ``texts(key, text)`` whose fingerprints link.
+
+    The links of :func:`ball_links`, each between one text of either fingerprint, and
+    of every text with that of its own fingerprint.
+    """
+    prints = materialize(fingerprints(texts.select("key", "text"), "text", width), "text-fingerprints")
+    firsts = materialize(prints.groupBy("fingerprint").agg(F.min("key").alias("first")), "first-texts")
+    same = prints.join(firsts, "fingerprint").where(F.col("key") != F.col("first"))
+    one = firsts.select(F.col("fingerprint").alias("u"), F.col("first").alias("a"))
+    other = firsts.select(F.col("fingerprint").alias("v"), F.col("first").alias("b"))
+    near = ball_links(firsts.select("fingerprint")).distinct().join(one, "u").join(other, "v").select("a", "b")
+    both = same.select(F.col("key").alias("a"), F.col("first").alias("b")).union(near)
+    made = both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    made = materialize(made, "fingerprint-pairs")
+    discard(prints, firsts)
+    return made
+
+
 def _alike(tried: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (u, v) of ``tried`` that are near copies, written."""
     # The texts in question, apart from their buckets: a text that very many are held
@@ -252,9 +271,10 @@ def near_copy_classes(texts: DataFrame, width: int = 5, min_similarity: float =
     if the Jaccard similarity of their sets of ``width``-word shingles is
     ``min_similarity`` or more; a class holds what such links connect.
 
-    One 64-bit fingerprint within two bits finds next to no pair of that
-    similarity, so candidates come from an exact prefix filter: all shingles have
-    one order, rare ones first, and two texts of that similarity share one among
+    Candidates are first the texts whose fingerprints link (three-word shingles, two
+    bits); every such pair is verified on the whole texts, and what it links starts the
+    classes. One 64-bit fingerprint finds mostly the closest pairs, so an exact prefix
+    filter follows, which finds all others: all shingles have one order, rare ones first, and two texts of that similarity share one among
     the first 1 - ``min_similarity`` of each, with enough left in both from the
     first one that they share. Every link is verified on the whole texts.
 
@@ -265,8 +285,11 @@ def near_copy_classes(texts: DataFrame, width: int = 5, min_similarity: float =
     large group of near copies costs a link per text; pairs are listed one by one
     only where they share a rare shingle and are in different classes so far.
     """
-    shared_levels = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
     least = min_similarity
+    printed = fingerprint_pairs(texts)
+    found = _alike(printed, texts, width, least)
+
+    shared_levels = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
     heads = texts.select("key", "text").mapInArrow(
         lambda batches: _prefix_rows(batches, width, least, shared_levels.value),
         "key binary, shingle long, size int, rest int",
@@ -281,8 +304,8 @@ def near_copy_classes(texts: DataFrame, width: int = 5, min_similarity: float =
     centres = materialize(shared.groupBy("shingle").agg(centre).select("shingle", "c.*"), "centres")
     star = shared.alias("a").join(centres.alias("b"), "shingle")
     star = star.where((F.col("a.key") != F.col("b.key")) & _may_be_alike("a", "b", least))
-    tried = materialize(_pairs(star), "candidate-pairs")
-    links = _alike(tried, texts, width, least)
+    tried = materialize(_pairs(star).join(printed, ["u", "v"], "left_anti"), "candidate-pairs")
+    links = found.union(_alike(tried, texts, width, least))
 
     roots = materialize(components(links), "star-roots").withColumnRenamed("node", "key")
     placed = shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -309,9 +332,9 @@ def near_copy_classes(texts: DataFrame, width: int = 5, min_similarity: float =
     both = one.join(
         placed.alias("b"), (F.col("p.shingle") == F.col("b.shingle")) & (F.col("right_root") == F.col("b.root"))
     ).where(_may_be_alike("a", "b", least))
-    rest = materialize(_pairs(both).join(tried, ["u", "v"], "left_anti"), "remaining-pairs")
+    rest = materialize(_pairs(both).join(tried.union(printed), ["u", "v"], "left_anti"), "remaining-pairs")
     links = links.union(_alike(rest, texts, width, least))
-    for done in (shared, centres, tried, placed, parts, between, rest):
+    for done in (printed, shared, centres, tried, placed, parts, between, rest):
         discard(done)
     return components(links).select(F.col("node").alias("key"), "root")
 

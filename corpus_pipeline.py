@@ -39,7 +39,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (five-word shingles, 0.8 or more)."""
+    """One document of each class of near copies: texts whose SimHash fingerprints link
+    and what an exact search finds besides (five-word shingles, 0.8 or more)."""
     return simhash.first_of_each_class(docs, width=5, min_similarity=0.8)
 
 

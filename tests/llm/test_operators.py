@@ -206,6 +206,24 @@ def test_pairs_stay_few_where_most_shingles_are_common(spark, monkeypatch):
         assert sum(tried.values()) < 4 * texts, tried
 
 
+def test_near_copies_go_through_fingerprints(spark, docs, monkeypatch):
+    """Pairs within two bits are tried first, all of them that have no third text between."""
+    rng = random.Random(33)
+    texts = [corpus.prose(rng, 900) for _ in range(12)]
+    texts += [t + " more" for t in texts] + ["", " \t ", "One two", "one  TWO"]
+    table = distinct_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    prints = {bytes(r["key"]): corpus.fingerprint(r["text"]) for r in table.collect()}
+    near = [(u, v) for u in prints for v in prints if u > v and (prints[u] ^ prints[v]).bit_count() <= 2]
+    got = {(bytes(r["u"]), bytes(r["v"])) for r in simhash.fingerprint_pairs(table).collect()}
+    assert got <= set(near) and len(near) >= 8
+    whole = corpus.classes(sorted(prints), lambda a, b: (max(a, b), min(a, b)) in set(near))
+    assert corpus.classes(sorted(prints), lambda a, b: (max(a, b), min(a, b)) in got) == whole
+    asked, own = [], simhash.fingerprints
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a, **k: asked.append(1) or own(*a, **k))
+    simhash.first_of_each_class(docs).count()
+    assert asked  # the rows of the stage take this way
+
+
 def test_near_copies_of_a_template(spark):
     """Texts alike but under 0.8, each with a near copy of its own."""
     rng = random.Random(31)
