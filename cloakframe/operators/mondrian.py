@@ -21,6 +21,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,9 +32,10 @@ from ..runtime import discard, materialize, small_side
 from .ranking import CELL_ROWS, rank_within
 from .stats import Scaling, fit_scaling
 
-#: Bounds of the group size that one task finishes alone.
+#: Bounds of the group size that one task finishes alone; a caller's own number is
+#: held to the upper one too, as a task keeps its group in memory.
 MIN_LOCAL_ROWS = 200_000
-MAX_LOCAL_ROWS = 500_000
+MAX_LOCAL_ROWS = 250_000
 #: Bins of one zoom step, and rows that are finally ordered exactly.
 BINS = 1024
 EXACT_ROWS = 100_000
@@ -255,16 +257,17 @@ def _split_large(
 def _finish_locally(dims: Sequence[str], k: int, recode: Sequence[str] = ()):
     """Split one group down to at most 2k rows per leaf, level by level.
 
-    The columns ``recode`` become the mean of the leaf: the task holds it whole.
+    The columns ``recode`` become the mean of the leaf: the task holds it whole. Texts
+    stay Arrow arrays, so that no row's becomes an object of its own.
     """
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__t1", "__t2"], kind="stable", ignore_index=True)
-        values = pdf[list(dims)].to_numpy(np.float64)
-        group = pdf["ec"].to_numpy(np.int64).copy()
-        # A row's position in the frame is its place in tie order, so a stable
+    def split(table: pa.Table) -> pa.Table:
+        order = np.lexsort((table.column("__t2").to_numpy(), table.column("__t1").to_numpy()))
+        values = np.column_stack([table.column(d).to_numpy()[order] for d in dims])
+        group = table.column("ec").to_numpy()[order]
+        # A row's position in the arrays is its place in tie order, so a stable
         # sort ranks a dimension by (value, tie).
-        count = len(pdf)
+        count = len(order)
         rank = np.empty(values.shape, np.int64)
         for d in range(values.shape[1]):
             rank[np.argsort(values[:, d], kind="stable"), d] = np.arange(count)
@@ -285,10 +288,15 @@ def _finish_locally(dims: Sequence[str], k: int, recode: Sequence[str] = ()):
             upper = np.arange(len(rows)) - first[number] >= half[number]
             group[rows] = 2 * group[rows] + upper
             sizes = np.column_stack((half, sizes - half)).ravel()
-        out = pdf.drop(columns=["__t1", "__t2", *dims]).assign(ec=group)
+        back = np.empty(count, np.int64)
+        back[order] = np.arange(count)
+        made = {"ec": group[back]}
         for c in recode:
-            out[c] = out.groupby("ec")[c].transform("mean")
-        return out
+            own = pd.Series(table.column(c).to_numpy()[order])
+            made[c] = own.groupby(group).transform("mean").to_numpy()[back]
+        hidden = {"__t1", "__t2", *dims}
+        names = [c for c in table.column_names if c not in hidden]
+        return pa.table({c: pa.array(made[c]) if c in made else table.column(c) for c in names})
 
     return split
 
@@ -305,8 +313,8 @@ def mondrian_partition(
 
     With ``recode`` the numeric quasi-identifiers are the means of the group,
     taken where the group is completed. Every group has k to 2k rows (if the table has k at all). ``local_rows``
-    is the group size that one task finishes; by default it follows from the
-    table size and the number of cores, within fixed bounds.
+    is the group size that one task finishes, ``MAX_LOCAL_ROWS`` at most; by default it
+    follows from the table size and the number of cores, within fixed bounds.
     """
     if k < 2:
         raise ValueError("k must be at least 2")
@@ -315,6 +323,7 @@ def mondrian_partition(
     if local_rows is None:
         cores = df.sparkSession.sparkContext.defaultParallelism
         local_rows = min(max(scaling.rows // (4 * cores), MIN_LOCAL_ROWS), MAX_LOCAL_ROWS)
+    local_rows = min(local_rows, MAX_LOCAL_ROWS)
     dims = [_zname(i) for i in range(len(roles.numeric_qis))]
     rows = base.withColumns(
         {d: scaling.zscore(c) for d, c in zip(dims, roles.numeric_qis)}
@@ -326,7 +335,7 @@ def mondrian_partition(
     width = min(2 * scaling.rows // local_rows, MAX_WIDTH)
     if width > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         rows = rows.repartition(width, "ec")
-    return rows.groupBy("ec").applyInPandas(
+    return rows.groupBy("ec").applyInArrow(
         _finish_locally(dims, k, roles.numeric_qis if recode else ()), schema
     )
 

@@ -106,6 +106,17 @@ def test_mondrian_large_groups(spark, discrete):
     assert {r.pid: r.ec for r in cut.collect()} == local
 
 
+def test_mondrian_holds_no_group_beyond_the_bound(spark, monkeypatch):
+    """A caller's number of rows does not bring more of them to a task."""
+    df = spark.createDataFrame(_mondrian_rows(random.Random(10), 1500, True), MSCHEMA)
+    whole = {r.pid: r.ec for r in mondrian.mondrian_partition(df, MROLES, 4).collect()}
+    own, stops = mondrian._split_large, []
+    monkeypatch.setattr(mondrian, "_split_large", lambda rows, dims, stop, exact: stops.append(stop) or own(rows, dims, stop, exact))
+    monkeypatch.setattr(mondrian, "MAX_LOCAL_ROWS", 800)
+    made = mondrian.mondrian_partition(df, MROLES, 4, local_rows=1 << 30)
+    assert {r.pid: r.ec for r in made.collect()} == whole and stops == [800]
+
+
 def test_mondrian_needs_k(spark):
     with pytest.raises(ValueError):
         mondrian.mondrian_partition(cust(spark, SF), CUST, 1)
