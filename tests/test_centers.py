@@ -8,6 +8,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cloakframe.operators import centers, nearest
 
@@ -223,6 +224,9 @@ def test_many_classes_need_no_model_on_the_driver(spark, monkeypatch):
     made = centers.class_centers_kmeans(rows, ["x"], sizes).collect()
     assert sorted(r.cluster for r in made) == list(range(1500)) == [r.cluster for r in sorted(made, key=lambda r: r.ec)]
     assert len({r.x for r in made}) > 1000
+    for gap in ("null", "double('nan')"):
+        with pytest.raises(ValueError, match="null or NaN"):
+            centers.class_centers_kmeans(rows.withColumn("x", F.expr(f"IF(pid = 7, {gap}, x)")), ["x"], sizes)
 
 
 def plain_rounds(rows, middle, room):
