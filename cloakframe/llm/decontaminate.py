@@ -243,6 +243,7 @@ def contaminated(
                 yield pa.RecordBatch.from_arrays(
                     [*taken, *(pa.array(c, t) for c, t in zip(cols, kinds))], schema.names
                 )
+            _codes.clear()  # the worker goes on, with other work
 
         return kept.mapInArrow(apply, schema)
 
@@ -282,6 +283,7 @@ def with_item_count(
                 ]
                 columns = [*part.columns[:count_at], pa.array(now, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+            _codes.clear()
 
         return df.mapInArrow(apply, df.schema)
 

@@ -36,8 +36,8 @@ from cloakframe.llm.common import materialize, slices
 from cloakframe.runtime import discard
 
 BITS = 18
-#: Pieces of words that a worker remembers; beyond it starts afresh.
-CACHE_WORDS = 400_000
+#: Pieces of words that a task remembers; beyond it starts afresh.
+CACHE_WORDS = 200_000
 #: A text with a score below this is rejected.
 KEEP_SCORE = 0.3
 _PIECE = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\s]+")
@@ -120,6 +120,7 @@ def fit(
                 ],
                 ["at", "y", "f", "v"],
             )
+        _pieces.clear()  # the worker goes on, with other work
 
     rows = labelled.select(
         F.col(order_col).alias("at"),
@@ -215,5 +216,6 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", name: st
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(scores, pa.float64())], [*names, name]
             )
+        _pieces.clear()
 
     return docs.mapInArrow(apply, T.StructType([*docs.schema, T.StructField(name, T.DoubleType())]))

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,6 +256,22 @@ def test_near_copies_with_changed_blocks(spark):
     assert near_copies_are_exact(spark, texts) >= 30
 
 
+def test_quality_leaves_no_words_in_the_worker(spark):
+    """A worker goes on with other work when a task ends, and holds nothing of it."""
+
+    def held(batches):
+        yield from ()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(quality._pieces)], pa.int64())], ["n"])
+
+    texts = spark.createDataFrame([(i, f"word{i} other") for i in range(200)], "doc_id long, text string")
+    for _ in range(3):
+        scored = quality.score(texts.repartition(8), np.zeros(1 << quality.BITS))
+        assert scored.where("score = 0.5").count() == 200
+        left = spark.range(8).repartition(8).mapInArrow(held, "n long").agg(F.max("n")).first()[0]
+        assert left == 0
+
+
 def test_quality_follows_the_regularised_leader(spark):
     """One shard: the weights of a plain loop over the rows, coordinate by coordinate."""
     rng = random.Random(15)
