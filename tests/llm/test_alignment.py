@@ -5,14 +5,18 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import corpus
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from tokenizers import Tokenizer
 
 from cloakframe.llm import alignment
+from cloakframe.llm.common import byte_slices
 
 TEXTS = [
     None, "", " ", "  ", "a", " a", "a ", "\n", "a\n\nb  c\td", "<|endoftext|> a <|endoftext|>", "</s><s> <unk> <0x0A>",
@@ -105,3 +109,37 @@ def test_groups_of_parts():
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.align_documents(docs, keep=["doc_id"]).collect() == []
+
+
+def test_blocks_of_any_size(monkeypatch):
+    sides = (alignment.load_a(), alignment.load_b())
+    draw = random.Random(5)
+    marks = [" ", " ", " ", "\n", "  ", "\x01", "\x1c", "\u2581", "\x85", "the", "ing", "é", "北", "7"]
+    texts = TEXTS + ["".join(draw.choice(marks) for _ in range(draw.randint(1, 60))) for _ in range(200)]
+    want = [(w[0], w[1], w[3], w[6]) for w in plain(texts)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    for most, parts in ((1, 1), (700, 3), (1 << 20, 64)):
+        monkeypatch.setattr(alignment, "LINE_PARTS", parts)
+        found = []
+        for some in byte_slices([batch], 0, most):
+            columns, order = alignment.digests(some.column(0), sides)
+            rows = list(zip(*(c.to_pylist() for c in columns[:4])))
+            found += [rows[i] for i in np.argsort(order)]
+        assert found == want
+
+
+def test_nothing_is_remembered_of_a_block():
+    sides = (alignment.load_a(), alignment.load_b())
+    draw = random.Random(6)
+    size = lambda: tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        for block in range(4):
+            words = ["".join(draw.choices("etaoinshr", k=8)) for _ in range(20_000)]
+            alignment.digests(pa.array([" ".join(words)], pa.string()), sides)
+            del words
+            if not block:
+                before = size()
+        assert size() - before < 1_000_000
+    finally:
+        tracemalloc.stop()
