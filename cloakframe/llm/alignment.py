@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.llm.common import byte_slices, materialize
+from cloakframe.llm.common import byte_slices, lean, materialize
 from cloakframe.runtime import small_side
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -293,7 +293,7 @@ def _aligned_rows(docs: DataFrame, text_col: str, keep: list[str], name_a: str,
     long = T.LongType()
     kinds = [long, long, long, T.StringType(), T.ArrayType(long), T.ArrayType(long)]
     fields = [*rows.schema[1:], *(T.StructField(n, k) for n, k in zip(made, kinds))]
-    return rows.mapInArrow(apply, T.StructType(fields))
+    return rows.mapInArrow(lean(apply), T.StructType(fields))
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.llm.common import slices
+from cloakframe.llm.common import lean, slices
 
 #: Places that each mask reads (1: read, 0: ignored). Fixed values, searched so that 13
 #: to 25 tokens still give a hit with any fifth of them substituted.
@@ -245,7 +245,7 @@ def contaminated(
                 )
             _codes.clear()  # the worker goes on, with other work
 
-        return kept.mapInArrow(apply, schema)
+        return kept.mapInArrow(lean(apply), schema)
 
     passes = [one_pass(block) for block in item_blocks(items, item_id_col, item_text_col, block_bytes)]
     out = spark.createDataFrame([], schema)
@@ -285,7 +285,7 @@ def with_item_count(
                 yield pa.RecordBatch.from_arrays(columns, part.schema.names)
             _codes.clear()
 
-        return df.mapInArrow(apply, df.schema)
+        return df.mapInArrow(lean(apply), df.schema)
 
     for block in item_blocks(items, item_id_col, item_text_col, block_bytes):
         out = one_pass(out, block)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloakframe.llm.binpack import Packing, pack
-from cloakframe.llm.common import materialize, workers
+from cloakframe.llm.common import lean, materialize, workers
 from cloakframe.llm.tokens import BLOCK_BYTES, encode
 
 END_ID = 2
@@ -82,7 +82,7 @@ def pieces(docs: DataFrame, text_col: str, keep: list[str], capacity: int, end_i
     fields = [*kept.schema[1:], *(T.StructField(n, t) for n, t in kinds.items())]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
-    return kept.mapInArrow(apply, T.StructType(fields))
+    return kept.mapInArrow(lean(apply), T.StructType(fields))
 
 
 def runs(packing: Packing) -> list[tuple[int, int, int, int, int]]:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.llm.common import materialize, slices
+from cloakframe.llm.common import lean, materialize, slices
 from cloakframe.runtime import discard
 
 BITS = 18
@@ -128,7 +128,7 @@ def fit(
         F.col(text_col).alias("text"),
     )
     schema = "at long, y double, f array<int>, v array<float>"
-    table = materialize(rows.mapInArrow(featurize, schema), "quality-features")
+    table = materialize(rows.mapInArrow(lean(featurize), schema), "quality-features")
     size = 1 << BITS
     state = np.zeros((2, size))
     spark = labelled.sparkSession
@@ -218,4 +218,4 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", name: st
             )
         _pieces.clear()
 
-    return docs.mapInArrow(apply, T.StructType([*docs.schema, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(lean(apply), T.StructType([*docs.schema, T.StructField(name, T.DoubleType())]))

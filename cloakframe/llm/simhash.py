@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.llm.common import distinct_texts, materialize, slices, text_key
+from cloakframe.llm.common import distinct_texts, lean, materialize, slices, text_key
 from cloakframe.llm.components import components
 from cloakframe.runtime import discard
 
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", width: int = 3) -> Dat
             )
 
     return kept.mapInArrow(
-        apply, T.StructType([*kept.schema[1:], T.StructField("fingerprint", T.LongType())])
+        lean(apply), T.StructType([*kept.schema[1:], T.StructField("fingerprint", T.LongType())])
     )
 
 
@@ -146,7 +146,7 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     whatever the number of common shingles, and is filled in the tasks, in blocks.
     """
     some = texts.where(F.pmod(F.xxhash64("key"), F.lit(COUNTED_ONE_IN)) == 0).select("text")
-    rows = some.mapInArrow(lambda batches: _counted_rows(batches, width), "shingle long")
+    rows = some.mapInArrow(lean(lambda batches: _counted_rows(batches, width)), "shingle long")
     counts = rows.groupBy("shingle").count().where(F.col("count") >= COMMON_FROM)
     counts = materialize(counts, "common-shingles")
     many = counts.count()
@@ -247,7 +247,7 @@ def _alike(tried: DataFrame, texts: DataFrame, width: int, least: float) -> Data
     left = some.select(F.col("key").alias("u"), F.col("text").alias("left"))
     right = some.select(F.col("key").alias("v"), F.col("text").alias("right"))
     both = tried.join(left, "u").join(right, "v").select("u", "v", "left", "right").sortWithinPartitions("v")
-    links = both.mapInArrow(lambda batches: _verify(batches, width, least), "u binary, v binary")
+    links = both.mapInArrow(lean(lambda batches: _verify(batches, width, least)), "u binary, v binary")
     links = materialize(links, "near-copies")
     discard(some)
     return links
@@ -291,10 +291,11 @@ def near_copy_classes(texts: DataFrame, width: int = 5, min_similarity: float =
 
     shared_levels = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
     heads = texts.select("key", "text").mapInArrow(
-        lambda batches: _prefix_rows(batches, width, least, shared_levels.value),
+        lean(lambda batches: _prefix_rows(batches, width, least, shared_levels.value)),
         "key binary, shingle long, size int, rest int",
     )
     heads = materialize(heads, "prefixes")
+    shared_levels.destroy()
     shared = heads.groupBy("shingle").count().where("count > 1").select("shingle")
     shared = materialize(heads.join(materialize(shared, "shared-shingles"), "shingle"), "shared-prefixes")
     discard(heads)

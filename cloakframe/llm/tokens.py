@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut and encoded at a time.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 3_000_000
 _CUT = "\x01"
 _WHITE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
