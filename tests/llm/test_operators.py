@@ -68,6 +68,25 @@ def test_a_hot_passage_is_few_rows_in_the_joins(spark, copies):
     assert found.where("n_removed >= 300").count() == copies
 
 
+@pytest.mark.parametrize("times", [40, 80])
+def test_what_a_text_says_over_and_over_is_few_rows(spark, times):
+    """A word, a pair or a line said over and over: rows do not grow with the times."""
+    rng = random.Random(times)
+    again = ["so ", "to be ", "all rights reserved by the owner\n", corpus.prose(rng, 30) + " "]
+    texts = [corpus.prose(rng, i % 9) + " " + again[i % 4] * (times + i % 5) + corpus.prose(rng, i % 7) for i in range(24)]
+    texts += ["z" * 10 * times, "yz" * 5 * times + "z", again[1] * times, again[1] * times]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = written(spark)
+    found = repeats.remove_repeats(docs, length=100)
+    joined = docs.withColumn("key", text_key("text")).join(found, "key").collect()
+    marks = corpus.removed(texts, 100)
+    want = {i: (sum(m), corpus.kept_hash(t, m)) for i, (t, m) in enumerate(zip(texts, marks))}
+    assert {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in joined} == want
+    lists = [p for p in written(spark) - before if "shared-runs" in p]
+    rows = spark.read.parquet(lists[0]).agg(F.sum(F.size("held")).alias("rows"), F.sum("n").alias("n")).first()
+    assert rows["rows"] <= 10 * len(texts) < rows["n"]
+
+
 def test_intermediate_tables_leave_the_catalog(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string")
     there = {t.name for t in spark.catalog.listTables()}
